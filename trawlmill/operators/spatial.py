@@ -56,24 +56,35 @@ def log_class(df: DataFrame, value: str, n: int = 7, name: str = "class") -> Dat
     """
     peak = df.agg(F.max(value).alias("m")).scalar()
     top = F.greatest(F.ceil(F.log10(F.greatest(peak, F.lit(1.0)))), F.lit(1)).cast("int")
-    step = F.greatest(F.floor(top / n) + F.when(top % n > 0, 1).otherwise(0), F.lit(1))
-    step = F.when(top + 1 <= n, F.lit(1)).otherwise(step).cast("int")
-    breaks = F.transform(F.sequence(F.lit(0), top, step), lambda p: F.pow(F.lit(10.0), p))
+    step = F.when(F.col("__top") + 1 <= n, 1).otherwise(F.ceil(F.col("__top") / n).cast("int"))
+    power = lambda i: F.pow(F.lit(10.0), i * F.col("__step"))
     x = F.col(value)
-    below = F.filter(F.col("__b"), lambda b: b < x)
-    # the first bin is closed on both sides
-    index = F.when(x == F.col("__b")[0], 1).otherwise(F.size(below))
-    inside = (x >= F.col("__b")[0]) & (x <= F.element_at("__b", -1))
-    bounded = df.withColumn("__b", breaks).where(inside).withColumn("__k", index)
-    lo, hi = F.element_at("__b", F.col("__k")), F.element_at("__b", F.col("__k") + 1)
+    guess = F.greatest(F.ceil(F.log10(x) / F.col("__step")), F.lit(1)).cast("int")
+    # the logarithm may round across a break, so the bin is settled on the breaks themselves
+    settled = (
+        F.when(x > power(F.col("__k")), F.col("__k") + 1)
+        .when((F.col("__k") > 1) & (x <= power(F.col("__k") - 1)), F.col("__k") - 1)
+        .otherwise(F.col("__k"))
+    )
+    last = F.floor(F.col("__top") / F.col("__step"))
+    whole = lambda i: power(i).cast("bigint").cast("string")
     label = F.concat(
         F.when(F.col("__k") == 1, "[").otherwise("("),
-        lo.cast("bigint").cast("string"),
+        whole(F.col("__k") - 1),
         F.lit(","),
-        hi.cast("bigint").cast("string"),
+        whole(F.col("__k")),
         F.lit("]"),
     )
-    return bounded.withColumn(name, label).drop("__b", "__k")
+    return (
+        df.where(x >= 1)
+        .withColumn("__top", top)
+        .withColumn("__step", step)
+        .withColumn("__k", guess)
+        .withColumn("__k", settled)
+        .where(F.col("__k") <= last)
+        .withColumn(name, label)
+        .drop("__top", "__step", "__k")
+    )
 
 
 def fishery_area(weekly: DataFrame) -> DataFrame:

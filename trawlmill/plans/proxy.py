@@ -281,7 +281,7 @@ def yearly_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.year("l_shipdate").alias("year"))
-        .agg(F.round(1 + F.avg("l_discount"), 3).alias("f"))
+        .agg((1 + F.avg("l_discount")).alias("f"))
         .where(F.col("year") != 1997)
     )
 
