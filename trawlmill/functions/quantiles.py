@@ -2,9 +2,9 @@
 
 An exact percentile aggregate keeps every distinct value of a group in the
 memory of one task.  Here a bounded sketch first brackets each wanted rank;
-values below the bracket collapse into one counted row, and only the thin slice
-inside it is ranked.  The result is the exact type-7 quantile (linear
-interpolation between the two neighbouring order statistics).
+values outside the brackets are only counted, and only the thin slices inside
+are ranked.  The result is the exact type-7 quantile (linear interpolation
+between the two neighbouring order statistics).
 """
 
 from __future__ import annotations
@@ -27,16 +27,14 @@ def exact_quantiles(
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row per group and probability: ``keys..., prob, quantile``."""
-    keys = list(keys)
+    keys, probs = list(keys), sorted(float(p) for p in probs)
     slack = 2.0 / accuracy
     values = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("__v")
     )
-    sketch_probs = [q for p in probs for q in (max(0.0, p - slack), min(1.0, p + slack))]
+    ends = [q for p in probs for q in (max(0.0, p - slack), min(1.0, p + slack))]
     brackets = values.groupBy(*keys).agg(
-        F.percentile_approx(
-            "__v", F.array(*[F.lit(q) for q in sketch_probs]), F.lit(accuracy)
-        ).alias("__q"),
+        F.percentile_approx("__v", F.array(*[F.lit(q) for q in ends]), F.lit(accuracy)).alias("__q"),
         F.count(F.lit(1)).alias("__total"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
@@ -44,10 +42,11 @@ def exact_quantiles(
     targets = F.array(
         *[
             F.struct(
-                F.lit(float(p)).alias("prob"),
-                (F.lit(float(p)) * (F.col("__total") - 1)).alias("__h"),
-                (F.col("__min") if p <= slack else F.col("__q")[2 * i]).alias("__lo"),
-                (F.col("__max") if p >= 1 - slack else F.col("__q")[2 * i + 1]).alias("__hi"),
+                F.lit(i).alias("i"),
+                F.lit(p).alias("prob"),
+                (F.lit(p) * (F.col("__total") - 1)).alias("h"),
+                (F.col("__min") if p <= slack else F.col("__q")[2 * i]).alias("lo"),
+                (F.col("__max") if p >= 1 - slack else F.col("__q")[2 * i + 1]).alias("hi"),
             )
             for i, p in enumerate(probs)
         ]
@@ -59,25 +58,43 @@ def exact_quantiles(
         paired = null_safe_join(counted, wanted, keys, "inner")
     else:
         paired = counted.withColumn("__t", wanted.scalar())
-    joined = paired.select(*keys, "__v", "__n", F.inline("__t"))
-    w = Window.partitionBy(*keys, "prob").orderBy(F.col("__v").asc_nulls_first())
-    k = F.floor("__h")
-    at = lambda rank: F.min(F.when(F.col("__last") > rank, F.col("__v")))
+    v = F.col("__v")
+    inside = paired.select(
+        *keys,
+        "__v",
+        "__n",
+        F.inline(F.filter("__t", lambda t: (t["lo"] <= v) & (v <= t["hi"]))),
+    )
+    # brackets ascend, so a value lies below all those after the ones it has reached
+    reached = F.size(F.filter("__t", lambda t: t["lo"] <= v))
+    below = (
+        paired.withColumn("__s", reached)
+        .where(F.col("__s") < len(probs))
+        .groupBy(*keys, "__s")
+        .agg(F.sum("__n").alias("__n"), F.first("__t").alias("__t"))
+        .select(
+            *keys,
+            F.lit(None).cast("double").alias("__v"),
+            "__n",
+            F.inline(F.slice("__t", F.col("__s") + 1, F.lit(len(probs)))),
+        )
+    )
+    w = Window.partitionBy(*keys, "i").orderBy(v.asc_nulls_first())
+    k = F.floor("h")
+    at = lambda rank: F.min(F.when(F.col("__last") > rank, v))
     return (
-        joined.where(F.col("__v") <= F.col("__hi"))
-        .withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
-        .groupBy(*keys, "prob", "__h", "__v")
+        inside.unionByName(below)
+        .groupBy(*keys, "i", "prob", "h", "__v")
         .agg(F.sum("__n").alias("__n"))
         .withColumn("__last", F.sum("__n").over(w))
-        .groupBy(*keys, "prob", "__h")
+        .groupBy(*keys, "i", "prob", "h")
         .agg(at(k).alias("__a"), at(k + 1).alias("__b"))
         .select(
             *keys,
             "prob",
-            (
-                F.col("__a")
-                + (F.col("__h") - k) * (F.coalesce("__b", "__a") - F.col("__a"))
-            ).alias("quantile"),
+            (F.col("__a") + (F.col("h") - k) * (F.coalesce("__b", "__a") - F.col("__a"))).alias(
+                "quantile"
+            ),
         )
     )
 

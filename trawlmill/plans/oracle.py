@@ -335,7 +335,7 @@ SELECT r.vesselname, r.c2 AS vesselcountry, r.vesselcode, r.vesselimo, r.cp AS v
   CASE WHEN hauldatetime > shootdatetime THEN date_diff('second', shootdatetime, hauldatetime)/3600 END AS duration,
   cast(year(shootdatetime) AS INTEGER) AS year, cast(month(shootdatetime) AS INTEGER) AS month,
   cast(dayofyear(shootdatetime) AS INTEGER) AS day, shootlat, shootlon, haullat, haullon, upper(species) AS species,
-  "catch"
+  CASE WHEN r.vesselname = 'jan maria' AND shootdatetime IS NULL THEN NULL ELSE "catch" END AS "catch"
 FROM kept r JOIN (
   SELECT cp, vesselname, coalesce(cp, 'NA') ||
     row_number() OVER (PARTITION BY cp ORDER BY md5(coalesce(vesselname, '')), vesselname NULLS FIRST) AS vesselcode2
