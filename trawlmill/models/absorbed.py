@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import stage
 from .design import build_design, code_name, feature_matrix
 from .fitting import Fit, FitSpec, Frame, _row_sums, _State, _working
+from .inference import _evaluate, _number
 
 START_VARIANCE = 0.5
 
@@ -258,3 +259,23 @@ def _next_ridge(sums: DataFrame, state: _State, ridge: float, f: int) -> tuple[f
     count = sums.count()
     variance = max((squares + spread) / max(count, 1), 1e-6)
     return 1 / variance, abs(variance * ridge - 1) < 1e-4, float(spread)
+
+
+def predict_absorbed(afit: AbsorbedFit, grid: DataFrame, level: str, z: float = 1.96) -> DataFrame:
+    """Index at one level of the absorbed factor, with the joint error of both parts."""
+    fit, ridge = afit.fit, afit.ridge
+    f = len(fit.design.features)
+    row = afit.sums.where(F.col("level") == level).select(*[f"c{j}" for j in range(f + 2)]).first()
+    sums = np.array(row, dtype=float)
+    size = sums[f] + ridge
+    shift = fit.design.map.T @ sums[:f] / size
+    effect = (sums[f + 1] - (fit.design.map.T @ sums[:f]) @ fit.beta) / size
+    beta, cov, offset = fit.beta, fit.cov, fit.spec.formula.offset
+
+    def predict(x, columns):
+        eta = x @ beta + effect + (np.log(_number(columns, offset)) if offset else 0.0)
+        moved = x - shift
+        se = np.sqrt(np.maximum(((moved @ cov) * moved).sum(axis=1) + 1 / size, 0.0))
+        return eta, se, np.exp(eta), np.exp(eta - z * se), np.exp(eta + z * se)
+
+    return _evaluate(grid, fit, predict, ("pred", "se", "cpue", "lwr", "upr"))

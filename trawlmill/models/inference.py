@@ -44,10 +44,10 @@ def fit_statistics(spark: SparkSession, fits: dict[str, Fit], label: str = "mode
             name,
             float(f.n),
             float(f.edf),
-            None if math.isinf(f.theta) else f.theta,
-            f.loglik,
-            f.deviance,
-            f.aic,
+            None if math.isinf(f.theta) else float(f.theta),
+            float(f.loglik),
+            float(f.deviance),
+            float(f.aic),
         )
         for name, f in fits.items()
     ]

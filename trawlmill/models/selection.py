@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .absorbed import fit_absorbed
 from .design import Formula, Smooth, crossed
 from .fitting import Fit, FitSpec, Frame, fit_many
 from .inference import fit_statistics, predict_index
@@ -21,7 +22,6 @@ CANDIDATES: dict[str, tuple[tuple[str, ...], ...]] = {
     "ELE": (("ELE",),),
     "lonlat": LONLAT,
     "vesselcp": (("vesselcp",),),
-    "vesselcountry": (("vesselcountry",),),
     "sst": (("sst",),),
     "hci": (("hci",),),
 }
@@ -48,17 +48,33 @@ def forward_selection(
     base: Formula,
     candidates: Mapping[str, Sequence[tuple[str, ...]]] = CANDIDATES,
     rounds: int = 1,
+    absorbed: str | None = None,
 ) -> tuple[list[tuple[int, str, float]], Formula]:
-    """AIC of adding each candidate; the best one joins the model before the next round."""
+    """AIC of adding each candidate; the best one joins the model before the next round.
+
+    ``absorbed`` names a factor with any number of levels among the candidates; its
+    effects are kept in a table (see ``absorbed.py``), the others share their passes.
+    """
     table: list[tuple[int, str, float]] = []
     left = dict(candidates)
+    pending, taken = absorbed, None
     for r in range(1, rounds + 1):
-        if not left:
+        if not left and pending is None:
             break
-        fits = fit_many(frame, [FitSpec(n, base.plus(*t)) for n, t in left.items()])
-        ranked = sorted((f.aic, n) for n, f in fits.items())
+        specs = [FitSpec(n, base.plus(*t)) for n, t in left.items()]
+        if taken is None:
+            scores = {n: f.aic for n, f in fit_many(frame, specs).items()}
+        else:
+            scores = {s.name: fit_absorbed(frame, s, taken).aic for s in specs}
+        if pending is not None:
+            scores[pending] = fit_absorbed(frame, FitSpec(pending, base), pending).aic
+        ranked = sorted((aic, n) for n, aic in scores.items())
         table += [(r, n, aic) for aic, n in ranked]
-        base = base.plus(*left.pop(ranked[0][1]))
+        best = ranked[0][1]
+        if best == pending:
+            taken, pending = pending, None
+        else:
+            base = base.plus(*left.pop(best))
     return table, base
 
 
