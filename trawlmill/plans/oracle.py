@@ -62,7 +62,7 @@ MONTH = "cast(month(l_shipdate) AS INTEGER)"
 cte("fleet", [], """
 SELECT s_suppkey, lower(s_name) AS vesselname, n_name AS vesselcountry, r_name AS vesselcp,
   'v' || s_suppkey AS vesselcode, 'imo' || (s_suppkey + 9000000) AS vesselimo, s_acctbal,
-  r_name || row_number() OVER (PARTITION BY r_name ORDER BY md5(lower(s_name)), lower(s_name)) AS vesselcode2
+  r_name || s_suppkey AS vesselcode2
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 cte("lines", ["fleet"], "SELECT * FROM lineitem JOIN fleet ON l_suppkey = s_suppkey")
 cte("hauls", ["lines"], f"""
@@ -328,7 +328,8 @@ SELECT vesselname, s.species, {YEAR} AS year, count(*) AS n,
   sum(CASE WHEN l_linenumber <> 3 AND {TOW} > 0 THEN cast({TOW} AS DOUBLE) END) AS duration
 FROM lines, (VALUES ('cjm'), ('mas'), ('oth')) s(species) GROUP BY ALL""", ["catch", "duration"])
 oracle("h17_anonymise_vessels", ["hauls"], """
-SELECT vesselcp, vesselname, vesselcode2, sum("catch") AS "catch" FROM hauls GROUP BY ALL""", ["catch"])
+SELECT vesselcp, vesselname, vesselcp || row_number() OVER (PARTITION BY vesselcp ORDER BY md5(vesselname), vesselname) AS vesselcode2,
+  sum("catch") AS "catch" FROM hauls GROUP BY vesselcp, vesselname""", ["catch"])
 oracle("h18_canonical_hauls", ["country"], f"""
 SELECT r.vesselname, r.c2 AS vesselcountry, r.vesselcode, r.vesselimo, r.cp AS vesselcp, n.vesselcode2,
   shootdatetime, hauldatetime,

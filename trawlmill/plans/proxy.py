@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import union_by_name
+from ..functions.semantics import has_at_most, union_by_name
 from ..operators.environment import ele_indicator, join_environment, positions_without_zero
-from ..operators.hauls import anonymise_vessels, raising_factor
+from ..operators.hauls import raising_factor
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 PARTIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -19,13 +19,27 @@ SPECIES = ["CJM", "MAS", "OTH"]
 TARGET = "CJM"
 
 
+# declared, so that no job has to read footers first
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vessel dimension: supplier with nation (country) and region (party)."""
-    vessels = (
+    return (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -34,6 +48,7 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lower("s_name").alias("vesselname"),
             F.col("n_name").alias("vesselcountry"),
             F.col("r_name").alias("vesselcp"),
+            F.concat("r_name", F.col("s_suppkey").cast("string")).alias("vesselcode2"),
             F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("vesselcode"),
             F.concat(F.lit("imo"), (F.col("s_suppkey") + 9000000).cast("string")).alias(
                 "vesselimo"
@@ -42,18 +57,42 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
             "s_nationkey",
         )
     )
-    return anonymise_vessels(vessels)
 
 
 def species_code(flag: Column) -> Column:
     return F.when(flag == "N", "CJM").when(flag == "A", "MAS").otherwise("OTH")
 
 
+SMALL_FLEET = 500_000
+_small: dict[str, bool] = {}
+_splits: dict[str, int] = {}
+
+
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items over all cores.
+
+    A table written as one row group arrives in one task.  Only a scan with fewer splits
+    than cores is redistributed; a large table already has more and is left alone.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    if sf_dir not in _splits:
+        _splits[sf_dir] = lines.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    return lines.repartition(cores) if _splits[sf_dir] < cores else lines
+
+
 def haul_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items joined to the fleet; AQE broadcasts the fleet when it is small."""
-    return table(spark, sf_dir, "lineitem").join(
-        fleet(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")
-    )
+    """Line items joined to the fleet.
+
+    The fleet is one short row per supplier.  It is broadcast when the supplier table is
+    within a checked bound (one bounded count per folder); beyond that both sides are
+    shuffled on the supplier, where AQE splits a hot supplier.
+    """
+    if sf_dir not in _small:
+        _small[sf_dir] = has_at_most(table(spark, sf_dir, "supplier").select("s_suppkey"), SMALL_FLEET)
+    vessels = fleet(spark, sf_dir)
+    side = F.broadcast(vessels) if _small[sf_dir] else vessels
+    return spread(spark, sf_dir).join(side, F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 def hauls(spark: SparkSession, sf_dir: str) -> DataFrame:
