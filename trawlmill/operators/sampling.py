@@ -36,8 +36,8 @@ def length_proportions(length: DataFrame) -> DataFrame:
         Window.unboundedPreceding, 0
     )
     shares = sums.withColumn("prop", F.try_divide(F.col("value"), F.sum("value").over(group)))
-    return shares.withColumns(
-        {"cumvalue": F.sum("value").over(running), "cumprop": F.sum("prop").over(running)}
+    return shares.withColumn("cumvalue", F.sum("value").over(running)).withColumn(
+        "cumprop", F.try_divide(F.col("cumvalue"), F.sum("value").over(group))
     )
 
 

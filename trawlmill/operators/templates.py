@@ -211,9 +211,8 @@ def read_length(cells: DataFrame) -> DataFrame:
     running = group.orderBy("length").rowsBetween(Window.unboundedPreceding, 0)
     shares = long.withColumn("prop", F.try_divide(F.col("value"), F.sum("value").over(group)))
     return (
-        shares.withColumns(
-            {"cumvalue": F.sum("value").over(running), "cumprop": F.sum("prop").over(running)}
-        )
+        shares.withColumn("cumvalue", F.sum("value").over(running))
+        .withColumn("cumprop", F.try_divide(F.col("cumvalue"), F.sum("value").over(group)))
         .drop("sheet")
         .join(workbook_meta(cells), "file", "left")
     )
