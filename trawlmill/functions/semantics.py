@@ -115,8 +115,3 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether the table stays within a row bound; reads no more than bound + 1 rows."""
     return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_when_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Broadcast hint behind a row check; a larger table keeps its shuffle join."""
-    return F.broadcast(df) if has_at_most(df, rows) else df

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.special import digamma, lgamma, trigamma
+from ..sources.staging import stage
 
 SUMS = "n double, total double, score double, info double, loglik double"
 
@@ -36,11 +37,11 @@ def _terms(theta: float, mu: float):
 
 def fit_negbin_marginal(df: DataFrame, value: str, max_iter: int = 50) -> dict[str, float]:
     """Size and mean by maximum likelihood: counts per value in Spark, Newton outside."""
-    counts = (
+    counts = stage(
         df.where(F.col(value).isNotNull())
         .groupBy(F.rint(value).alias("y"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .cache()
+        .agg(F.count(F.lit(1)).alias("n")),
+        "value-counts",
     )
     first = counts.agg(
         F.sum("n").alias("n"),
@@ -60,7 +61,6 @@ def fit_negbin_marginal(df: DataFrame, value: str, max_iter: int = 50) -> dict[s
         if abs(new - theta) < 1e-10 * theta:
             break
         theta = new
-    counts.unpersist()
     return {
         "size": theta,
         "mu": mu,

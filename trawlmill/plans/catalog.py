@@ -500,7 +500,7 @@ def c3(spark, sf):
 def c4(spark, sf):
     weekly = by_week(spark, sf, (0.0, 0.02, 0.025, 0.03, 0.035, 0.05))
     return weekly.groupBy("efficiency", "year").agg(
-        F.round(F.sum("effort"), 3).alias("effort"), F.avg("cpue").alias("cpue")
+        F.avg("effort").alias("effort"), F.avg("cpue").alias("cpue")
     )
 
 

@@ -394,7 +394,7 @@ oracle("c1_cpue_by_hour", ["by_hour"], "SELECT * FROM by_hour", RATED)
 oracle("c2_cpue_by_day", ["by_day"], "SELECT * FROM by_day", RATED)
 oracle("c3_cpue_by_week", ["weeks"], scenarios((0.0, 0.025)), [*RATED, "efficiency"])
 oracle("c4_efficiency_scenarios", ["weeks"], f"""
-SELECT efficiency, year, round(sum(effort), 3) AS effort, avg(cpue) AS cpue FROM ({scenarios((0.0, 0.02, 0.025, 0.03, 0.035, 0.05))})
+SELECT efficiency, year, avg(effort) AS effort, avg(cpue) AS cpue FROM ({scenarios((0.0, 0.02, 0.025, 0.03, 0.035, 0.05))})
 GROUP BY ALL""", ["efficiency", "effort", "cpue"])
 oracle("c5_efficiency_index", ["hauls"], """
 SELECT year, pow(1 + e, year - (SELECT min(year) FROM hauls)) AS "index", e AS efficiency FROM (SELECT DISTINCT year FROM hauls),
