@@ -55,11 +55,18 @@ def week_of_year(ts) -> Column:
     return (F.floor((F.dayofyear(ts) - 1) / 7) + 1).cast("int")
 
 
-def hours_between(start, end) -> Column:
-    """Elapsed hours, whatever the size of the gap."""
+def seconds_between(start, end) -> Column:
+    """Elapsed seconds of two zone-less stamps; the session time zone plays no part."""
     start = start if isinstance(start, Column) else F.col(start)
     end = end if isinstance(end, Column) else F.col(end)
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(3.6e9)
+    gap = end - start
+    part = lambda unit: F.extract(F.lit(unit), gap).cast("double")
+    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+
+
+def hours_between(start, end) -> Column:
+    """Elapsed hours, whatever the size of the gap."""
+    return seconds_between(start, end) / 3600
 
 
 def strip_punctuation(col: Column) -> Column:

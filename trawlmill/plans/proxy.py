@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import has_at_most, union_by_name
+from ..functions.haultext import SERIAL_EPOCH
+from ..functions.semantics import has_at_most, seconds_between, union_by_name
 from ..operators.environment import ele_indicator, join_environment, positions_without_zero
 from ..operators.hauls import raising_factor
 
@@ -166,13 +167,18 @@ def country_text() -> Column:
     return out
 
 
+def day_zero() -> Column:
+    return F.expr(f"timestamp_ntz'{SERIAL_EPOCH} 00:00:00'")
+
+
 def stamp_text(ts: Column, key: Column) -> Column:
     """Mixed layouts: dashes, slashes, day numbers, and now and then no date at all."""
-    days = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1899-12-30 00:00:00'"), ts) / 86400
+    days = seconds_between(day_zero(), ts) / 86400
+    text = ts.cast("string")
     return (
         F.when(key % 97 == 0, "unknown")
-        .when(key % 3 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .when(key % 3 == 1, F.date_format(ts, "yyyy/MM/dd HH:mm:ss"))
+        .when(key % 3 == 0, text)
+        .when(key % 3 == 1, F.translate(text, "-", "/"))
         .otherwise(days.cast("string"))
     )
 
@@ -220,7 +226,7 @@ def current_year_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         F.upper("vesselname").alias("vesselname"),
         F.col("vesselcountry").alias("flag"),
-        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("towstartdatetime"),
+        F.col("l_shipdate").cast("string").alias("towstartdatetime"),
         F.lower(species_code(F.col("l_returnflag"))).alias("species"),
         F.lit("CJM").alias("intendedtargetspecies"),
         (F.col("l_quantity") * 1000).cast("bigint").cast("string").alias("retainedliveweight"),
@@ -231,7 +237,7 @@ def old_list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old haul list: serial dates and times, one catch column per species."""
     lines = haul_lines(spark, sf_dir)
     day = F.dayofyear("l_shipdate")
-    serial = F.timestamp_diff("DAY", F.expr("timestamp_ntz'1899-12-30 00:00:00'"), F.col("l_shipdate"))
+    serial = (seconds_between(day_zero(), "l_shipdate") / 86400).cast("bigint")
     tow = F.round(F.col("l_tax") * 100).cast("int") - 1
     lat = F.lit(50.0) - ((F.col("s_suppkey") * 7 + day) % 80).cast("double") / 2
     lon = ((F.col("s_suppkey") * 11 + day * 3) % 140).cast("double") / 2 - F.lit(120.0)
@@ -275,8 +281,8 @@ def new_list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper("vesselname").alias("vesselname"),
         F.concat(F.lit("p.b."), F.col("s_suppkey").cast("string")).alias("vesselcallsign"),
         F.concat(F.lit("V - "), F.col("s_suppkey").cast("string")).alias("vesselcode"),
-        F.date_format("l_shipdate", "yyyy/MM/dd HH:mm:ss").alias("shootdatetime"),
-        F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("hauldatetime"),
+        F.translate(F.col("l_shipdate").cast("string"), "-", "/").alias("shootdatetime"),
+        end.cast("string").alias("hauldatetime"),
         lat.cast("string").alias("shootlat"),
         (-lon).cast("string").alias("shootlon"),
         F.when(F.col("l_linenumber") == 2, "0").otherwise(lat.cast("string")).alias("haullat"),
