@@ -87,6 +87,16 @@ def test_absorbed_factor_equals_dense_fit(frame):
     assert slim.effects().count() == 20
 
 
+def test_random_intercepts_shrink_towards_zero(frame):
+    base = D.Formula("catch", (("year",),), (), "effort")
+    fixed = fit_absorbed(frame, FitSpec("f", base), "vessel")
+    mixed = fit_absorbed(frame, FitSpec("m", base, theta=fixed.fit.theta), "vessel", random=True)
+    effects = mixed.effects().toPandas().set_index("vessel").effect
+    assert 1 / mixed.ridge == pytest.approx(0.0625, rel=0.6)  # half the vessels sit 0.5 higher
+    assert abs(effects.mean()) < 0.02 and mixed.fit.edf < fixed.fit.edf
+    assert effects[[f"v{i:02d}" for i in range(10)]].max() < effects[[f"v{i:02d}" for i in range(10, 20)]].min()
+
+
 def test_smooth_beats_plane_and_is_centred(spark, frame, data):
     glm = fit_many(frame, [FitSpec("g", MAIN)])["g"]
     gam = fit_many(frame, [FitSpec("s", GAM, theta=glm.theta)])["s"]

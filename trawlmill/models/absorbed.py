@@ -151,10 +151,10 @@ def _schur(f: int, ridge: float):
 
 
 def _variance_sums(f: int, ridge: float, gamma: np.ndarray, cov: np.ndarray):
-    """Sums over levels of the squared effect and of its variance."""
+    """Sums over levels of the squared effect and of its variance, and the level count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2)
+        total = np.zeros(3)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -162,8 +162,9 @@ def _variance_sums(f: int, ridge: float, gamma: np.ndarray, cov: np.ndarray):
             b, size, r = c[:, :f], c[:, f] + ridge, c[:, f + 1]
             total[0] += float((((r - b @ gamma) / size) ** 2).sum())
             total[1] += float((1 / size + np.einsum("ij,jk,ik->i", b, cov, b) / size**2).sum())
+            total[2] += len(r)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0, 1], pa.int64()), pa.array(total)], names=["pos", "value"]
+            [pa.array([0, 1, 2], pa.int64()), pa.array(total)], names=["pos", "value"]
         )
 
     return run
@@ -213,7 +214,7 @@ def fit_absorbed(
         parts = rows.mapInArrow(_level_sums(task, factor), _sums_schema(f))
         columns = [F.sum(f"c{j}").alias(f"c{j}") for j in range(f + 2)]
         summed = stage(parts.groupBy("level", "item").agg(*columns), "level-sums")
-        table = summed.where(F.col("level").isNull()).orderBy("item").toArrow()
+        table = summed.where(F.col("level").isNull()).toArrow().sort_by("item")
         dense = np.column_stack([table.column(f"c{j}").to_numpy() for j in range(f + 2)])
         new = summed.where(F.col("level").isNotNull())
         scalars = dense[f : f + 7, 0].copy()
@@ -255,8 +256,7 @@ def _next_ridge(sums: DataFrame, state: _State, ridge: float, f: int) -> tuple[f
     cov[np.ix_(state.keep, state.keep)] = state.last["inv"]
     cov = state.design.map @ cov @ state.design.map.T
     columns = sums.select(*[f"c{j}" for j in range(f + 2)])
-    squares, spread = _summed(columns, _variance_sums(f, ridge, gamma, cov), 2)
-    count = sums.count()
+    squares, spread, count = _summed(columns, _variance_sums(f, ridge, gamma, cov), 3)
     variance = max((squares + spread) / max(count, 1), 1e-6)
     return 1 / variance, abs(variance * ridge - 1) < 1e-4, float(spread)
 

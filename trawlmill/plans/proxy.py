@@ -13,6 +13,7 @@ from ..functions.haultext import SERIAL_EPOCH
 from ..functions.semantics import has_at_most, seconds_between, union_by_name
 from ..operators.environment import ele_indicator, join_environment, positions_without_zero
 from ..operators.hauls import raising_factor
+from ..sources.staging import stage
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 PARTIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -442,12 +443,20 @@ def whole(col) -> Column:
 
 
 def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of one workbook per member and year, filled from the sampling lines."""
+    """Cells of one workbook per member and year, filled from the sampling lines.
+
+    The lines are summed once to the finest cell of any sheet and staged; every sheet
+    then re-sums that small table, so the line items are read a single time.
+    """
     size = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    lines = (
+    lines = stage(
         sample_lines(spark, sf_dir)
         .join(size, F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("file", _book())
+        .groupBy(
+            _book().alias("file"), "member", "year", "quarter", "fleet", "p_size", "l_linenumber"
+        )
+        .agg(F.sum("l_quantity").alias("l_quantity"), F.count(F.lit(1)).alias("n")),
+        "workbook-sums",
     )
     books = lines.select("file", "member", "year").distinct()
     sheet_of = lambda kind: F.concat(F.lit(f"{kind} "), F.col("fleet"))
@@ -544,7 +553,9 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     # numbers, length and weight at age
     canum = lines.groupBy("file", "fleet", "l_linenumber", "quarter").agg(
-        whole("l_quantity").alias("n"), whole("p_size").alias("len"), whole(F.lit(1)).alias("w")
+        whole("l_quantity").alias("q"),
+        whole(F.col("p_size") * F.col("n")).alias("len"),
+        whole("n").alias("w"),
     )
     ages = canum.select("file", "fleet", "l_linenumber").distinct()
     at = 3 + (F.col("quarter") - 1) * 3
@@ -568,7 +579,7 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         cells(
             canum,
             sheet_of("CN"),
-            _cell(F.col("l_linenumber") + 11, at, F.col("n")),
+            _cell(F.col("l_linenumber") + 11, at, F.col("q")),
             _cell(F.col("l_linenumber") + 11, at + 1, F.col("len")),
             _cell(F.col("l_linenumber") + 11, at + 2, F.col("w")),
         ),
