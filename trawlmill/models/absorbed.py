@@ -259,7 +259,9 @@ def _next_ridge(sums: DataFrame, state: _State, ridge: float, f: int) -> tuple[f
     squares, spread, count = _summed(columns, _variance_sums(f, ridge, gamma, cov), 3)
     # same fixed point as averaging size and uncertainty, reached in far fewer passes
     variance = max(squares / max(count - ridge * spread, 1e-6), 1e-6)
-    return 1 / variance, abs(variance * ridge - 1) < 1e-4, float(spread)
+    # an absolute tolerance lets a variance that tends to zero settle
+    settled = abs(variance - 1 / ridge) < 1e-4 / ridge + 1e-5
+    return 1 / variance, settled, float(spread)
 
 
 def predict_absorbed(afit: AbsorbedFit, grid: DataFrame, level: str, z: float = 1.96) -> DataFrame:
