@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from trawlmill.llm.op1_bpe import op1_byte_bpe
+from trawlmill.llm.op3_near_dedup import op3_minhash_near_dedup
+from trawlmill.llm.op9_decontaminate import OP9_SQL, op9_benchmark_decontamination
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_benchmark_decontamination": OP9_SQL,
+}

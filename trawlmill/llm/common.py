@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 21
 
+#: Stands for a null id in row_id.
+NO_ID = -(1 << 62)
+
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -34,7 +37,7 @@ def whole_text(column: str = "text") -> Column:
 def texts_with_key(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null), row_id (id without null) and row_hash (of the text); other columns are left out."""
     return docs.select("doc_id", whole_text().alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("row_id"), F.xxhash64("text").alias("row_hash")
+        "doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("row_id"), F.xxhash64("text").alias("row_hash")
     )
 
 
