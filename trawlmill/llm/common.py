@@ -81,23 +81,25 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = end
 
 
-def words_of(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without ASCII white space; A-Z lowered) and for each its row; then words per row."""
+#: 0 for ASCII white space, 1 for the rest.
+WORD_BYTES = np.ones(256, np.uint8)
+WORD_BYTES[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def tokens_of(data: np.ndarray, at: np.ndarray, kind: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens (runs of bytes of one kind but 0; A-Z lowered), for each its row, and tokens per row."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    begin = ~space
-    begin[1:] &= space[:-1]
-    first = at[:-1][at[:-1] < at[1:]]
-    begin[first] = ~space[first]
-    end = ~space
-    end[:-1] &= space[1:]
-    end[first[1:] - 1] = ~space[first[1:] - 1]
-    end[-1] = ~space[-1]
-    start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    kinds = kind[data]
+    change = np.ones(n + 1, bool)
+    change[1:n] = kinds[1:] != kinds[:-1]
+    change[at] = True
+    edges = np.flatnonzero(change)
+    start, stop = edges[:-1], edges[1:]
+    full = kinds[start] != 0
+    start, stop = start[full], stop[full]
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     values = BYTE_VALUES[data]
     values *= powers(n, BASE)
     total = np.zeros(n + 1, np.uint64)
@@ -107,6 +109,11 @@ def words_of(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.n
     return out, row, np.bincount(row, minlength=len(at) - 1)
 
 
+def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without ASCII white space), for each its row, and words per row."""
+    return tokens_of(data, at)
+
+
 def shingles_of(words: np.ndarray, row: np.ndarray, count: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of `size` consecutive words and for each its row; a row of fewer words has one shingle of all of them, none if empty."""
     n = len(words)
