@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from trawlmill.llm.op1_bpe import op1_byte_bpe
+from trawlmill.llm.op10_quality import op10_quality_cotraining
+from trawlmill.llm.op2_suffix_dedup import op2_suffix_dedup
 from trawlmill.llm.op3_near_dedup import op3_minhash_near_dedup
+from trawlmill.llm.op6_language import op6_language_id
 from trawlmill.llm.op9_decontaminate import OP9_SQL, op9_benchmark_decontamination
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_language_id": op6_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_quality_cotraining": op10_quality_cotraining,
 }
 
 ORACLE: dict[str, str] = {

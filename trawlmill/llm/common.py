@@ -86,11 +86,18 @@ WORD_BYTES = np.ones(256, np.uint8)
 WORD_BYTES[[9, 10, 11, 12, 13, 32]] = 0
 
 
-def tokens_of(data: np.ndarray, at: np.ndarray, kind: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the tokens (runs of bytes of one kind but 0; A-Z lowered), for each its row, and tokens per row."""
+def tokens_of(
+    data: np.ndarray, at: np.ndarray, kind: np.ndarray = WORD_BYTES, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """64-bit hashes of the tokens (runs of bytes of one kind but 0; A-Z lowered), for each its row, and tokens per row.
+
+    With prefixes also, for each length, the hashes of the first bytes of all longer tokens and their rows.
+    """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(at) - 1, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        out = (*none, np.zeros(len(at) - 1, np.int64))
+        return (*out, [none for _ in prefixes]) if prefixes else out
     kinds = kind[data]
     change = np.ones(n + 1, bool)
     change[1:n] = kinds[1:] != kinds[:-1]
@@ -104,9 +111,18 @@ def tokens_of(data: np.ndarray, at: np.ndarray, kind: np.ndarray = WORD_BYTES) -
     values *= powers(n, BASE)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values, out=total[1:])
-    out = mix((total[stop] - total[start]) * powers(n, BASE_INVERSE)[start] + (stop - start).astype(np.uint64))
+    inverse = powers(n, BASE_INVERSE)[start]
+    out = mix((total[stop] - total[start]) * inverse + (stop - start).astype(np.uint64))
     row = np.searchsorted(at, start, side="right") - 1
-    return out, row, np.bincount(row, minlength=len(at) - 1)
+    count = np.bincount(row, minlength=len(at) - 1)
+    if not prefixes:
+        return out, row, count
+    heads = []
+    for size in prefixes:
+        longer = np.flatnonzero(stop - start > size)
+        first = start[longer]
+        heads.append((mix((total[first + size] - total[first]) * inverse[longer] + np.uint64(size << 32)), row[longer]))
+    return out, row, count, heads
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
