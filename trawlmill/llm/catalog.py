@@ -6,6 +6,8 @@ from trawlmill.llm.op1_bpe import op1_byte_bpe
 from trawlmill.llm.op10_quality import op10_quality_cotraining
 from trawlmill.llm.op2_suffix_dedup import op2_suffix_dedup
 from trawlmill.llm.op3_near_dedup import op3_minhash_near_dedup
+from trawlmill.llm.op4_order_minhash import op4_order_minhash
+from trawlmill.llm.op5_katz import op5_katz_backoff
 from trawlmill.llm.op6_language import op6_language_id
 from trawlmill.llm.op9_decontaminate import OP9_SQL, op9_benchmark_decontamination
 
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_order_minhash": op4_order_minhash,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_language_id": op6_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_cotraining": op10_quality_cotraining,
