@@ -9,6 +9,8 @@ from trawlmill.llm.op3_near_dedup import op3_minhash_near_dedup
 from trawlmill.llm.op4_order_minhash import op4_order_minhash
 from trawlmill.llm.op5_katz import op5_katz_backoff
 from trawlmill.llm.op6_language import op6_language_id
+from trawlmill.llm.op7_token_counts import op7_token_counts
+from trawlmill.llm.op8_warc import op8_warc_derivatives
 from trawlmill.llm.op9_decontaminate import OP9_SQL, op9_benchmark_decontamination
 
 QUERIES = {
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_order_minhash": op4_order_minhash,
     "op5_katz_backoff": op5_katz_backoff,
     "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_cotraining": op10_quality_cotraining,
 }

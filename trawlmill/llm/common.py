@@ -41,6 +41,21 @@ def texts_with_key(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the row identity beside a table's own columns.
+ROW_KEY = ("__row_id", "__row_hash")
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """All columns and the row identity."""
+    return docs.withColumns({ROW_KEY[0]: F.coalesce("doc_id", F.lit(NO_ID)), ROW_KEY[1]: F.xxhash64(whole_text())})
+
+
+def rows_with_key(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose identity is (left_semi) or is not (left_anti) among the keys (row_id, row_hash)."""
+    keys = keys.select(F.col("row_id").alias(ROW_KEY[0]), F.col("row_hash").alias(ROW_KEY[1]))
+    return with_row_key(docs).join(keys, [*ROW_KEY], how).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     x = x ^ (x >> np.uint64(30))

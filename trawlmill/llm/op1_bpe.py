@@ -201,24 +201,27 @@ def decode_ids(encoded: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, digests only."""
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids: encoding and decoding in one pass."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(ranks_file, pattern)
         for batch in chunks(batches):
-            counts, ids_digest, decoded_digest = [], [], []
+            counts, ids_digest, decoded_digest, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text)
                 counts.append(len(ids) // 4)
                 ids_digest.append(hashlib.sha256(ids).hexdigest())
                 decoded_digest.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                if with_ids:
+                    kept.append(ids)
+            more = [pa.array(kept, pa.binary())] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest), pa.array(decoded_digest)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digest, pa.string()), pa.array(decoded_digest, pa.string()), *more],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
             )
 
-    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, out)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, chunks, mix, powers, table, text_bytes, texts_with_key
+from trawlmill.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, ROW_KEY, chunks, mix, powers, table, text_bytes, texts_with_key, with_row_key
 from trawlmill.sources.staging import stage
 
 MIN_BYTES = 400
@@ -334,6 +334,33 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, b
     return both.mapInArrow(run, "doc_id long, row_id long, row_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def strip_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs with the repeats taken out of `text`; a character that a cut leaves incomplete goes too.
+
+    n_chars, where there, is the length of the new text.  A null text stays null.
+    """
+    columns = docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            kept = []
+            for text, ranges in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if ranges:
+                    text = np.frombuffer(text, np.uint8)[~removed_mask(len(text), ranges, length)].tobytes()
+                kept.append(text.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+
+    ranges = repeated_ranges(docs, length, gram, block_bytes)
+    keyed = with_row_key(docs).join(ranges.select(F.col("row_id").alias(ROW_KEY[0]), F.col("row_hash").alias(ROW_KEY[1]), F.col("ranges").alias("__ranges")), [*ROW_KEY], "left")
+    whole = keyed.where("__ranges IS NULL").select(*columns)
+    cut = keyed.where("__ranges IS NOT NULL").select("text", "__ranges", *[F.col(f"`{c}`") for c in columns if c != "text"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.drop("__ranges").schema)
+    out = cut.mapInArrow(run, fields)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(out.select(*columns))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import NO_ID, chunks, mix, shingles_of, table, text_bytes, texts_with_key, words_of
+from trawlmill.llm.common import NO_ID, ROW_KEY, chunks, mix, rows_with_key, shingles_of, table, text_bytes, texts_with_key, with_row_key, words_of
 from trawlmill.sources.staging import stage
 
 SHINGLE_WORDS = 5
@@ -245,6 +245,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, size:
     return rows.join(classes, "node").select("doc_id", "row_id", "row_hash", "class_id", "root")
 
 
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, one for each class: the least identity, and one of its repeated rows."""
+    classes = stage(near_duplicate_classes(docs, threshold).select("row_id", "row_hash", "root"), "classes")
+    kept = classes.groupBy("root").agg(F.min(F.struct("row_id", "row_hash")).alias("k")).select("k.row_id", "k.row_hash")
+    often = classes.groupBy("row_id", "row_hash").agg(F.count("*").alias("n")).where("n > 1").select("row_id", "row_hash")
+    often = stage(often.join(kept, ["row_id", "row_hash"], "left_semi"), "repeated")
+    if often.isEmpty():
+        return rows_with_key(docs, kept)
+    single = kept.join(often, ["row_id", "row_hash"], "left_anti")
+    repeated = with_row_key(rows_with_key(docs, often)).dropDuplicates([*ROW_KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_with_key(docs, single).unionByName(repeated)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id")
