@@ -9,12 +9,18 @@ from .semantics import hours_between, strip_blanks, to_number
 
 # Day 0 of the spreadsheet calendar, and the two date layouts accepted.
 SERIAL_EPOCH = "1899-12-30"
+# Serials of 0001-01-01 and of the end of 9999-12-31.
+FIRST_SERIAL, AFTER_LAST_SERIAL = -693593.0, 2958466.0
 DATED_TEXT = r"^\d{4}[-/]"
 FULL_STAMP = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}"
 
 
 def serial_to_timestamp(days: Column) -> Column:
-    """Spreadsheet day number (with day fraction) to a time stamp without zone."""
+    """Spreadsheet day number (with day fraction) to a time stamp without zone.
+
+    A number outside the calendar is no date and gives NULL.
+    """
+    days = F.when((days >= FIRST_SERIAL) & (days < AFTER_LAST_SERIAL), days)
     micros = F.round(days * F.lit(86400.0 * 1e6)).cast("bigint")
     whole = F.expr(f"timestamp_ntz'{SERIAL_EPOCH} 00:00:00'")
     seconds = (micros / F.lit(1_000_000)).cast("decimal(18,6)")

@@ -78,12 +78,9 @@ def strip_blanks(col: Column) -> Column:
 
 
 def to_number(col: Column) -> Column:
-    """Text to double; text that is not a number becomes NULL instead of failing."""
-    return col.try_cast("double")
-
-
-def r6(col) -> Column:
-    return F.round(col, 6)
+    """Text to double; text that is not a finite number becomes NULL instead of failing."""
+    value = col.try_cast("double")
+    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
 def null_safe_join(
@@ -117,8 +114,3 @@ def full_outer_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """Row union by column name; columns absent on one side are NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the table stays within a row bound; reads no more than bound + 1 rows."""
-    return df.limit(rows + 1).count() <= rows

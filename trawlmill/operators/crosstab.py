@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import sum0
+from ..functions.semantics import na_text, sum0
+from ..sources.staging import stage
 
 ALL = "(all)"
 
@@ -29,7 +30,7 @@ def margin_cells(
     fn: str = "sum",
     margins: Sequence[str] = (),
 ) -> DataFrame:
-    """Long form of the cross-tab: one row per cell, margins labelled "(all)".
+    """Long form of the cross-tab: one row per cell, margins labelled "(all)", missing values "NA".
 
     The input is already aggregated to the cells; margins re-aggregate cells, so
     the margin of a mean is the unweighted mean of the cell values.
@@ -42,7 +43,7 @@ def margin_cells(
     ]
     measure = sum0(value) if fn == "sum" else F.avg(value)
     # one text column per dimension keeps the labels of values and margins apart
-    named = df.select(*[F.col(c).cast("string").alias(c) for c in dims], value)
+    named = df.select(*[na_text(F.col(c)).alias(c) for c in dims], value)
     grouped = named.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(
         measure.alias("__cell"), *[F.grouping(c).alias(f"__g_{c}") for c in dims]
     )
@@ -57,16 +58,19 @@ def crosstab(
     rows: Sequence[str],
     col: str,
     value: str,
-    levels: Sequence,
+    levels: Sequence = (),
     fn: str = "sum",
     margins: Sequence[str] = (),
 ) -> DataFrame:
     """Wide form: one column per level of ``col``, plus "(all)" when it has a margin.
 
-    ``levels`` is the known (small) domain of the column variable, so the pivot
-    needs no extra job.  Empty cells are 0 for sums and NULL for means.
+    The columns are the levels that the aggregated cells hold, after those named in
+    ``levels``, which have a column even where they have no cell.  Empty cells are 0 for
+    sums and NULL for means.
     """
-    cells = margin_cells(df, rows, [col], value, fn, margins)
-    names = [str(v) for v in levels] + ([ALL] if col in margins else [])
+    cells = stage(margin_cells(df, rows, [col], value, fn, margins), "cells")
+    named = [str(v) for v in levels]
+    found = {r[0] for r in cells.select(col).distinct().collect()} - {*named, ALL}
+    names = [*named, *sorted(found), *([ALL] if col in margins else [])]
     wide = cells.groupBy(*rows).pivot(col, names).agg(F.first(value))
     return wide.na.fill(0.0, names) if fn == "sum" else wide

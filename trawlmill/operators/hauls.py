@@ -317,18 +317,17 @@ def dedupe_hauls(
 ) -> DataFrame:
     """One row per haul; hauls repeat once per species.
 
-    The kept row is the smallest by the remaining columns in order.  A minimum of
-    a struct aggregates map-side, so a haul with very many rows stays one row per
-    partition in the shuffle; a row-number window would sort them all in one task.
+    The kept row is the smallest by the remaining columns in order, a missing value
+    coming after any other.  A minimum of a struct aggregates map-side, so a haul with
+    very many rows stays one row per partition in the shuffle; a row-number window would
+    sort them all in one task.
     """
     rest = [c for c in (keep or df.columns) if c not in keys]
     if not rest:
         return df.select(*keys).distinct()
-    return (
-        df.groupBy(*keys)
-        .agg(F.min(F.struct(*rest)).alias("__first"))
-        .select(*keys, "__first.*")
-    )
+    ranked = [x for i, c in enumerate(rest) for x in (F.col(c).isNull().alias(f"m{i}"), F.col(c).alias(f"v{i}"))]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("__first"))
+    return first.select(*keys, *[F.col(f"__first.v{i}").alias(c) for i, c in enumerate(rest)])
 
 
 def clean_register(df: DataFrame, target: str = "CJM") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.semantics import if_else, n_distinct, null_safe_join, sum0, union_by_name, week_of_year
+from ..functions.semantics import if_else, n_distinct, na_text, null_safe_join, sum0, union_by_name, week_of_year
+from ..sources.staging import stage
 from .crosstab import ALL, crosstab, margin_cells
 from .hauls import HAUL_KEY, dedupe_hauls
 
@@ -102,7 +103,7 @@ def haul_counts(hauls: DataFrame, by: str = "vesselcp") -> DataFrame:
 
 def fishing_hours(hauls: DataFrame, by: str = "vesselcp") -> DataFrame:
     unique = _unique_hauls(hauls, by, "vesselname", ["duration"])
-    return unique.groupBy(by, "year").agg(sum0("duration").cast("int").alias("duration"))
+    return unique.groupBy(by, "year").agg(F.expr("coalesce(sum(duration), 0)").cast("bigint").alias("duration"))
 
 
 def mean_haul_duration(hauls: DataFrame, by: str = "vesselcp") -> DataFrame:
@@ -151,7 +152,7 @@ def catch_by_species_over_threshold(
     rows = hauls if fy is None else hauls.where(F.col("year") >= fy)
     cells = (
         rows.groupBy("vesselcp", "species", "year")
-        .agg(sum0("catch").cast("int").alias("catch"))
+        .agg(sum0("catch").cast("bigint").alias("catch"))
         .withColumn("catch", F.col("catch").cast("double"))
     )
     # the restriction runs on the aggregated cells, not on the hauls
@@ -363,12 +364,14 @@ def vessel_year_mean_catch(
     )
 
 
-def avg_catch_wide_by_year(hauls: DataFrame, years: Sequence[int]) -> DataFrame:
-    return (
-        hauls.groupBy("vesselname", "vesselcountry")
-        .pivot("year", list(years))
-        .agg(F.avg("catch"))
-    )
+def avg_catch_wide_by_year(hauls: DataFrame, years: Sequence[int] = ()) -> DataFrame:
+    """Mean catch of each vessel, a column for each year: those named, and all others that occur ("NA": none)."""
+    keys = ["vesselname", "vesselcountry"]
+    cells = hauls.groupBy(*keys, na_text(F.col("year")).alias("year")).agg(F.avg("catch").alias("catch"))
+    cells = stage(cells, "cells")
+    named = [str(y) for y in years]
+    found = {r[0] for r in cells.select("year").distinct().collect()} - set(named)
+    return cells.groupBy(*keys).pivot("year", [*named, *sorted(found)]).agg(F.first("catch"))
 
 
 def zero_catch_counts(hauls: DataFrame, party: str | None = None, by_vessel: bool = False) -> DataFrame:

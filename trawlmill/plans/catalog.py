@@ -170,7 +170,7 @@ def s6(spark, sf):
 
 @query("s7_merge_current_year")
 def s7(spark, sf):
-    official = P.register_text(spark, sf).where(F.col("validfishing") == "1")
+    official = P.register_text(spark, sf)
     merged = tables.merge_current_year(official, P.current_year_text(spark, sf))
     return merged.groupBy("flag", "caughtspeciescode", "targetspeciescode").agg(
         F.count(F.lit(1)).alias("n"),

@@ -174,7 +174,7 @@ oracle("s6_read_wide_months", ["sst"], "SELECT year, month, sst FROM sst", ["sst
 oracle("s7_merge_current_year", ["register", "lines"], f"""
 SELECT flag, caughtspeciescode, targetspeciescode, count(*) AS n, count(t) AS with_tonnes, sum(kg) AS kg FROM (
   SELECT vesselcountry AS flag, species AS caughtspeciescode, targetspeciescode, "catch" AS t, retainedspecieskg AS kg
-  FROM register WHERE validfishing = '1'
+  FROM register
   UNION ALL
   SELECT vesselcountry, lower({SPECIES}), 'CJM', NULL, l_quantity * 1000 FROM lines WHERE year(l_shipdate) = {LY})
 GROUP BY ALL""")
@@ -254,7 +254,7 @@ FROM (SELECT DISTINCT {cols} FROM {src})) WHERE rn = 1"""
 
 
 def first_hauls(keys: str, rest: str, src: str = "hauls") -> str:
-    order = ", ".join(f"{c.strip()} NULLS FIRST" for c in rest.split(","))
+    order = ", ".join(f"{c.strip()} NULLS LAST" for c in rest.split(","))
     return FIRST_HAUL.format(keys=keys, rest=order, cols=f"{keys}, {rest}", src=src)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.haultext import SERIAL_EPOCH
-from ..functions.semantics import has_at_most, seconds_between, union_by_name
+from ..functions.semantics import seconds_between, union_by_name
 from ..operators.environment import ele_indicator, join_environment, positions_without_zero
 from ..operators.hauls import raising_factor
 from ..sources.staging import stage
@@ -65,36 +65,9 @@ def species_code(flag: Column) -> Column:
     return F.when(flag == "N", "CJM").when(flag == "A", "MAS").otherwise("OTH")
 
 
-SMALL_FLEET = 500_000
-_small: dict[str, bool] = {}
-_splits: dict[str, int] = {}
-
-
-def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items over all cores.
-
-    A table written as one row group arrives in one task.  Only a scan with fewer splits
-    than cores is redistributed; a large table already has more and is left alone.
-    """
-    lines = table(spark, sf_dir, "lineitem")
-    if sf_dir not in _splits:
-        _splits[sf_dir] = lines.rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    return lines.repartition(cores) if _splits[sf_dir] < cores else lines
-
-
 def haul_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items joined to the fleet.
-
-    The fleet is one short row per supplier.  It is broadcast when the supplier table is
-    within a checked bound (one bounded count per folder); beyond that both sides are
-    shuffled on the supplier, where AQE splits a hot supplier.
-    """
-    if sf_dir not in _small:
-        _small[sf_dir] = has_at_most(table(spark, sf_dir, "supplier").select("s_suppkey"), SMALL_FLEET)
-    vessels = fleet(spark, sf_dir)
-    side = F.broadcast(vessels) if _small[sf_dir] else vessels
-    return spread(spark, sf_dir).join(side, F.col("l_suppkey") == F.col("s_suppkey"))
+    """Line items joined to the fleet; the optimizer picks the join by the size it finds, and splits a hot supplier."""
+    return table(spark, sf_dir, "lineitem").join(fleet(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 def hauls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,22 +7,31 @@ stay prunable, and a lost executor only re-reads its files.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="trawlmill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by the session; only a local session may fall back to its own."""
+    """Folder named by the session.
+
+    Where it names none, a session whose tasks run in the driver's own process (master
+    ``local``) uses a folder of its own; any other is refused.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="trawlmill-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

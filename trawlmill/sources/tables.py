@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.semantics import not_matching, to_number, union_by_name
+from ..functions.semantics import na_text, not_matching, to_number, union_by_name
+from .staging import stage
 
 # Register headings and the names used from there on.
 REGISTER_NAMES = {
@@ -55,10 +56,6 @@ OLD_LIST_NAMES = (
 )
 
 
-def lower_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip().lower() for c in df.columns])
-
-
 def read_haul_table(
     spark: SparkSession, path: str, mapping: Mapping[str, str] = REGISTER_NAMES, fmt: str = "csv"
 ) -> DataFrame:
@@ -92,15 +89,19 @@ def read_positional_lists(cells: DataFrame, names: Sequence[str], first_row: int
     return table.where(country.isNotNull() & not_matching(F.lower(country), "vessel"))
 
 
-def select_files(paths: DataFrame, col: str = "path") -> DataFrame:
-    """Workbooks below age-length-key folders; lock files and archived folders left out."""
+def select_files(paths: DataFrame, col: str = "path", older: bool = False) -> DataFrame:
+    """Workbooks below age-length-key folders; lock files and archived folders left out.
+
+    The ``older`` layout keeps its files beside those folders: folders whose names end in
+    ALK, prel or old are left out instead.
+    """
     path = F.col(col)
     folder = F.upper(F.regexp_replace(path, r"/[^/]*$", ""))
     name = F.element_at(F.split(path, "/"), -1)
+    wanted = not_matching(folder, "(ALK|PREL|OLD)$") if older else folder.contains("ALK") & not_matching(folder, "ATTIC$")
     return paths.where(
         path.isNotNull()
-        & folder.contains("ALK")
-        & not_matching(folder, "ATTIC$")
+        & wanted
         & name.contains("xls")
         & not_matching(path, "~")
         & not_matching(path, "NUEVO")
@@ -172,13 +173,15 @@ def read_prev_index(spark: SparkSession, path: str, schema: str = PREV_INDEX) ->
 def read_reference_index(
     df: DataFrame, party: str, fy: int | None = None, variables: Sequence[str] = ("catch", "cpue", "effort")
 ) -> DataFrame:
-    """Older index kept for comparison: one party, one column per variable."""
+    """Older index kept for comparison: one party, one column per variable, those not named included."""
     rows = df.where(F.col("vesselcp") == party)
     if fy is not None:
         rows = rows.where(F.col("year") >= fy)
+    cells = stage(rows.groupBy("year", na_text(F.col("variable")).alias("variable")).agg(F.min("value").alias("value")), "cells")
+    found = {r[0] for r in cells.select("variable").distinct().collect()} - set(variables)
     return (
-        rows.groupBy("year")
-        .pivot("variable", list(variables))
+        cells.groupBy("year")
+        .pivot("variable", [*variables, *sorted(found)])
         .agg(F.first("value"))
         .withColumns({"model": F.lit("old cpue"), "desc": F.lit(f"old index, {party}")})
     )
