@@ -45,10 +45,45 @@ def trigamma(x: np.ndarray) -> np.ndarray:
     return inv + 0.5 * inv2 + series + shift
 
 
+def negbin_terms(y: np.ndarray, size: float, mu: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood of each count, its score and its information for the size."""
+    one = np.full(1, size)
+    loglik = (
+        lgamma(y + size) - lgamma(one) - lgamma(y + 1)
+        + size * math.log(size) + y * np.log(mu) - (y + size) * np.log(size + mu)
+    )
+    score = digamma(y + size) - digamma(one) + math.log(size) + 1 - np.log(mu + size) - (y + size) / (mu + size)
+    info = trigamma(one) - trigamma(y + size) - 1 / size + 2 / (mu + size) - (y + size) / (mu + size) ** 2
+    return loglik, score, info
+
+
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def f_upper(x: float, df1: float, df2: float) -> float:
+    """P(X > x) for an F variable, by the continued fraction of the incomplete beta function."""
+    if x <= 0 or df1 <= 0 or df2 <= 0:
+        return 1.0
+    a, b, t = df2 / 2, df1 / 2, df2 / (df2 + df1 * x)
+    flip = t > (a + 1) / (a + b + 2)
+    if flip:
+        a, b, t = b, a, 1 - t
+    if t <= 0:
+        return 1.0 if flip else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(t) + b * math.log1p(-t)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * t / (a + 1) or 1e-300)
+    h = d
+    for m in range(1, 2000):
+        for num in (m * (b - m) * t / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * t / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d or 1e-300)
+            c = 1 + num / c or 1e-300
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return 1 - front * h if flip else front * h
+
+
 def chi2_upper(x: float, df: float) -> float:
     """P(X > x) for a chi-square variable."""
     if df <= 0 or x <= 0:

@@ -202,6 +202,14 @@ def code_name(var: str) -> str:
     return f"{var}__code"
 
 
+def level_code(var: str, levels: Sequence) -> Column:
+    """Position of the row's level in the list; NULL for a level that is not in it."""
+    if not levels:
+        return F.lit(None).cast("int")
+    place = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(var))
+    return (F.nullif(place, F.lit(0)) - 1).cast("int")
+
+
 def atom_values(atom: Atom, columns: Mapping[str, np.ndarray]) -> np.ndarray:
     kind = atom[0]
     if kind == "level":

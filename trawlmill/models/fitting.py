@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import digamma, lgamma, trigamma
+from ..functions.special import lgamma, negbin_terms
 from ..sources.staging import stage
 from .design import (
     Design,
@@ -28,6 +28,7 @@ from .design import (
     code_name,
     factor_levels,
     feature_matrix,
+    level_code,
     margin_knots,
     spatial_knots,
 )
@@ -114,6 +115,7 @@ def model_frame(
 ) -> Frame:
     """Complete rows as numbers and level codes, staged once for all passes.
 
+    A row with a level that is not listed in ``levels`` is not complete.
     ``extra`` adds variables used only in row conditions; ``carried`` columns stay as
     they are (factors with too many levels to code).
     """
@@ -129,9 +131,7 @@ def model_frame(
     coded = staged.select(
         *[F.col(c).cast("double").alias(c) for c in numbers],
         *[
-            (F.array_position(F.array(*[F.lit(v) for v in found[u]]), F.col(u)) - 1)
-            .cast("int")
-            .alias(code_name(u))
+            level_code(u, found[u]).alias(code_name(u))
             for u in used
         ],
         *carried,
@@ -181,23 +181,9 @@ def _row_sums(y, mu, w, z, off, family, theta, n_const):
         out[2] = float((y * np.log(mu) - mu - lgamma(y + 1)).sum())
         out[3] = 2 * float((ylog - (y - mu)).sum())
     else:
-        t = theta
-        out[2] = float(
-            (
-                lgamma(y + t) - lgamma(np.full(1, t))[0] - lgamma(y + 1)
-                + t * math.log(t) + y * np.log(mu) - (y + t) * np.log(t + mu)
-            ).sum()
-        )
-        out[3] = 2 * float((ylog - (y + t) * np.log((y + t) / (mu + t))).sum())
-        one = np.full(1, t)
-        out[4] = float(
-            (digamma(y + t) - digamma(one)[0] + math.log(t) + 1 - np.log(mu + t) - (y + t) / (mu + t)).sum()
-        )
-        out[5] = float(
-            (
-                trigamma(one)[0] - trigamma(y + t) - 1 / t + 2 / (mu + t) - (y + t) / (mu + t) ** 2
-            ).sum()
-        )
+        loglik, score, info = negbin_terms(y, theta, mu)
+        out[2], out[4], out[5] = float(loglik.sum()), float(score.sum()), float(info.sum())
+        out[3] = 2 * float((ylog - (y + theta) * np.log((y + theta) / (mu + theta))).sum())
     out[6] = float(((y / mu - 1) ** 2).sum())
     return out
 
@@ -288,9 +274,11 @@ def gram_pass(data: DataFrame, states: list[dict]) -> dict[int, dict]:
 # --- solving -----------------------------------------------------------------------------------
 
 ALIAS_TOLERANCE = 1e-9
-# smoothing weights are chosen in the first passes and then held, so the fit settles
-SMOOTHING_PASSES = 8
 LAMBDA_GRID = 10.0 ** np.arange(-6, 7, 1.0)
+# steps of the search for smoothing weights, in powers of ten
+FIRST_STEP, LAST_STEP = 1.0, 0.02
+# smoothing weights that move less than this between two passes are held from then on
+SETTLED_STEP = 0.05
 
 
 def estimable(gram: np.ndarray, fixed: int, sizes: np.ndarray) -> np.ndarray:
@@ -312,7 +300,7 @@ def estimable(gram: np.ndarray, fixed: int, sizes: np.ndarray) -> np.ndarray:
         if left < ALIAS_TOLERANCE:
             continue
         keep.append(j)
-    return np.array([*keep, *(j for j in range(fixed, len(gram)) if scale[j] > 0)])
+    return np.array([*keep, *(j for j in range(fixed, len(gram)) if scale[j] > 0)], dtype=int)
 
 
 class _State:
@@ -331,6 +319,9 @@ class _State:
         self.halvings = 0
         self.last: dict | None = None
         self.scaled = False
+        self.held = not design.blocks
+        self.held_before = self.held
+        self.bounds: dict[tuple[int, int], tuple[float, float]] = {}
         self.keep: np.ndarray | None = None
 
     def task_state(self) -> dict:
@@ -381,21 +372,45 @@ class _State:
         return rss / n + 2 * edf / n
 
     def _choose_smoothing(self, gram, rhs, scalars) -> None:
+        """Weights of least criterion on this pass' cross products; held once passes agree."""
         n, zz = scalars[0], scalars[1]
-        for i, block in enumerate(self.design.blocks):
-            part = gram[block.start : block.stop, block.start : block.stop]
-            for j, pen in enumerate(block.penalties):
-                unit = max(float(np.trace(part)) / max(float(np.trace(pen)), 1e-12), 1e-12)
-                centre = self.lambdas[i][j]
-                grid = unit * LAMBDA_GRID if not self.scaled else centre * 10.0 ** np.array([-1, -0.3, 0, 0.3, 1])
-                scores = []
-                for lam in grid:
-                    self.lambdas[i][j] = lam
-                    scores.append(self._criterion(gram, rhs, zz, n, self.lambdas))
-                best = int(np.argmin(scores))
-                self.lambdas[i][j] = grid[best]
+        before = [np.log10(x) for x in self.lambdas]
+        score = math.inf
+        if not self.scaled:
+            for i, block in enumerate(self.design.blocks):
+                part = gram[block.start : block.stop, block.start : block.stop]
+                for j, pen in enumerate(block.penalties):
+                    unit = max(float(np.trace(part)) / max(float(np.trace(pen)), 1e-12), 1e-12)
+                    score = self._best_of(i, j, unit * LAMBDA_GRID, gram, rhs, zz, n)[0]
+                    self.bounds[i, j] = unit * LAMBDA_GRID[0], unit * LAMBDA_GRID[-1]
+        step = FIRST_STEP if not self.scaled else SETTLED_STEP * 4
+        while step >= LAST_STEP:
+            moved = False
+            for i, block in enumerate(self.design.blocks):
+                for j in range(len(block.penalties)):
+                    low, high = self.bounds[i, j]
+                    grid = np.clip(self.lambdas[i][j] * 10.0 ** np.array([-step, 0.0, step]), low, high)
+                    at = self._best_of(i, j, grid, gram, rhs, zz, n)[1]
+                    moved |= at != 1
+            if not moved:
+                step /= 4
+        gap = max(float(np.abs(np.log10(x) - y).max()) for x, y in zip(self.lambdas, before, strict=True))
+        self.held = self.scaled and gap < SETTLED_STEP
         self.scaled = True
 
+    def _best_of(self, i, j, grid, gram, rhs, zz, n) -> tuple[float, int]:
+        """Sets one weight to the value of least criterion; ties go to the middle value."""
+        scores = []
+        for lam in grid:
+            self.lambdas[i][j] = lam
+            scores.append(self._criterion(gram, rhs, zz, n, self.lambdas))
+        best = int(np.argmin(scores))
+        middle = len(grid) // 2
+        if not scores[best] < scores[middle] - 1e-9 * abs(scores[middle]):
+            best = middle
+        self.lambdas[i][j] = grid[best]
+        return scores[best], best
+
     def update(self, res: dict, tol: float, last_pass: bool) -> None:
         """One scoring step for the coefficients and one Newton step for the dispersion."""
         gram, rhs = self._project(res)
@@ -413,20 +428,24 @@ class _State:
             settled = (
                 abs(objective - self.loglik) < tol * (abs(self.loglik) + 0.1)
                 and self.theta_settled
+                and self.held
             )
             worse = objective < self.loglik - 1e-6 * (abs(self.loglik) + 0.1)
-            can_halve = not self.design.blocks and self.halvings < 8 and self.iterations > 2
+            # with other weights the objective is another function; then a drop says nothing
+            can_halve = self.held_before and self.halvings < 8 and self.iterations > 2
             if worse and can_halve:
                 self.beta = (self.beta + self.previous) / 2
                 self.halvings += 1
                 return
             self.halvings = 0
+            self.held_before = self.held
             self.loglik = objective
             self._remember(gram, rhs, res, n)
             if settled or last_pass:
                 self.done = True
+                self.converged = bool(settled)
                 return
-        if self.design.blocks and self.iterations < SMOOTHING_PASSES:
+        if not self.held:
             self._choose_smoothing(gram, rhs, scalars)
         beta, inv = self._solve(gram, rhs, self.lambdas)
         self.theta_settled = True
@@ -503,6 +522,7 @@ def fit_many(
         results = gram_pass(frame.data, [s.task_state() for s in open_])
         for s in open_:
             s.update(results[s.index], tol, it == max_iter - 1)
-            if it == max_iter - 1 and s.done:
-                s.converged = False
+    for s in states:
+        if not s.done:  # the last pass only took a step back
+            s.converged = False
     return {s.spec.name: s.result() for s in states}

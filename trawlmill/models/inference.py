@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.special import chi2_upper, normal_two_sided
-from .design import Formula, code_name, feature_matrix
+from ..functions.special import chi2_upper, f_upper, normal_two_sided
+from .design import Formula, code_name, feature_matrix, level_code
 from .fitting import Fit, FitSpec, Frame, fit_many
 
 
@@ -38,7 +38,7 @@ def tidy(spark: SparkSession, fit: Fit) -> DataFrame:
 
 
 def fit_statistics(spark: SparkSession, fits: dict[str, Fit], label: str = "model") -> DataFrame:
-    """One row per fit: rows, effective parameters, dispersion, log-likelihood, AIC."""
+    """One row per fit: rows, effective parameters, dispersion, log-likelihood, AIC, and whether it settled."""
     rows = [
         (
             name,
@@ -48,25 +48,33 @@ def fit_statistics(spark: SparkSession, fits: dict[str, Fit], label: str = "mode
             float(f.loglik),
             float(f.deviance),
             float(f.aic),
+            int(f.iterations),
+            bool(f.converged),
         )
         for name, f in fits.items()
     ]
-    schema = f"{label} string, n double, edf double, theta double, loglik double, deviance double, aic double"
+    schema = f"{label} string, n double, edf double, theta double, loglik double, deviance double, aic double, iterations int, converged boolean"
     return spark.createDataFrame(rows, schema).orderBy("aic")
 
 
-def _evaluate(df: DataFrame, fit: Fit, function, new: Sequence[str]) -> DataFrame:
-    """Append columns computed from the features of each row, batch by batch in NumPy."""
+def unseen_levels(fit: Fit, factor: str) -> list[int]:
+    """Codes of the levels of a factor that no row of this fit had."""
+    single = [f[0][2] for f in fit.design.features if len(f) == 1 and f[0][0] == "level" and f[0][1] == factor]
+    if not single:
+        return []
+    seen = set(fit.present(factor))
+    return [i for i, level in enumerate(fit.space.levels[factor]) if level not in seen]
+
+
+def _evaluate(df: DataFrame, fit: Fit, function, new: Sequence[str], checked: bool = True) -> DataFrame:
+    """Append columns computed from the features of each row, batch by batch in NumPy.
+
+    Rows with a level that the fit has not seen get NULL, unless not ``checked``.
+    """
     atoms = [a for f in fit.design.features for a in f]
     factors = list(dict.fromkeys(a[1] for a in atoms if a[0] == "level"))
-    coded = df.withColumns(
-        {
-            code_name(v): (
-                F.array_position(F.array(*[F.lit(x) for x in fit.space.levels[v]]), F.col(v)) - 1
-            ).cast("int")
-            for v in factors
-        }
-    )
+    coded = df.withColumns({code_name(v): level_code(v, fit.space.levels[v]) for v in factors})
+    absent = {v: unseen_levels(fit, v) for v in factors} if checked else {}
     features, mapping = fit.design.features, fit.design.map
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
     width = len(df.columns)
@@ -78,9 +86,13 @@ def _evaluate(df: DataFrame, fit: Fit, function, new: Sequence[str]) -> DataFram
                 for i, name in enumerate(batch.schema.names)
             }
             x = feature_matrix(features, columns, batch.num_rows, {}) @ mapping
-            added = function(x, columns)
+            unknown = np.zeros(batch.num_rows, dtype=bool)
+            for v, codes in absent.items():
+                code = np.asarray(columns[code_name(v)], dtype=float)
+                unknown |= np.isnan(code) | np.isin(code, codes)
+            added = [np.where(unknown, np.nan, np.asarray(v, dtype=float)) for v in function(x, columns)]
             arrays = [batch.column(i) for i in range(width)]
-            arrays += [pa.array(np.asarray(v, dtype=float), from_pandas=True) for v in added]
+            arrays += [pa.array(v, from_pandas=True) for v in added]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:width], *new])
 
     return coded.mapInArrow(run, schema)
@@ -151,37 +163,62 @@ def compare_index(**series: DataFrame) -> DataFrame:
     return out
 
 
+def _wald(fit: Fit, columns: list[int], df: float) -> tuple[float, float]:
+    """Statistic and p-value of the coefficients being zero; F where the scale is estimated."""
+    v = fit.cov[np.ix_(columns, columns)]
+    b = fit.beta[columns]
+    statistic = float(b @ np.linalg.pinv(v) @ b)
+    if fit.spec.family == "gaussian":
+        return statistic / df, f_upper(statistic / df, df, fit.n - fit.edf)
+    return statistic, chi2_upper(statistic, df)
+
+
 def anova_terms(spark: SparkSession, frame: Frame, fit: Fit) -> DataFrame:
-    """Sequential deviance table; smooth terms get a Wald test on their block.
+    """Tests of the terms.
 
-    The nested models keep the dispersion of the full fit and are fitted together.
+    A model without smooths gets the sequential deviance table: nested models with the
+    dispersion of the full fit, fitted together; differences are divided by the scale of
+    the full fit, and where that is estimated the test is F.  A model with smooths gets
+    Wald tests of each term with everything else in, from the covariance of the fit.
     """
-    terms = fit.spec.formula.terms
-    base = fit.spec.formula
-    family = fit.spec.family
-    theta = None if math.isinf(fit.theta) else fit.theta
-    specs = [
-        FitSpec(str(k), Formula(base.response, terms[:k], (), base.offset), family, fit.spec.where, theta)
-        for k in range(len(terms) + 1)
-    ]
-    nested = fit_many(frame, specs)
     rows = []
-    for k, term in enumerate(terms, 1):
-        a, b = nested[str(k - 1)], nested[str(k)]
-        drop, df = (a.deviance - b.deviance) / b.scale, b.edf - a.edf
-        rows.append((":".join(term), float(df), float(drop), b.deviance, chi2_upper(drop, df)))
-    for block in fit.design.blocks:
-        sl = slice(block.start, block.stop)
-        v = fit.cov[sl, sl]
-        b = fit.beta[sl]
-        wald = float(b @ np.linalg.pinv(v) @ b)
-        edf = fit.block_edf[block.label]
-        rows.append((block.label, edf, wald, None, chi2_upper(wald, edf)))
+    if fit.design.blocks:
+        for term in fit.spec.formula.terms:
+            label = ":".join(term)
+            columns = [j for j, t in enumerate(fit.design.term_of) if t == label and fit.design.names[j] not in fit.aliased]
+            if columns:
+                rows.append((label, float(len(columns)), *_wald_row(fit, columns, float(len(columns)))))
+        for block in fit.design.blocks:
+            edf = fit.block_edf[block.label]
+            rows.append((block.label, edf, *_wald_row(fit, list(range(block.start, block.stop)), edf)))
+    else:
+        terms, base, family = fit.spec.formula.terms, fit.spec.formula, fit.spec.family
+        theta = None if math.isinf(fit.theta) else fit.theta
+        specs = [
+            FitSpec(str(k), Formula(base.response, terms[:k], (), base.offset), family, fit.spec.where, theta)
+            for k in range(len(terms) + 1)
+        ]
+        nested = fit_many(frame, specs)
+        for k, term in enumerate(terms, 1):
+            a, b = nested[str(k - 1)], nested[str(k)]
+            df = float(b.edf - a.edf)
+            drop = float((a.deviance - b.deviance) / fit.scale)
+            if family == "gaussian":
+                statistic = drop / df if df > 0 else 0.0
+                p = f_upper(statistic, df, fit.n - fit.edf)
+            else:
+                statistic, p = drop, chi2_upper(drop, df)
+            rows.append((":".join(term), df, statistic, float(b.deviance), p))
     return spark.createDataFrame(
         rows, "term string, df double, statistic double, residual_deviance double, p_value double"
     )
 
 
+def _wald_row(fit: Fit, columns: list[int], df: float) -> tuple[float, None, float]:
+    statistic, p = _wald(fit, columns, df)
+    return statistic, None, p
+
+
 def residual_checks(fit: Fit, df: DataFrame, probs: Sequence[float] = QQ_PROBS, width: float = 0.25) -> DataFrame:
     """Data behind the residual plots, long: QQ points, histogram, mean residual by predictor."""
     rows = augment(fit, df).select("link", "resid").where(F.col("resid").isNotNull())
@@ -222,4 +259,4 @@ def spatial_effect(spark: SparkSession, fit: Fit, lon: str, lat: str, step: floa
     filled = grid.withColumns(
         {**{v: F.lit(x) for v, x in levels.items()}, **{v: F.lit(0.0) for v in numbers}}
     )
-    return _evaluate(filled, fit, smooth, ("effect", "se")).select(lon, lat, "effect", "se")
+    return _evaluate(filled, fit, smooth, ("effect", "se"), checked=False).select(lon, lat, "effect", "se")

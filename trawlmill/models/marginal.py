@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.special import digamma, lgamma, trigamma
+from ..functions.special import negbin_terms
 from ..sources.staging import stage
 
 SUMS = "n double, total double, score double, info double, loglik double"
@@ -20,13 +20,7 @@ def _terms(theta: float, mu: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             y, n = b["y"].to_numpy(float), b["n"].to_numpy(float)
-            one = np.full(1, theta)
-            score = digamma(y + theta) - digamma(one) + math.log(theta) + 1 - math.log(theta + mu) - (y + theta) / (mu + theta)
-            info = trigamma(one) - trigamma(y + theta) - 1 / theta + 2 / (mu + theta) - (y + theta) / (mu + theta) ** 2
-            loglik = (
-                lgamma(y + theta) - lgamma(one) - lgamma(y + 1)
-                + theta * math.log(theta) + y * math.log(mu) - (y + theta) * math.log(theta + mu)
-            )
+            loglik, score, info = negbin_terms(y, theta, mu)
             yield pd.DataFrame(
                 {"n": [n.sum()], "total": [(n * y).sum()], "score": [(n * score).sum()],
                  "info": [(n * info).sum()], "loglik": [(n * loglik).sum()]}
@@ -35,14 +29,21 @@ def _terms(theta: float, mu: float):
     return run
 
 
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """(y, n): how often each whole value occurs."""
+    whole = df.where(F.col(value).isNotNull()).groupBy(F.rint(value).alias("y"))
+    return stage(whole.agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def negbin_loglik(df: DataFrame, value: str, size: float, mu: float) -> DataFrame:
+    """n, total and log-likelihood of the values under a given size and mean."""
+    parts = value_counts(df, value).mapInPandas(_terms(size, mu), SUMS)
+    return parts.agg(*[F.sum(c).alias(c) for c in ("n", "total", "loglik")])
+
+
 def fit_negbin_marginal(df: DataFrame, value: str, max_iter: int = 50) -> dict[str, float]:
     """Size and mean by maximum likelihood: counts per value in Spark, Newton outside."""
-    counts = stage(
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.rint(value).alias("y"))
-        .agg(F.count(F.lit(1)).alias("n")),
-        "value-counts",
-    )
+    counts = value_counts(df, value)
     first = counts.agg(
         F.sum("n").alias("n"),
         (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("mu"),
@@ -51,6 +52,7 @@ def fit_negbin_marginal(df: DataFrame, value: str, max_iter: int = 50) -> dict[s
     n, mu = float(first["n"]), float(first["mu"])
     theta = mu * mu / max(float(first["m2"]) - mu * mu - mu, 1e-8)
     loglik = info = 0.0
+    converged = False
     for _ in range(max_iter):
         s = counts.mapInPandas(_terms(theta, mu), SUMS).agg(
             *[F.sum(c).alias(c) for c in ("score", "info", "loglik")]
@@ -59,6 +61,7 @@ def fit_negbin_marginal(df: DataFrame, value: str, max_iter: int = 50) -> dict[s
         step = s["score"] / info if info > 0 else math.copysign(theta / 2, s["score"])
         new = min(max(theta + step, theta / 4), theta * 4)
         if abs(new - theta) < 1e-10 * theta:
+            converged = True
             break
         theta = new
     return {
@@ -68,13 +71,14 @@ def fit_negbin_marginal(df: DataFrame, value: str, max_iter: int = 50) -> dict[s
         "mu_se": math.sqrt((mu + mu * mu / theta) / n),
         "loglik": loglik,
         "n": n,
+        "converged": converged,
     }
 
 
 def marginal_table(spark: SparkSession, fit: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(
-        [("size", fit["size"], fit["size_se"]), ("mu", fit["mu"], fit["mu_se"])],
-        "parameter string, estimate double, sd double",
+        [("size", fit["size"], fit["size_se"], fit["converged"]), ("mu", fit["mu"], fit["mu_se"], True)],
+        "parameter string, estimate double, sd double, converged boolean",
     )
 
 
@@ -93,10 +97,7 @@ def _density(theta: float, mu: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             y = b["mids"].to_numpy(float)
-            loglik = (
-                lgamma(y + theta) - lgamma(np.full(1, theta)) - lgamma(y + 1)
-                + theta * math.log(theta) + y * math.log(mu) - (y + theta) * math.log(theta + mu)
-            )
+            loglik = negbin_terms(y, theta, mu)[0]
             yield b.assign(fit=np.exp(loglik))
 
     return run

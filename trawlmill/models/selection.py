@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .absorbed import fit_absorbed
-from .design import Formula, Smooth, crossed
+from .design import Formula, Smooth, code_name, crossed
 from .fitting import Fit, FitSpec, Frame, fit_many
 from .inference import fit_statistics, predict_index
 from .reference import prediction_grid, reference_cell_median
@@ -27,18 +27,26 @@ CANDIDATES: dict[str, tuple[tuple[str, ...], ...]] = {
 }
 
 
-def fit_grid(frame: Frame, formula: Formula, key: str, smooth: Formula | None = None) -> dict[str, Fit]:
-    """One GLM per level of a key column, and a smooth model at each GLM's dispersion."""
-    levels = frame.space.levels[key]
-    glm = fit_many(frame, [FitSpec(f"glm {v}", formula, where=((key, "==", v),)) for v in levels])
+def fit_grid(
+    frame: Frame, formula: Formula, keys: str | Sequence[str], smooth: Formula | None = None, family: str = "negbin"
+) -> dict[str, Fit]:
+    """One GLM per combination of the keys' levels, and a smooth model at each GLM's dispersion.
+
+    A combination without rows has no fit.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    there = {tuple(r) for r in frame.data.select(*[code_name(k) for k in keys]).distinct().collect()}  # levels only
+    cells = {
+        " ".join(str(frame.space.levels[k][c]) for k, c in zip(keys, codes, strict=True)): tuple(
+            (k, "==", frame.space.levels[k][c]) for k, c in zip(keys, codes, strict=True)
+        )
+        for codes in sorted(there)
+    }
+    glm = fit_many(frame, [FitSpec(f"glm {n}", formula, family, where) for n, where in cells.items()])
     if smooth is None:
         return glm
     gam = fit_many(
-        frame,
-        [
-            FitSpec(f"gam {v}", smooth, where=((key, "==", v),), theta=glm[f"glm {v}"].theta)
-            for v in levels
-        ],
+        frame, [FitSpec(f"gam {n}", smooth, family, where, _finite(glm[f"glm {n}"].theta)) for n, where in cells.items()]
     )
     return {**glm, **gam}
 
@@ -49,11 +57,13 @@ def forward_selection(
     candidates: Mapping[str, Sequence[tuple[str, ...]]] = CANDIDATES,
     rounds: int = 1,
     absorbed: str | None = None,
+    family: str = "negbin",
 ) -> tuple[list[tuple[int, str, float]], Formula]:
     """AIC of adding each candidate; the best one joins the model before the next round.
 
     ``absorbed`` names a factor with any number of levels among the candidates; its
-    effects are kept in a table (see ``absorbed.py``), the others share their passes.
+    effects are kept in a table (see ``absorbed.py``), the others share their passes
+    until that factor is in the model; from then on each candidate has passes of its own.
     """
     table: list[tuple[int, str, float]] = []
     left = dict(candidates)
@@ -61,13 +71,13 @@ def forward_selection(
     for r in range(1, rounds + 1):
         if not left and pending is None:
             break
-        specs = [FitSpec(n, base.plus(*t)) for n, t in left.items()]
+        specs = [FitSpec(n, base.plus(*t), family) for n, t in left.items()]
         if taken is None:
             scores = {n: f.aic for n, f in fit_many(frame, specs).items()}
         else:
             scores = {s.name: fit_absorbed(frame, s, taken).aic for s in specs}
         if pending is not None:
-            scores[pending] = fit_absorbed(frame, FitSpec(pending, base), pending).aic
+            scores[pending] = fit_absorbed(frame, FitSpec(pending, base, family), pending).aic
         ranked = sorted((aic, n) for n, aic in scores.items())
         table += [(r, n, aic) for aic, n in ranked]
         best = ranked[0][1]
@@ -132,10 +142,12 @@ def scenario_index(
     key: str,
     op: str,
     vessel: str,
+    family: str = "negbin",
 ) -> DataFrame:
     """Index of every scenario, each with its own dispersion, reference cell and years.
 
-    Levels that leave too little to fit (a single year) are skipped.
+    A scenario that leaves too little to fit (a single year) is one row without index;
+    ``reason`` says why.
     """
     levels = frame.space.levels[key]
     tag = ("no" if op == "!=" else "only") + "{}"
@@ -150,18 +162,20 @@ def scenario_index(
     }
     usable = [v for v in levels if len(years.get(v, [])) > 1]
     where = {v: ((key, op, v),) for v in usable}
-    base = fit_many(frame, [FitSpec(v, glm, where=where[v]) for v in usable])
+    base = fit_many(frame, [FitSpec(v, glm, family, where[v]) for v in usable])
     full = fit_many(
-        frame, [FitSpec(v, gam, where=where[v], theta=_finite(base[v].theta)) for v in usable]
+        frame, [FitSpec(v, gam, family, where[v], _finite(base[v].theta)) for v in usable]
     )
-    out = None
+    schema = "year int, cpue double, lwr double, upr double, type string, reason string"
+    poor = [(None, None, None, None, tag.format(v), "fewer than two years") for v in levels if v not in usable]
+    out = spark.createDataFrame(poor, schema)
     for v in usable:
         cell = {k: c for k, c in cells[v].items() if k != "scenario"}
         grid = prediction_grid(spark.createDataFrame([cell], _cell_schema(weekly, vessel)), years[v])
         part = predict_index(full[v], grid).select(
-            "year", "cpue", "lwr", "upr", F.lit(tag.format(v)).alias("type")
+            "year", "cpue", "lwr", "upr", F.lit(tag.format(v)).alias("type"), F.lit(None).cast("string").alias("reason")
         )
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
@@ -173,9 +187,9 @@ def _cell_schema(weekly: DataFrame, vessel: str) -> str:
     return f"{vessel} string, shootlon double, shootlat double, month int, ELE double, effort double"
 
 
-def leave_one_out(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp") -> DataFrame:
-    return scenario_index(spark, weekly, frame, glm, gam, key, "!=", vessel)
+def leave_one_out(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp", family="negbin") -> DataFrame:
+    return scenario_index(spark, weekly, frame, glm, gam, key, "!=", vessel, family)
 
 
-def single_group_fits(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp") -> DataFrame:
-    return scenario_index(spark, weekly, frame, glm, gam, key, "==", vessel)
+def single_group_fits(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp", family="negbin") -> DataFrame:
+    return scenario_index(spark, weekly, frame, glm, gam, key, "==", vessel, family)

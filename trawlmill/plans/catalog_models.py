@@ -76,7 +76,7 @@ def m4(spark, sf):
 
 @query("m5_by_factor_smooth")
 def m5(spark, sf):
-    by_year = D.Formula("catch", GAM.terms, (D.Smooth(("shootlon", "shootlat"), by="year", k=12),), "effort")
+    by_year = D.Formula("catch", GAM.terms, (D.Smooth(("shootlon", "shootlat"), by="year"),), "effort")
     frame = model_frame(weekly(spark, sf), [GLM, by_year], FACTORS)
     glm = fit_many(frame, [FitSpec("glm", GLM)])["glm"]
     fit = fit_many(frame, [FitSpec("gam by year", by_year, theta=glm.theta)])["gam by year"]
@@ -313,3 +313,141 @@ def m28(spark, sf):
 @query("m29_nominal_median_index")
 def m29(spark, sf):
     return reference.nominal_median_index(by_week(spark, sf, None))
+
+
+# --- models with a closed form: the same operators, answers that SQL can state -----------------
+
+YEAR_RATE = D.Formula("catch", (("year",),), (), "effort")
+YEAR_MEAN = D.Formula("lcpue", (("year",),))
+ONE_FACTOR = {"month": (("month",),), "vesselcp": (("vesselcp",),), "year": (("year",),), "ELE": (("ELE",),)}
+KNOWN = {"size": 0.8, "mu": 40.0}
+
+
+def _effort_one(spark):
+    return spark.createDataFrame([(y, 1.0) for y in YEARS], "year int, effort double")
+
+
+@query("m2_negbin_year_means")
+def m2_years(spark, sf):
+    """Without offset the coefficients are log ratios of the yearly means."""
+    frame = model_frame(weekly(spark, sf), [YEAR_ONLY], FACTORS)
+    fit = fit_many(frame, [FitSpec("year", YEAR_ONLY)])["year"]
+    return I.tidy(spark, fit).select("term", F.round("estimate", 5).alias("estimate"))
+
+
+@query("m3_negbin_loglik_at_size")
+def m3_loglik(spark, sf):
+    return marginal.negbin_loglik(weekly(spark, sf), "catch", **KNOWN)
+
+
+@query("m8_absorbed_vessel_means")
+def m8_means(spark, sf):
+    """One absorbed factor alone: its effects are group means, the deviance is the sum of squares within."""
+    formula = D.Formula("lcpue", ())
+    frame = model_frame(by_day(spark, sf), [formula], FACTORS, carried=["vesselcode2"])
+    fit = fit_absorbed(frame, FitSpec("vessel", formula, "gaussian"), "vesselcode2")
+    effects = fit.effects().select(
+        "vesselcode2", F.round(F.col("effect") + float(fit.fit.beta[0]), 5).alias("mean")
+    )
+    return effects.withColumn("deviance", F.round(F.lit(float(fit.fit.deviance)), 4))
+
+
+@query("m9_poisson_rate_by_scenario_party")
+def m9_rates(spark, sf):
+    """Fits for each efficiency and party: yearly catch over effort with its error."""
+    rows = weekly(spark, sf, SCENARIOS)
+    keys = ["efficiency", "vesselcp"]
+    frame = model_frame(rows, [YEAR_RATE], [*FACTORS, "efficiency"], extra=keys)
+    out = None
+    for name, fit in selection.fit_grid(frame, YEAR_RATE, keys, family="poisson").items():
+        part = I.predict_index(fit, _effort_one(spark)).where("cpue IS NOT NULL").select(
+            F.lit(name).alias("model"), "year", F.round("cpue", 4).alias("cpue"), F.round("se", 6).alias("se")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("m10_selection_of_one_factor")
+def m10_one(spark, sf):
+    frame = model_frame(by_day(spark, sf), [D.Formula("lcpue", tuple(t for ts in ONE_FACTOR.values() for t in ts))], FACTORS)
+    table, _ = selection.forward_selection(frame, D.Formula("lcpue", ()), ONE_FACTOR, family="gaussian")
+    return selection.selection_table(spark, table).select("round", "var", F.round("aic", 3).alias("aic"))
+
+
+@query("m11_compare_one_factor_models")
+def m11_one(spark, sf):
+    formulas = {n: D.Formula("lcpue", t) for n, t in ONE_FACTOR.items()}
+    frame = model_frame(by_day(spark, sf), list(formulas.values()), FACTORS)
+    fits = fit_many(frame, [FitSpec(n, f, "gaussian") for n, f in formulas.items()])
+    table = selection.compare_models(spark, fits, {n: f"mean by {n}" for n in formulas})
+    return table.select("model", "description", "n", "edf", F.round("deviance", 4).alias("deviance"), F.round("aic", 3).alias("aic"))
+
+
+@query("m12_poisson_year_aic")
+def m12_year(spark, sf):
+    frame = model_frame(weekly(spark, sf), [YEAR_ONLY], FACTORS)
+    fits = fit_many(frame, [FitSpec("year", YEAR_ONLY, "poisson")])
+    return I.fit_statistics(spark, fits).select("model", "n", "edf", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"))
+
+
+@query("m13_anova_of_one_factor")
+def m13_one(spark, sf):
+    frame = model_frame(by_day(spark, sf), [YEAR_MEAN], FACTORS)
+    fit = fit_many(frame, [FitSpec("year", YEAR_MEAN, "gaussian")])["year"]
+    return I.anova_terms(spark, frame, fit).select(
+        "term", "df", F.round("statistic", 5).alias("statistic"), F.round("residual_deviance", 4).alias("residual_deviance")
+    )
+
+
+def _rate_index(spark, sf):
+    frame = model_frame(weekly(spark, sf), [YEAR_RATE], FACTORS)
+    fit = fit_many(frame, [FitSpec("rate", YEAR_RATE, "poisson")])["rate"]
+    return I.predict_index(fit, _effort_one(spark))
+
+
+@query("m19_poisson_rate_index")
+def m19_rate(spark, sf):
+    return _rate_index(spark, sf).select("year", *[F.round(c, 5).alias(c) for c in ("cpue", "se", "lwr", "upr")])
+
+
+@query("m20_poisson_rate_table")
+def m20_rate(spark, sf):
+    # catch of a week of seven days, in whole tonnes
+    week = _rate_index(spark, sf).select("year", *[(F.col(c) * 7000).alias(c) for c in ("cpue", "lwr", "upr")])
+    return I.index_table(week)
+
+
+def _rate_scenarios(spark, sf, run):
+    rows = weekly(spark, sf)
+    frame = model_frame(rows, [YEAR_RATE], FACTORS, extra=["vesselcp"])
+    out = run(spark, rows, frame, YEAR_RATE, YEAR_RATE, family="poisson")
+    return out.select("year", "type", "reason", *[F.round(c, 4).alias(c) for c in ("cpue", "lwr", "upr")])
+
+
+@query("m23_poisson_leave_one_out")
+def m23_rate(spark, sf):
+    return _rate_scenarios(spark, sf, selection.leave_one_out)
+
+
+@query("m24_poisson_single_groups")
+def m24_rate(spark, sf):
+    return _rate_scenarios(spark, sf, selection.single_group_fits)
+
+
+@query("m26_density_at_size")
+def m26_known(spark, sf):
+    """The density at a given size and mean beside the histogram, for bins of five."""
+    bins = marginal.density_histogram(weekly(spark, sf), "catch", 100, dict(KNOWN))
+    return bins.select(F.round("mids", 4).alias("mids"), F.round("density", 9).alias("density"), F.round("fit", 9).alias("fit"))
+
+
+@query("m27_residuals_of_year_means")
+def m27_year(spark, sf):
+    rows = weekly(spark, sf)
+    frame = model_frame(rows, [YEAR_ONLY], FACTORS)
+    fit = fit_many(frame, [FitSpec("year", YEAR_ONLY, "poisson")])["year"]
+    residuals = I.augment(fit, rows)
+    return residuals.groupBy("year").agg(
+        F.count("resid").alias("n"), F.round(F.avg("link"), 6).alias("link"), F.round(F.sum(F.pow("resid", F.lit(2))), 2).alias("deviance"),
+        F.round(F.sum(F.pow("pearson", F.lit(2))), 2).alias("chi_square"),
+    )

@@ -94,3 +94,111 @@ FROM (SELECT vesselcp AS fleet, year, avg(cpue) AS cpue, max(cpue) AS upr, min(c
 WINDOW f AS (PARTITION BY fleet)""",
     ["cpue", "upr", "lwr", "cpue2", "upr2", "lwr2"],
 )
+
+# --- models with a closed form -----------------------------------------------------------------
+oracle(
+    "m2_negbin_year_means",
+    ["by_week"],
+    """
+WITH m AS (SELECT year, ln(avg("catch")) AS l FROM by_week GROUP BY year), b AS (SELECT min(year) AS y FROM m)
+SELECT CASE WHEN m.year = b.y THEN '(Intercept)' ELSE 'year' || m.year END AS term,
+  round(m.l - CASE WHEN m.year = b.y THEN 0 ELSE (SELECT l FROM m x WHERE x.year = b.y) END, 5) AS estimate FROM m, b""",
+    ["estimate"],
+)
+
+
+def negbin_loglik(y: str, size: float = 0.8, mu: float = 40.0) -> str:
+    return (
+        f"(lgamma({y} + {size}) - lgamma({size}) - lgamma({y} + 1) + {size} * ln({size}) + {y} * ln({mu})"
+        f" - ({y} + {size}) * ln({size} + {mu}))"
+    )
+
+
+WHOLE = "round_even(\"catch\", 0)"
+oracle(
+    "m3_negbin_loglik_at_size",
+    ["by_week"],
+    f"SELECT count(*)::DOUBLE AS n, sum({WHOLE}) AS total, sum({negbin_loglik(WHOLE)}) AS loglik FROM by_week WHERE \"catch\" IS NOT NULL",
+    ["total", "loglik"],
+)
+oracle(
+    "m8_absorbed_vessel_means",
+    ["by_day"],
+    """
+SELECT vesselcode2, round(avg(lcpue), 5) AS mean, round((SELECT sum(pow(lcpue - m, 2)) FROM (
+  SELECT lcpue, avg(lcpue) OVER (PARTITION BY vesselcode2) AS m FROM by_day)), 4) AS deviance
+FROM by_day GROUP BY vesselcode2""",
+    ["mean", "deviance"],
+)
+oracle(
+    "m9_poisson_rate_by_scenario_party",
+    ["weeks"],
+    f"""
+SELECT 'glm ' || efficiency::VARCHAR || ' ' || vesselcp AS model, year, round(sum("catch") / sum(effort), 4) AS cpue, round(1 / sqrt(sum("catch")), 6) AS se
+FROM ({scenarios((0.0, 0.025))}) GROUP BY ALL""",
+    ["cpue", "se"],
+)
+RSS = """
+SELECT '{f}' AS model, count(*)::DOUBLE AS n, count(DISTINCT g)::DOUBLE AS edf, sum(pow(lcpue - m, 2)) AS deviance
+FROM (SELECT lcpue, "{f}" AS g, avg(lcpue) OVER (PARTITION BY "{f}") AS m FROM by_day)"""
+FACTOR_FITS = " UNION ALL ".join(RSS.format(f=f) for f in ("month", "vesselcp", "year", "ELE"))
+AIC = "n * (ln(2 * pi() * deviance / n) + 1) + 2 * (edf + 1)"
+oracle("m10_selection_of_one_factor", ["by_day"], f"SELECT 1 AS round, model AS var, round({AIC}, 3) AS aic FROM ({FACTOR_FITS})", ["aic"])
+oracle(
+    "m11_compare_one_factor_models",
+    ["by_day"],
+    f"SELECT model, 'mean by ' || model AS description, n, edf, round(deviance, 4) AS deviance, round({AIC}, 3) AS aic FROM ({FACTOR_FITS})",
+    ["deviance", "aic"],
+)
+oracle(
+    "m12_poisson_year_aic",
+    ["by_week"],
+    """
+SELECT 'year' AS model, n, k AS edf, round(l, 3) AS loglik, round(2 * k - 2 * l, 3) AS aic FROM (
+  SELECT count(*)::DOUBLE AS n, count(DISTINCT year)::DOUBLE AS k, sum(y * ln(m) - m - lgamma(y + 1)) AS l
+  FROM (SELECT year, "catch" AS y, avg("catch") OVER (PARTITION BY year) AS m FROM by_week))""",
+    ["loglik", "aic"],
+)
+oracle(
+    "m13_anova_of_one_factor",
+    ["by_day"],
+    f"""
+SELECT 'year' AS term, edf - 1 AS df, round(((SELECT sum(pow(lcpue - a, 2)) FROM (SELECT lcpue, avg(lcpue) OVER () AS a FROM by_day)) - deviance)
+  / (edf - 1) / (deviance / (n - edf)), 5) AS statistic, round(deviance, 4) AS residual_deviance FROM ({RSS.format(f="year")})""",
+    ["statistic", "residual_deviance"],
+)
+RATE = """
+SELECT year, cpue, se, exp(ln(cpue) - 1.96 * se) AS lwr, exp(ln(cpue) + 1.96 * se) AS upr
+FROM (SELECT year, sum("catch") / sum(effort) AS cpue, 1 / sqrt(sum("catch")) AS se FROM {src} GROUP BY year)"""
+oracle(
+    "m19_poisson_rate_index",
+    ["by_week"],
+    f"SELECT year, round(cpue, 5) AS cpue, round(se, 5) AS se, round(lwr, 5) AS lwr, round(upr, 5) AS upr FROM ({RATE.format(src='by_week')})",
+    ["cpue", "se", "lwr", "upr"],
+)
+oracle(
+    "m20_poisson_rate_table",
+    ["by_week"],
+    f"SELECT year, trunc(cpue * 7000)::INTEGER AS cpue, trunc(lwr * 7000)::INTEGER AS lwr, trunc(upr * 7000)::INTEGER AS upr FROM ({RATE.format(src='by_week')})",
+)
+for key, sign, tag in (("m23_poisson_leave_one_out", "<>", "no"), ("m24_poisson_single_groups", "=", "only")):
+    oracle(
+        key,
+        ["by_week"],
+        " UNION ALL ".join(
+            f"SELECT year, '{tag}{p}' AS type, NULL::VARCHAR AS reason, round(cpue * 7, 4) AS cpue, round(lwr * 7, 4) AS lwr, round(upr * 7, 4) AS upr FROM ("
+            + RATE.format(src=f"(SELECT * FROM by_week WHERE vesselcp {sign} '{p}')")
+            + ")"
+            for p in ("AFRICA", *PARTIES)
+        ),
+        ["cpue", "lwr", "upr"],
+    )
+oracle(
+    "m27_residuals_of_year_means",
+    ["by_week"],
+    """
+SELECT year, count(*) AS n, round(ln(any_value(m)), 6) AS link, round(sum(2 * (CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END - (y - m))), 2) AS deviance,
+  round(sum(pow(y - m, 2) / m), 2) AS chi_square
+FROM (SELECT year, "catch" AS y, avg("catch") OVER (PARTITION BY year) AS m FROM by_week) GROUP BY year""",
+    ["link", "deviance", "chi_square"],
+)
