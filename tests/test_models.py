@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trawlmill.functions import special
 from trawlmill.models import design as D
@@ -144,10 +145,9 @@ def test_marginal_fit_and_histogram(spark, data):
     assert (hist.density * width).sum() == pytest.approx(1)
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.range(50).withColumnRenamed("id", "x")
-    with pytest.raises(ValueError):
-        D.factor_levels(df, ["x"], limit=10)
+def test_all_levels_are_found(spark):
+    df = spark.range(3000).select(F.col("id").cast("int").alias("x"))
+    assert D.factor_levels(df, ["x"]) == {"x": list(range(3000))}
 
 
 def test_reference_cells(spark):

@@ -2,8 +2,8 @@
 
 An exact percentile aggregate keeps every distinct value of a group in the
 memory of one task.  Here a bounded sketch first brackets each wanted rank;
-values outside the brackets are only counted, and only the thin slices inside
-are ranked.  The result is the exact type-7 quantile (linear interpolation
+values outside the brackets are only counted.  A bracket is cut into slices that are
+counted in turn, and only the slices that hold the wanted ranks are sorted.  The result is the exact type-7 quantile (linear interpolation
 between the two neighbouring order statistics).
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .semantics import null_safe_join
 
 SKETCH_ACCURACY = 2000
+# parts of a bracket; only the one or two that hold the wanted ranks are sorted
+SLICES = 4096
 
 
 def exact_quantiles(
@@ -79,15 +81,27 @@ def exact_quantiles(
             F.inline(F.slice("__t", F.col("__s") + 1, F.lit(len(probs)))),
         )
     )
-    w = Window.partitionBy(*keys, "i").orderBy(v.asc_nulls_first())
+    target = [*keys, "i", "prob", "h"]
+    span = F.col("hi") - F.col("lo")
+    # what lies below a bracket comes first; a bracket is cut into slices of equal width
+    slice_ = F.when(v.isNull(), -1).when(span > 0, F.floor((v - F.col("lo")) / span * (SLICES - 1))).otherwise(0)
+    ranked = inside.unionByName(below).withColumn("__c", slice_.cast("int"))
+    ranked = ranked.groupBy(*target, "__c", "__v").agg(F.sum("__n").alias("__n"))
+    upto = Window.partitionBy(*keys, "i").orderBy("__c")  # at most SLICES + 1 rows
+    slices = (
+        ranked.groupBy(*target, "__c")
+        .agg(F.sum("__n").alias("__size"))
+        .withColumn("__before", F.sum("__size").over(upto) - F.col("__size"))
+    )
     k = F.floor("h")
+    needed = slices.where((F.col("__before") <= k + 1) & (F.col("__before") + F.col("__size") > k))
+    within = Window.partitionBy(*keys, "i", "__c").orderBy(v.asc_nulls_first())
+    last = F.col("__before") + F.sum("__n").over(within)
     at = lambda rank: F.min(F.when(F.col("__last") > rank, v))
     return (
-        inside.unionByName(below)
-        .groupBy(*keys, "i", "prob", "h", "__v")
-        .agg(F.sum("__n").alias("__n"))
-        .withColumn("__last", F.sum("__n").over(w))
-        .groupBy(*keys, "i", "prob", "h")
+        null_safe_join(ranked, needed.select(*keys, "i", "__c", "__before"), [*keys, "i", "__c"], "inner")
+        .withColumn("__last", last)
+        .groupBy(*target)
         .agg(at(k).alias("__a"), at(k + 1).alias("__b"))
         .select(
             *keys,

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import discard, stage
 from .design import build_design, code_name, feature_matrix
 from .fitting import Fit, FitSpec, Frame, _row_sums, _State, _working
 from .inference import _evaluate, _number
@@ -199,7 +199,7 @@ def fit_absorbed(
     f = len(design.features)
     state = _State(0, spec, design, 0, frame.space)
     ridge = 1 / START_VARIANCE if random else 0.0
-    sums = None
+    sums = before = None
     levels = 0
     ridge_settled = not random
     for it in range(max_iter):
@@ -217,6 +217,8 @@ def fit_absorbed(
         table = summed.where(F.col("level").isNull()).toArrow().sort_by("item")
         dense = np.column_stack([table.column(f"c{j}").to_numpy() for j in range(f + 2)])
         new = summed.where(F.col("level").isNotNull())
+        old = before
+        before = summed
         scalars = dense[f : f + 7, 0].copy()
         if ridge and state.beta is not None:
             ridge, ridge_settled, _ = _next_ridge(sums, state, ridge, f)
@@ -232,6 +234,8 @@ def fit_absorbed(
             "scalars": scalars,
         }
         sums = new
+        if old is not None:
+            discard(old)
         state.update(res, tol, it == max_iter - 1)
         if state.done and not ridge_settled and it < max_iter - 1:
             state.done = False

@@ -274,22 +274,16 @@ def feature_array(features: Sequence[tuple[Atom, ...]], space: Space) -> Column:
 
 # --- levels and knots ------------------------------------------------------------------------
 
-MAX_LEVELS = 2000
+def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list]:
+    """Sorted levels of each factor of a dense design.
 
-
-def factor_levels(df: DataFrame, factors: Sequence[str], limit: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted levels of each factor.
-
-    A fixed effect costs one coefficient per level, so a column with more levels than a
-    dense solve can hold is refused with a message instead of being cut.
+    These cost a coefficient each, so the design names only factors whose levels do not
+    grow with the data (year, month, party); vessels take the absorbed role (``absorbed.py``).
     """
-    out = {}
-    for name in factors:
-        rows = df.select(name).where(F.col(name).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{name} has more than {limit} levels; use a coarser factor")
-        out[name] = sorted(r[0] for r in rows)
-    return out
+    return {
+        name: sorted(r[0] for r in df.select(name).where(F.col(name).isNotNull()).distinct().collect())
+        for name in factors
+    }
 
 
 def spatial_knots(df: DataFrame, lon: str, lat: str, k: int = SMOOTH_KNOTS) -> np.ndarray:

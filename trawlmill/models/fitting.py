@@ -288,18 +288,16 @@ def estimable(gram: np.ndarray, fixed: int, sizes: np.ndarray) -> np.ndarray:
     taken out, so a column explained by that factor is recognised as well.
     """
     scale = np.sqrt(np.maximum(sizes, 0.0))
+    unit = np.where(scale > 0, scale, 1.0)
+    left = gram / np.outer(unit, unit)
     keep: list[int] = []
     for j in range(fixed):
-        if scale[j] <= 0:
-            continue
-        left = gram[j, j] / scale[j] ** 2
-        if keep and left >= ALIAS_TOLERANCE:
-            a = gram[np.ix_(keep, keep)] / np.outer(scale[keep], scale[keep])
-            b = gram[keep, j] / (scale[keep] * scale[j])
-            left -= b @ np.linalg.solve(a, b)
-        if left < ALIAS_TOLERANCE:
+        if scale[j] <= 0 or left[j, j] < ALIAS_TOLERANCE:
             continue
         keep.append(j)
+        # what the columns hold beyond those kept so far
+        column = left[:, j] / math.sqrt(left[j, j])
+        left = left - np.outer(column, column)
     return np.array([*keep, *(j for j in range(fixed, len(gram)) if scale[j] > 0)], dtype=int)
 
 
@@ -422,6 +420,11 @@ class _State:
             fixed = self.design.blocks[0].start if self.design.blocks else self.design.size
             sizes = np.einsum("ij,ij->j", self.design.map, res.get("full", res["gram"]) @ self.design.map)
             self.keep = estimable(gram, fixed, sizes)
+        if family == "gaussian" and not first:
+            # the second pass sums the squared residuals themselves
+            self._remember(gram, rhs, res, n)
+            self.done = True
+            return
         if family != "gaussian" and not first:
             penalty = 0.5 * self.beta @ self._penalty(self.lambdas) @ self.beta
             objective = loglik - penalty
@@ -453,9 +456,6 @@ class _State:
             self._step_theta(scalars)
         self.previous, self.beta = self.beta, beta
         self.iterations += 1
-        if family == "gaussian":
-            self._remember(gram, rhs, res, n)
-            self.done = True
 
     theta_settled = True
 
@@ -481,8 +481,7 @@ class _State:
         edf = float(np.trace(influence))
         scale, loglik, deviance = 1.0, scalars[2], scalars[3]
         if self.spec.family == "gaussian":
-            beta = self.beta
-            rss = float(scalars[1] - 2 * beta @ rhs + beta @ gram @ beta)
+            rss = float(scalars[2])
             scale = rss / max(n - edf, 1.0)
             loglik = -0.5 * n * (math.log(2 * math.pi * max(rss, 1e-300) / n) + 1)
             deviance = rss

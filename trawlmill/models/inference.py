@@ -145,7 +145,13 @@ def index_table(pred: DataFrame) -> DataFrame:
 
 
 def compare_index(**series: DataFrame) -> DataFrame:
-    """Several index series under one schema, tagged by name."""
+    """Several index series under one schema, tagged by name.
+
+    Labels that any of the series has (species, efficiency, model type, assessment year) are
+    kept, NULL in the others, so this year's index stands beside last year's.
+    """
+    labels = {"species": "string", "efficiency": "double", "type": "string", "assessmentyear": "string"}
+    labels = {n: t for n, t in labels.items() if any(n in df.columns for df in series.values())}
     names = ("year", "cpue", "lwr", "upr")
     parts = [
         df.select(
@@ -153,6 +159,7 @@ def compare_index(**series: DataFrame) -> DataFrame:
                 (F.col(n) if n in df.columns else F.lit(None)).cast("int" if n == "year" else "double").alias(n)
                 for n in names
             ],
+            *[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in labels.items()],
             F.lit(tag).alias("series"),
         )
         for tag, df in series.items()

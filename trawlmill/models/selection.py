@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .absorbed import fit_absorbed
 from .design import Formula, Smooth, code_name, crossed
 from .fitting import Fit, FitSpec, Frame, fit_many
 from .inference import fit_statistics, predict_index
-from .reference import prediction_grid, reference_cell_median
+from .reference import prediction_grid, reference_cell_median, reference_cell_topcatch
 
 LONLAT = crossed("shootlon", "shootlat")
 # Candidate effects of the selection rounds, in the order tried.
@@ -51,6 +52,33 @@ def fit_grid(
     return {**glm, **gam}
 
 
+def index_by(
+    weekly: DataFrame,
+    frame: Frame,
+    glm: Formula,
+    smooth: Formula | None = None,
+    keys: Sequence[str] = ("species", "efficiency"),
+    family: str = "negbin",
+) -> DataFrame:
+    """The standardised index of every combination of the keys: ``keys..., year, cpue, se, lwr, upr``.
+
+    Each combination has its own fit, reference cell (largest catch) and years; the smooth
+    model, where given, is the one that predicts.
+    """
+    cells = reference_cell_topcatch(weekly, keys=keys)
+    fits = fit_grid(frame, glm, keys, smooth, family)
+    head = "gam " if smooth is not None else "glm "
+    out = None
+    for name, fit in fits.items():
+        if not name.startswith(head):
+            continue
+        own = reduce(lambda a, b: a & b, [F.col(k) == v for k, _, v in fit.spec.where])
+        grid = prediction_grid(cells.where(own), fit.present("year"))
+        part = predict_index(fit, grid).select(*keys, "year", "cpue", "se", "lwr", "upr")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def forward_selection(
     frame: Frame,
     base: Formula,

@@ -70,15 +70,17 @@ def local_trend(
 ) -> DataFrame:
     """Local quadratic trend with tricube weights over the nearest ``span`` share of points.
 
-    ``series`` is a calendar series (at most 12 points a year).  Each point meets
+    Repeated x are one point, their mean.  ``series`` is a calendar series (at most 12
+    points a year), so it is small once that is done.  Each point meets
     only the points whose rank is within the window size, found by an equi-join on
     rank blocks; the weighted least-squares parabola comes from summed moments.
     """
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy("x")
     pts = (
-        series.where(F.col(y).isNotNull())
-        .select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        series.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+        .groupBy(*keys, F.col(x).cast("double").alias("x"))
+        .agg(F.avg(F.col(y).cast("double")).alias("y"))
         .withColumn("r", F.row_number().over(order))
         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         .withColumn("q", F.greatest(F.lit(2), F.floor(F.col("n") * span + 1e-5)).cast("int"))

@@ -182,7 +182,12 @@ def zero_catch_share(daily: DataFrame) -> DataFrame:
 
 
 def source_comparison(hauls: DataFrame) -> DataFrame:
-    """The overview metrics by data source and year, one row per metric, long."""
+    """The overview metrics by data source and year, one row per metric, long.
+
+    The hauls are read once; the metrics share a staged table of the columns they need.
+    """
+    columns = ["source", "species", "vesselname", "vesselcode2", "shootdatetime", "shootlat", "shootlon", "year", "day", "duration", "catch"]
+    hauls = stage(hauls.select(*[c for c in columns if c in hauls.columns]), "hauls")
     metrics = [
         (vessels_by(hauls, "source"), "nvessels"),
         (catch_by(hauls, "source"), "catch"),

@@ -20,7 +20,7 @@ from ..functions.haultext import (
 )
 from ..operators import cpue, crosstab, environment, hauls as H, overview, sampling, spatial, templates
 from ..sources import snapshots, tables, workbooks
-from ..sources.staging import fresh_path
+from ..sources.staging import fresh_path, stage
 from . import proxy as P
 from .packing import pack_workbooks
 
@@ -548,8 +548,11 @@ def c10(spark, sf):
 
 @query("c11_scaled_metrics")
 def c11(spark, sf):
-    weekly = by_week(spark, sf, None)
-    return cpue.scaled_metrics(by_hour(spark, sf), by_day(spark, sf), weekly, "cpue")
+    # the hauls are read once and staged for the three time steps
+    rows = stage(P.enriched(spark, sf), "hauls")
+    hour = cpue.cpue_by_hour(rows, P.TARGET, FY, LY)
+    day = cpue.cpue_by_day(rows, P.TARGET, FY, LY)
+    return cpue.scaled_metrics(hour, day, cpue.cpue_by_week(rows, P.TARGET, FY, LY, None), "cpue")
 
 
 @query("c12_relative_to_mean")

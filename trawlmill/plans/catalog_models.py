@@ -10,7 +10,8 @@ from ..models import marginal, reference, selection
 from ..models.absorbed import fit_absorbed, predict_absorbed
 from ..models.fitting import FitSpec, fit_many, model_frame
 from ..operators.cpue import cpue_by_day
-from ..sources.staging import stage
+from ..sources import snapshots, tables
+from ..sources.staging import fresh_path, stage
 from . import proxy as P
 from .catalog import FY, LY, SCENARIOS, YEARS, by_day, by_week, query
 
@@ -367,6 +368,39 @@ def m9_rates(spark, sf):
     return out
 
 
+def _rate_by_scenario(spark, sf):
+    rows = weekly(spark, sf, SCENARIOS)
+    frame = model_frame(rows, [YEAR_RATE], [*FACTORS, "species", "efficiency"], extra=["species", "efficiency"])
+    return selection.index_by(rows, frame, YEAR_RATE, family="poisson")
+
+
+@query("m19_index_by_scenario")
+def m19_scenarios(spark, sf):
+    """The product: index by species, efficiency and year, from the smooth models."""
+    rows = weekly(spark, sf, SCENARIOS)
+    keys = ["species", "efficiency"]
+    frame = model_frame(rows, [GLM, GAM], [*FACTORS, *keys], extra=keys)
+    return selection.index_by(rows, frame, GLM, GAM)
+
+
+@query("m19_poisson_index_by_scenario")
+def m19_rates(spark, sf):
+    return _rate_by_scenario(spark, sf).select("species", "efficiency", "year", *[F.round(c, 4).alias(c) for c in ("cpue", "lwr", "upr")])
+
+
+@query("m21_new_and_last_index")
+def m21_last(spark, sf):
+    """This year's index beside last year's, written and read again as the reader of earlier series expects."""
+    new = _rate_by_scenario(spark, sf).select(
+        "species", "efficiency", "year", *[F.round(c, 3).alias(c) for c in ("cpue", "lwr", "upr")],
+        F.lit("glm").alias("type"), F.lit(str(LY + 1)).alias("assessmentyear"),
+    )
+    new = stage(new, "index")
+    last = new.where((F.col("year") < LY) & (F.col("efficiency") == 0)).drop("species", "efficiency").withColumn("assessmentyear", F.lit(str(LY)))
+    path = snapshots.write_index_csv(last, fresh_path(spark, "index"), FY, LY - 1)
+    return I.compare_index(new=new, last=tables.read_prev_index(spark, path))
+
+
 @query("m10_selection_of_one_factor")
 def m10_one(spark, sf):
     frame = model_frame(by_day(spark, sf), [D.Formula("lcpue", tuple(t for ts in ONE_FACTOR.values() for t in ts))], FACTORS)

@@ -181,6 +181,26 @@ oracle(
     ["by_week"],
     f"SELECT year, trunc(cpue * 7000)::INTEGER AS cpue, trunc(lwr * 7000)::INTEGER AS lwr, trunc(upr * 7000)::INTEGER AS upr FROM ({RATE.format(src='by_week')})",
 )
+BY_SCENARIO = f"""
+SELECT species, efficiency, year, cpue * 7 AS cpue, exp(ln(cpue * 7) - 1.96 * se) AS lwr, exp(ln(cpue * 7) + 1.96 * se) AS upr FROM (
+  SELECT species, efficiency, year, sum("catch") / sum(effort) AS cpue, 1 / sqrt(sum("catch")) AS se
+  FROM ({scenarios((0.0, 0.025))}) GROUP BY species, efficiency, year)"""
+oracle(
+    "m19_poisson_index_by_scenario",
+    ["weeks"],
+    f"SELECT species, efficiency, year, round(cpue, 4) AS cpue, round(lwr, 4) AS lwr, round(upr, 4) AS upr FROM ({BY_SCENARIO})",
+    ["cpue", "lwr", "upr"],
+)
+oracle(
+    "m21_new_and_last_index",
+    ["weeks"],
+    f"""
+SELECT year, round(cpue, 3) AS cpue, round(lwr, 3) AS lwr, round(upr, 3) AS upr, species, efficiency::DOUBLE AS efficiency, 'glm' AS type, '2002' AS assessmentyear, 'new' AS series
+FROM ({BY_SCENARIO})
+UNION ALL
+SELECT year, round(cpue, 3), round(lwr, 3), round(upr, 3), NULL, NULL, 'glm', '2001', 'last' FROM ({BY_SCENARIO}) WHERE year < 2001 AND efficiency = 0""",
+    ["cpue", "lwr", "upr"],
+)
 for key, sign, tag in (("m23_poisson_leave_one_out", "<>", "no"), ("m24_poisson_single_groups", "=", "only")):
     oracle(
         key,

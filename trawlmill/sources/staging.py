@@ -44,3 +44,14 @@ def stage(df: DataFrame, tag: str = "step") -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more; anything outside the library's own folder is left alone."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark).rstrip('/')}/trawlmill/{spark.sparkContext.applicationId}/"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own.split(":", 1)[-1].lstrip("/") in folder:
+            path = hadoop(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

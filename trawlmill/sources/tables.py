@@ -133,8 +133,8 @@ def read_csv_skip(spark: SparkSession, path: str, skip: int, schema: str) -> Dat
     )
     first_block = preamble.where(F.col("start") == 0)
     first_id = first_block.groupBy("file").agg(F.min("id").alias("id0"))
-    numbered = preamble.join(first_id, "file", "left")
-    body = numbered.where((F.col("start") > 0) | (F.col("id") - F.col("id0") > skip))
+    head = first_block.join(first_id, "file").where(F.col("id") - F.col("id0") > skip).select("value")
+    body = preamble.where(F.col("start") > 0).select("value").union(head)
     parsed = F.from_csv("value", schema, {"header": "false"})
     return body.where(F.trim("value") != "").select(parsed.alias("r")).select(
         *[F.col("r")[f.name].alias(f.name) for f in struct.fields]
