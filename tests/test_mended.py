@@ -102,3 +102,23 @@ def test_f_tail():
     assert abs(f_upper(3.0, 2, 10) - (1 + 2 * 3.0 / 10) ** -5) < 1e-12  # closed form for two degrees above
     assert abs(f_upper(1.0, 7, 7) - 0.5) < 1e-12
     assert abs(f_upper(2.5, 4, 1e7) - chi2_upper(10.0, 4)) < 1e-5
+
+
+def test_broken_workbooks_cost_one_row(spark):
+    import io
+    import zipfile
+
+    from trawlmill.sources import workbooks
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S" r:id="i1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="i1" Target="worksheets/s.xml"/></Relationships>')
+        rows = '<row><c><v>1</v></c><c><v>2</v></c></row><row r="5"><c r="C5"><v>3</v></c><c><v>4</v></c></row><row><c><v>5</v></c></row>'
+        book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+    files = spark.createDataFrame([("/d/good.xlsx", data.getvalue()), ("/d/bad.xlsx", b"no zip")], "path string, content binary")
+    got = [tuple(r) for r in workbooks.decode_workbooks(files).orderBy("file", "row", "col").collect()]
+    assert got[0][:2] == ("bad.xlsx", workbooks.ERROR_SHEET)
+    assert [(r[2], r[3], r[4]) for r in got[1:]] == [(1, 1, "1"), (1, 2, "2"), (5, 3, "3"), (5, 4, "4"), (6, 1, "5")]

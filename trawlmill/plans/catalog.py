@@ -506,11 +506,8 @@ def c4(spark, sf):
 
 @query("c5_efficiency_index")
 def c5(spark, sf):
-    years = P.hauls(spark, sf).select("year").distinct()
-    first = P.hauls(spark, sf).agg(F.min("year")).scalar()
-    return cpue.efficiency_scenarios(
-        years.withColumn("effort", F.lit(1.0)), (0.0, 0.02, 0.025, 0.03, 0.035, 0.05), first
-    ).withColumnRenamed("effort", "index")
+    first, last = P.hauls(spark, sf).agg(F.min("year"), F.max("year")).first()
+    return cpue.efficiency_index(spark, first, last, (0.0, 0.02, 0.025, 0.03, 0.035, 0.05))
 
 
 @query("c6_weekly_catch_unit_effort")

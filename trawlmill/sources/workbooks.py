@@ -48,7 +48,16 @@ def workbook_cells(name: str, content: bytes) -> Iterator[tuple[str, str, int, i
         shared = _shared_strings(book)
         for sheet, part in _sheet_parts(book):
             with book.open(part) as stream:
-                for _, cell in ElementTree.iterparse(stream):
+                row = col = 0
+                for event, cell in ElementTree.iterparse(stream, events=("start", "end")):
+                    # positions may be left out of the file: then they follow the one before
+                    if event == "start":
+                        if cell.tag == f"{MAIN}row":
+                            row, col = int(cell.get("r") or row + 1), 0
+                        elif cell.tag == f"{MAIN}c":
+                            ref = cell.get("r")
+                            col = _column_number(ref) if ref else col + 1
+                        continue
                     if cell.tag != f"{MAIN}c":
                         continue
                     kind, value = cell.get("t"), cell.find(f"{MAIN}v")
@@ -58,21 +67,30 @@ def workbook_cells(name: str, content: bytes) -> Iterator[tuple[str, str, int, i
                         continue
                     else:
                         text = shared[int(value.text)] if kind == "s" else value.text
-                    ref = cell.get("r")
-                    row = int(re.search(r"\d+", ref).group())
-                    yield name, sheet, row, _column_number(ref), text
+                    yield name, sheet, row, col, text
                     cell.clear()
 
 
+ERROR_SHEET = "(error)"
+
+
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["file", "sheet", "row", "col", "text"]
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            yield pd.DataFrame(workbook_cells(path.rsplit("/", 1)[-1], content), columns=names)
+            name = path.rsplit("/", 1)[-1]
+            try:
+                cells = list(workbook_cells(name, content))
+            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as error:
+                cells = [(name, ERROR_SHEET, 0, 0, f"{type(error).__name__}: {error}")]
+            yield pd.DataFrame(cells, columns=names)
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
-    """(path, content) rows to cells; one workbook in memory at a time."""
+    """(path, content) rows to cells; one workbook in memory at a time.
+
+    A file that can't be read gives one row on the sheet "(error)" with the reason.
+    """
     return files.select("path", "content").mapInPandas(_decode, CELLS)
 
 
