@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlmill.llm import op1_bpe, op2_suffix_dedup, op3_near_dedup, op9_decontaminate, op10_quality
-from trawlmill.llm.common import rows_with_key, table
+from trawlmill.llm.common import rows_with_key, small_batches, table
 from trawlmill.sources.staging import stage
 
 #: A passage of over fifty words is longer than this.
@@ -28,11 +28,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, the one with the least id."""
+    small_batches(spark)
     return op3_near_dedup.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that are also elsewhere go from the texts; every document stays."""
+    small_batches(spark)
     return op2_suffix_dedup.strip_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM)
 
 
@@ -44,6 +46,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (unsigned 32-bit, little-endian), and the digests of a decoding that gives the text again."""
+    small_batches(spark)
     return op1_bpe.round_trip(docs, *op1_bpe.default_vocabulary(), with_ids=True)
 
 

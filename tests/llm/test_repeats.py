@@ -55,11 +55,13 @@ def mixed(seed=5):
     return [*rows, (1000, None), (1001, ""), (1002, "ab" * 200), (1003, "x" * 500), (1004, rows[3][1]), (1004, rows[3][1])]
 
 
-def test_whole_and_split_keys(spark):
+def test_whole_and_split_keys(spark, monkeypatch):
     rows = mixed()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert removed(df, 30, 9, 1 << 20) == plain(rows, 30)
     assert removed(df, 30, 9, 300) == plain(rows, 30)  # the common passage's key is over many blocks
+    monkeypatch.setattr(op2, "MEETING_WINDOWS", 2000)
+    assert removed(df, 30, 9, 300) == plain(rows, 30)  # and their windows meet in several parts
 
 
 def test_awkward_rows(spark):

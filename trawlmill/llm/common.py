@@ -14,18 +14,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+
+BATCH_ROWS = 1000
 
 #: Stands for a null id in row_id.
 NO_ID = -(1 << 62)
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same with A-Z as a-z.
+LOWERED_VALUES = BYTE_VALUES.copy()
+LOWERED_VALUES[65:91] = BYTE_VALUES[97:123]
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python BATCH_ROWS at a time, where the session hasn't its own number: whole texts are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a registered query."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,10 +79,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base**2, ... modulo 2**64; kept for texts up to two chunks long."""
+    known = _powers.get(int(base))
+    if known is not None and len(known) >= n:
+        return known[:n]
+    out = np.full(max(n, CHUNK_BYTES), base, dtype=np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if len(out) <= 2 * CHUNK_BYTES:
+        _powers[int(base)] = out
+    return out[:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +145,7 @@ def tokens_of(
     start, stop = edges[:-1], edges[1:]
     full = kinds[start] != 0
     start, stop = start[full], stop[full]
-    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    values = BYTE_VALUES[data]
+    values = LOWERED_VALUES[data]
     values *= powers(n, BASE)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(values, out=total[1:])

@@ -12,8 +12,8 @@ How blocks are made, so that nothing is lost and no task holds the corpus: every
 of the GRAM-byte strings in it; equal windows have equal keys.  Consecutive windows with one key form a segment.  Keys
 that occur once anywhere are dropped; segments of the others are cut from the texts, equal ones put together (a
 segment that is there twice is repeated as a whole), and a block holds all segments of its keys.  A key with more than
-BLOCK_BYTES of different segments (a passage in very many different contexts) is split over blocks; the windows that
-a split block found no partner for then meet by their 128-bit digests, pre-aggregated to one for each block.
+BLOCK_BYTES of different segments (a passage in very many different contexts) is split over blocks; the windows of a
+split block then meet by their 128-bit digests, one for each kind and block, packed by digest.
 
 Rows: null and empty texts and texts under MIN_BYTES bytes lose nothing.  Repeated rows are copies of each other.  Byte
 lists of a text are bounded by its length.  Extra columns are not read.
@@ -35,7 +35,9 @@ from trawlmill.sources.staging import stage
 MIN_BYTES = 400
 GRAM = 100
 #: Bytes of segments that a task sorts at a time.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Windows of split keys that meet in a task, about.
+MEETING_WINDOWS = 1_000_000
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -183,37 +185,83 @@ def match_block(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return owner[whole], offset[whole], ~alone[whole], boundary[whole]
 
 
-MARKS = "digest binary, at int, n int, window binary, partner boolean"
+MARKS = "digest binary, at int, n int, part int, windows binary"
+#: A kind of window of a split block: its digest, the segment's number in the block, its place there, whether it has a partner in the block.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("segment", "<u4"), ("at", "<u4"), ("partner", "u1")])
 
 
-def _block_marks(digests: list[bytes], segments: list[bytes], split: bool, length: int) -> pa.RecordBatch:
-    """Runs of repeated windows (window null); for a split key also each kind of window by digest, and whether it has a partner."""
+def _run_rows(digests: list[bytes], owner: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each run of neighbouring windows."""
+    by = np.lexsort((offset, owner))
+    o, f = owner[by], offset[by]
+    if len(o):
+        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1)])
+        none = [None] * len(new)
+        columns = ([digests[i] for i in o[new]], f[new].tolist(), np.diff(np.r_[new, len(o)]).tolist(), none, none)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MARK_TYPES, strict=True)], names=_MARK_NAMES)
+
+
+_MARK_TYPES = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+_MARK_NAMES = ["digest", "at", "n", "part", "windows"]
+
+
+def _block_marks(digests: list[bytes], segments: list[bytes], split: bool, length: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows; for a split key also, for each part by digest, its kinds of windows and the segments' digests."""
     owner, offset, twice, first = match_block(segments, length)
-    o, f = owner[twice], offset[twice]
-    by = np.lexsort((f, o))
-    o, f = o[by], f[by]
-    new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (f[1:] != f[:-1] + 1)]) if len(o) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[new, len(o)]) if len(o) else new
-    out_digest = [digests[i] for i in o[new]]
-    out_at, out_n = f[new].tolist(), size.tolist()
-    window: list[bytes | None] = [None] * len(out_digest)
-    partner = [True] * len(out_digest)
-    if split:
-        for i, k, t in zip(owner[first].tolist(), offset[first].tolist(), twice[first].tolist(), strict=True):
-            out_digest.append(digests[i])
-            out_at.append(k)
-            out_n.append(1)
-            window.append(hashlib.blake2b(segments[i][k : k + length], digest_size=16).digest())
-            partner.append(t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out_digest, pa.binary()), pa.array(out_at, pa.int32()), pa.array(out_n, pa.int32()), pa.array(window, pa.binary()), pa.array(partner, pa.bool_())],
-        names=["digest", "at", "n", "window", "partner"],
-    )
+    yield from _run_rows(digests, owner[twice], offset[twice])
+    if not split:
+        return
+    windows = np.empty(int(first.sum()), WINDOW)
+    windows["segment"], windows["at"], windows["partner"] = owner[first], offset[first], twice[first]
+    hashed = (hashlib.blake2b(segments[i][k : k + length], digest_size=16).digest() for i, k in zip(owner[first].tolist(), offset[first].tolist(), strict=True))
+    both = np.frombuffer(b"".join(hashed), "<u8").reshape(-1, 2)
+    windows["a"], windows["b"] = both[:, 0], both[:, 1]
+    part = both[:, 0] % np.uint64(parts)
+    names = b"".join(digests)
+    for k in np.unique(part).tolist():
+        own = windows[part == k]
+        blob = len(digests).to_bytes(8, "little") + names + own.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, k, blob), _MARK_TYPES, strict=True)], names=_MARK_NAMES)
+
+
+def _meet(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows that had no partner in their block but have one in another; a block sends a kind once."""
+    digests, windows, shift = [], [], 0
+    for blob in blobs:
+        n = int.from_bytes(blob[:8], "little")
+        digests += [blob[8 + 16 * i : 24 + 16 * i] for i in range(n)]
+        own = np.frombuffer(blob, WINDOW, offset=8 + 16 * n).copy()
+        own["segment"] += np.uint32(shift)
+        shift += n
+        windows.append(own)
+    w = np.concatenate(windows)
+    w = w[np.lexsort((w["b"], w["a"]))]
+    same = (w["a"][1:] == w["a"][:-1]) & (w["b"][1:] == w["b"][:-1])
+    late = (np.r_[False, same] | np.r_[same, False]) & (w["partner"] == 0)
+    yield from _run_rows(digests, w["segment"][late].astype(np.int64), w["at"][late].astype(np.int64))
+
+
+def _meetings(marks: DataFrame) -> DataFrame:
+    """Late runs from the rows (part, windows), sorted by part within partitions."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and blobs:
+                    yield from _meet(blobs)
+                    blobs = []
+                now = part
+                blobs.append(blob)
+        if blobs:
+            yield from _meet(blobs)
+
+    return marks.select("part", "windows").mapInArrow(run, MARKS)
 
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=1 << 18):
             data, at = text_bytes(batch.column(2))
             row, begin, windows, key, again = window_runs(data, at, length, gram)
             if len(row):
@@ -252,7 +300,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     )
 
 
-def _match(blocks: DataFrame, length: int, block_bytes: int) -> DataFrame:
+def _match(blocks: DataFrame, length: int, block_bytes: int, parts: int) -> DataFrame:
     """Marks from rows (key, salt, split, digest, segment) that are sorted by key and salt within partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,14 +309,14 @@ def _match(blocks: DataFrame, length: int, block_bytes: int) -> DataFrame:
         for batch in batches:
             for key, salt, hot, digest, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, salt) != group and digests and (hot or split or size >= block_bytes):
-                    yield _block_marks([*digests], [*digests.values()], split, length)
+                    yield from _block_marks([*digests], [*digests.values()], split, length, parts)
                     digests, size = {}, 0
                 group, split = (key, salt), hot
                 if digest not in digests:
                     digests[digest] = segment
                     size += len(segment)
         if digests:
-            yield _block_marks([*digests], [*digests.values()], split, length)
+            yield from _block_marks([*digests], [*digests.values()], split, length, parts)
 
     return blocks.select("key", "salt", "split", "digest", "segment").mapInArrow(run, MARKS)
 
@@ -284,14 +332,16 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM,
     kinds = spots.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("again").alias("again"))
     kinds = stage(kinds, "kinds")
     keys = kinds.groupBy("key").agg(F.count("*").alias("different"), F.max("again").alias("again"), F.sum(F.col("n") + length - 1).alias("bytes"))
-    keys = keys.where("different > 1 OR again").select("key", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
+    keys = keys.where("different > 1 OR again").select("key", "bytes", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
     blocks = cut.where("segment IS NOT NULL").select("key", "digest", "segment").join(keys, "key")
     blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).withColumn("split", F.col("blocks") > 1)
-    marks = _match(blocks.repartition("key", "salt").sortWithinPartitions("key", "salt"), length, block_bytes)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split_bytes = keys.where("blocks > 1").agg(F.sum("bytes")).first()[0] or 0
+    parts = int(split_bytes // MEETING_WINDOWS + 1)
+    marks = _match(blocks.repartition(tasks, "key", "salt").sortWithinPartitions("key", "salt"), length, block_bytes, parts)
     marks = stage(marks, "marks")
-    met = marks.where("window IS NOT NULL").groupBy("window").agg(F.count("*").alias("blocks")).where("blocks > 1").select("window")
-    late = marks.where("window IS NOT NULL AND NOT partner").join(met, "window").select("digest", "at", "n")
-    ranges = marks.where("window IS NULL").select("digest", "at", "n").union(late)
+    late = _meetings(marks.where("part IS NOT NULL").repartition("part").sortWithinPartitions("part"))
+    ranges = marks.where("part IS NULL").select("digest", "at", "n").union(late.select("digest", "at", "n"))
     whole = kinds.where("copies > 1").select("digest", F.lit(0).alias("at"), "n")
     once = kinds.where("copies = 1").select("digest")
     inner = whole.union(ranges.join(once, "digest")).select("digest", F.col("at").alias("inner_at"), F.col("n").alias("inner_n"))
