@@ -8,12 +8,11 @@ k ln k darts altogether instead of k for each element.  Two signatures agree on
 weighted Jaccard similarity.
 
 Candidates come from a banded join (26 bands of 5 coordinates: a pair at 0.8 is missed with probability 3e-5, at 0.9 below
-1e-10) and are verified by the exact similarity of the bags.  Texts with the same words are one node before that.  In
-a bucket every member is compared with the bucket's leader, and while members remain that no leader covers, further
-leaders (1, 4, 16, ... at a time) are taken from them and compared with all members: members x different clusters, never
-all pairs.  Leaders follow one random order over all buckets.  Two members that both resemble leaders, but different ones,
-are linked through the leaders or through another band.  Classes are the connected components of the verified links,
-found by alternating large-star and small-star steps on staged edge tables.
+1e-10) and are verified by the exact similarity of the bags.  Texts with the same words are one node before that.
+Every member of a bucket is compared with its leader; buckets that still hold several components compare the members
+outside the largest one with the others, so no link between members of a bucket is lost and no large group of copies is
+expanded into its pairs.  Classes are the connected components of the verified links, found by alternating large-star and
+small-star steps on staged edge tables.
 
 Rows: one row per input row.  Null and empty texts, and texts of white space only, have no shingles and form one class of
 their own (same words: none).  A text under five words has one shingle.  `class_id` is the smallest id in the class,
@@ -23,7 +22,8 @@ null only if all ids are null.  Repeated rows share a class.  Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,10 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 26
 ROWS = 5
+#: Bits of a text's parity sketch / 64.
+PARITY_WORDS = 16
+PARITIES = [f"o{k}" for k in range(PARITY_WORDS)]
+EDGES_PER_FILE = 200_000
 #: Ranks below 2**FIRST_RANK are opened first.
 FIRST_RANK = -7
 
@@ -110,7 +114,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_
     """doc_id, row_id, row_hash, node (16 bytes: digest of the word sequence), bands (array of keys, empty without words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=1 << 20):
+        for batch in chunks(batches):
             data, at = text_bytes(batch.column(3))
             words, row, count = words_of(data, at)
             first = np.cumsum(count) - count
@@ -135,18 +139,29 @@ def sketch(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_
     return keyed.mapInArrow(run, "doc_id long, row_id long, row_hash long, node binary, bands array<long>")
 
 
+def parities(units: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """rows x PARITY_WORDS numbers: each unit turns one of the bits.  Bits in which two rows differ are at most the units they don't share."""
+    bits = PARITY_WORDS * 64
+    place = owner * bits + (mix(units) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, bits), axis=1).view(np.int64)
+
+
 def elements(keyed: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """node, bag (array: hashes of the units of weight) from node, text."""
+    """node, bag (array: hashes of the units of weight), n (of them), o0, o1, ... (their parities) from node, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             data, at = text_bytes(batch.column(1))
             shingles, owner = shingles_of(*words_of(data, at), size)
-            units = units_of_weight(shingles, owner).view(np.int64)
+            units = units_of_weight(shingles, owner)
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(units))], names=["node", "bag"])
+            odd = parities(units, owner, batch.num_rows)
+            columns = [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(units.view(np.int64))), pa.array(np.diff(ends))]
+            columns += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(PARITY_WORDS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "bag", "n", *PARITIES])
 
-    return keyed.select("node", "text").mapInArrow(run, "node binary, bag array<long>")
+    return keyed.select("node", "text").mapInArrow(run, "node binary, bag array<long>, n int, " + ", ".join(f"{o} long" for o in PARITIES))
 
 
 def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -158,44 +173,54 @@ def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def verified_links(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) from buckets (key, node): each bucket's members against its leaders, round by round."""
-    spark = buckets.sparkSession
-    edges, tested, open_members, leaders_per_round = [], None, buckets.select("key", "node"), 1
+def _compare(pairs: DataFrame, tested: DataFrame | None, bags: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links among the pairs not tested before, and all pairs tested so far."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fresh = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    return stage(similar(fresh, bags, threshold), "links"), fresh if tested is None else tested.union(fresh)
+
+
+def linked_components(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """node, root from buckets (key, node): verified links, searched until every bucket is settled.
+
+    First every member is compared with its bucket's leader.  Then, in each bucket that still holds several components,
+    members outside its largest one lead in turn (16, 256, 4096, ... at a time) and are compared with the members of other
+    components, and the components are found anew.  In the end any two members of a bucket are in one component or were
+    compared, but a large group of copies costs one comparison for each member.
+
+    These comparisons begin inside the join: two bags of n and m units that reach the similarity t differ in at most
+    (1 - t) / (1 + t) (n + m) units, and their parities in at most as many bits.  Only pairs within that bound come out of
+    the join to be verified, so texts that are merely alike make no rows.
+    """
+    leader = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("l")).select("key", F.col("l.node").alias("b"))
+    pairs = buckets.select("key", F.col("node").alias("a")).join(leader, "key").where(F.col("a") != F.col("b"))
+    links, tested = _compare(pairs, None, bags, threshold)
+    led, turn, roots = None, 1, components(links)
     while True:
+        turn *= 16
+        named = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+        mixed = stage(named.join(mixed, "key", "left_semi").join(bags.select("node", "n", *PARITIES), "node"), "mixed")
+        largest = mixed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("l"))
+        outside = mixed.join(largest.select("key", F.col("l.root").alias("main")), "key").where(F.col("root") != F.col("main"))
+        if led is not None:
+            outside = outside.join(led, ["key", "node"], "left_anti")
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        leaders = open_members.withColumn("at", F.row_number().over(order)).where(F.col("at") <= leaders_per_round)
-        leaders = leaders.select("key", F.col("node").alias("b"))
-        met = stage(
-            buckets.select("key", F.col("node").alias("a")).join(leaders, "key").where(F.col("a") != F.col("b")), "met"
-        )
-        fresh = met.select("a", "b").distinct()
-        if tested is not None:
-            fresh = fresh.join(tested, ["a", "b"], "left_anti")
-        found = stage(similar(fresh, bags, threshold), "links")
-        edges.append(found)
-        now = met.select("a", "b").distinct()
-        tested = stage(now if tested is None else tested.union(now).distinct(), "tested")
-        links = _union(edges)
-        covered = met.join(links, ["a", "b"]).select("key", F.col("a").alias("node"))
-        covered = covered.union(leaders.select("key", F.col("b").alias("node"))).distinct()
-        rest = open_members.join(covered, ["key", "node"], "left_anti")
-        # A bucket goes on while a member that no leader covers could still resemble another that isn't a leader.
-        still = rest.groupBy("key").agg(F.count("*").alias("left"))
-        size = buckets.groupBy("key").agg(F.count("*").alias("size"))
-        done = leaders.groupBy("key").agg(F.count("*").alias("led"))
-        go_on = still.join(size, "key").join(done, "key").where((F.col("left") >= 2) | (F.col("size") > F.col("led") + F.col("left")))
-        open_members = stage(rest.join(go_on.select("key"), "key", "left_semi"), "open")
-        if open_members.isEmpty():
-            return _union(edges)
-        leaders_per_round *= 4
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.union(frame)
-    return out
+        leaders = outside.withColumn("at", F.row_number().over(order)).where(F.col("at") <= turn)
+        renamed = [F.col(c).alias(f"{c}_b") for c in ("n", *PARITIES)]
+        leaders = stage(leaders.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), *renamed), "leaders")
+        if leaders.isEmpty():
+            return roots
+        now = leaders.select("key", F.col("b").alias("node"))
+        led = now if led is None else led.union(now)
+        members = mixed.select(F.col("key").alias("key_a"), F.col("node").alias("a"), "root", "n", *PARITIES)
+        differing = reduce(add, [F.bit_count(F.col(o).bitwiseXOR(F.col(f"{o}_b"))) for o in PARITIES])
+        bound = (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n_b")) + 1e-6
+        pairs = members.join(leaders, (F.col("key_a") == F.col("key")) & (F.col("root") != F.col("root_b")) & (differing <= bound))
+        found, tested = _compare(pairs, tested, bags, threshold)
+        if not found.isEmpty():
+            # the components so far stand for their links
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -215,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
-        edges = stage(_stars(stage(_stars(edges, large=True), "star"), large=False), "star")
+        edges = stage(_stars(_stars(edges, large=True), large=False).coalesce(_parts(before)), "star")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -223,6 +248,11 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _parts(known: tuple | None) -> int:
+    """Files of an edge table: by its rows, where they are known."""
+    return 1 << 20 if known is None else known[0] // EDGES_PER_FILE + 1
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """doc_id, row_id, row_hash, class_id, node for every row."""
     rows = stage(sketch(docs, size, bands, band_rows), "sketch")
@@ -238,7 +268,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, size:
     wanted = buckets.select("node").distinct().join(nodes, "node").select("node", "rep.row_id", "rep.row_hash")
     texts = texts_with_key(docs).select("row_id", "row_hash", "text").join(wanted, ["row_id", "row_hash"])
     bags = stage(elements(texts.dropDuplicates(["row_id", "row_hash"]), size), "bags")
-    roots = components(verified_links(buckets, bags, threshold))
+    roots = linked_components(buckets, bags, threshold)
     grouped = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = grouped.join(least, "root").select("node", "root", "class_id")
