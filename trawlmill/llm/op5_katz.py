@@ -8,7 +8,7 @@ d is Katz's Good-Turing discount for counts up to 5, from the counts of counts;
 in h to the mass of the words not seen after h, so every P(. | h) sums to 1 (the unknown word included).  A context that
 the discount leaves with less than 1 / (c(h) + 1) is scaled to leave that much, so that no text has probability 0.
 
-How it runs: word counts are a table by word hash.  Its TOP_WORDS largest rows, a fixed bound, go to all tasks as a cache;
+How it runs: word counts are a table by word hash.  Its largest rows, TOP_WORDS at most, go to all tasks as a cache;
 the other words of each text are joined with the table.  The different bigrams of each piece of text go, as compressed
 columns, to the partition of their context, which is one row of a stored table.  So a partition holds all texts' bigrams of
 its contexts: it counts the training ones, then gives each text its share of the score, summed by text at the end.
@@ -40,7 +40,7 @@ TOP_WORDS = 400_000
 #: Good-Turing discounts hold up to this count.
 DISCOUNTED = 5
 #: Bigrams of a partition, about.
-PARTITION_TOKENS = 1_000_000
+PARTITION_TOKENS = 500_000
 SPLIT_TOKENS = 500_000
 MOST_SPLITS = 4096
 
@@ -158,6 +158,30 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
     return out
 
 
+def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different rows of the columns (none negative) in order, and how often each is there."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) <= 64:  # one number holds a row
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c, b in zip(columns, bits, strict=True):
+            key = (key << np.uint64(b)) | c.astype(np.uint64)
+        key.sort()
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+        times, key, out = np.diff(np.r_[new, len(key)]), key[new], []
+        for b in reversed(bits):
+            out.append((key & np.uint64((1 << b) - 1)).astype(np.int64))
+            key = key >> np.uint64(b)
+        return (*reversed(out), times)
+    order = np.lexsort(columns[::-1])
+    columns = tuple(c[order] for c in columns)
+    differs = np.zeros(len(order), bool)
+    for c in columns:
+        differs[1:] |= c[1:] != c[:-1]
+    differs[:1] = True
+    new = np.flatnonzero(differs)
+    return (*(c[new] for c in columns), np.diff(np.r_[new, len(order)]))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """w, c over the training texts (columns text, train)."""
 
@@ -174,10 +198,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
             words.append(w)
             counts.append(c)
             held += len(w)
-            if held > 1_500_000:
+            if held > 1_000_000:
                 w, c = merged()
                 words, counts, held = [w], [c], len(w)
-                if held > 750_000:
+                if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], names=["w", "c"])
                     words, counts, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         w, c = merged()
@@ -210,6 +234,24 @@ def rare_words(texts: DataFrame, cache) -> DataFrame:
     return texts.select("row_id", "row_hash", "text").mapInArrow(run, "row_id long, row_hash long, w long, p int, times int")
 
 
+def common_words(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and counts, by falling count, of all words whose count reaches a bound that at most `most` words reach."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = sorted(words.groupBy(step.alias("s")).agg(F.count("*"), F.min("c")).collect(), reverse=True)  # at most 16 x 63 rows
+    bound, held = None, 0
+    for _, n, least in steps:
+        held += n
+        if held > most:
+            break
+        bound = least
+    if bound is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = words.where(F.col("c") >= bound).toArrow()
+    w, c = found["w"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.lexsort((w, -c))
+    return w[order], c[order]
+
+
 INFO = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("row_id", "<i8"), ("row_hash", "<i8"), ("train", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 PIECES = "p int, kind int, chunk long, payload binary"
 
@@ -222,7 +264,10 @@ def bigram_pieces(texts: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
         for number, batch in enumerate(chunks(batches)):
             chunk = TaskContext.get().partitionId() << 32 | number
             token, before, row, size = sequences(batch, 4)
-            w, h = top.rank(token), top.rank(before)
+            w = top.rank(token)
+            stop = np.cumsum(size)
+            h = np.r_[-1, w[:-1]]
+            h[stop - size] = top.size - 1  # the start
             train = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             info = np.zeros(batch.num_rows, INFO)
             doc = batch.column(0)
@@ -239,11 +284,7 @@ def bigram_pieces(texts: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
             strange, number_of = np.unique(np.r_[token[~common], before[h < 0]], return_inverse=True)
             w[~common] = top.size + number_of[: (~common).sum()]
             h[h < 0] = top.size + number_of[(~common).sum() :]
-            order = np.lexsort((row, w, h, p))
-            p, h, w, row = p[order], h[order], w[order], row[order]
-            new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (row[1:] != row[:-1])])
-            times = np.diff(np.r_[new, len(p)])
-            p, h, w, row = p[new], h[new], w[new], row[new]
+            p, h, w, row, times = _grouped(p, h, w, row)
             begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
             payloads = []
             for a, b in zip(begin, np.r_[begin[1:], len(p)], strict=True):
@@ -268,32 +309,45 @@ class Bigrams:
 
     def __init__(self, top: Cache, pieces: list[tuple[int, bytes]], rare_w: np.ndarray, rare_c: np.ndarray):
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
-        self.chunks = []
+        self.chunks, lists = [], []
+        shift = top.size
         for i, (chunk, payload) in enumerate(pieces):
             step, w, row, times, odd = _unpack(payload)
-            known = np.r_[top.words, odd]
             h = np.cumsum(step.astype(np.int32).astype(np.int64))
-            for c, x in zip(columns, (known[h], known[w], row, times, np.full(len(w), i)), strict=True):
+            w = w.astype(np.int64)
+            for ids in (h, w):
+                ids[ids >= top.size] += shift - top.size
+            for c, x in zip(columns, (h, w, row, times, np.full(len(w), i, np.int32)), strict=True):
                 c.append(x)
             self.chunks.append(chunk)
+            lists.append(odd)
+            shift += len(odd)
         h, w, row, times, piece = (np.concatenate(c) for c in columns)
-        order = np.lexsort((w, h))
-        h, w, self.row, self.times, self.piece = h[order], w[order], row[order].astype(np.int64) >> 1, times[order].astype(np.int64), piece[order]
+        # Words that aren't cached get one number each for the whole partition.
+        strange, number = np.unique(np.concatenate(lists), return_inverse=True)
+        for ids in (h, w):
+            out = ids >= top.size
+            ids[out] = top.size + number[ids[out] - top.size]
+        key = (h << 32) | w
+        order = np.argsort(key)
+        key = key[order]
+        h, w, self.row, self.times, self.piece = key >> 32, key & 0xFFFFFFFF, row[order].astype(np.int64) >> 1, times[order].astype(np.int64), piece[order]
         new_h = np.r_[True, h[1:] != h[:-1]]
-        new = new_h | np.r_[True, w[1:] != w[:-1]]
+        new = np.r_[True, key[1:] != key[:-1]]
         at = np.flatnonzero(new)
+        hashes = np.r_[top.words, strange]
         self.type_of = np.cumsum(new) - 1
         self.count = np.add.reduceat(self.times * (row[order].astype(np.int64) & 1), at)
         self.context_of = np.cumsum(new_h)[at] - 1
-        self.context = h[np.flatnonzero(new_h)]
-        word = w[at]
-        rank = top.rank(word)
-        self.word_count = np.where(rank >= 0, top.counts[rank], 0)
+        self.context = hashes[h[new_h]]
+        word = hashes[w[at]]
+        common = w[at] < top.size
+        self.word_count = np.where(common, top.counts[np.where(common, w[at], 0)], 0)
         if len(rare_w):
             by = np.argsort(rare_w)
             rare_w, rare_c = rare_w[by], rare_c[by]
             found = np.minimum(np.searchsorted(rare_w, word), len(rare_w) - 1)
-            self.word_count = np.where((rank < 0) & (rare_w[found] == word), rare_c[found], self.word_count)
+            self.word_count = np.where(~common & (rare_w[found] == word), rare_c[found], self.word_count)
 
     def sums(self, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each context: c(h), followers with small counts, sum of the larger ones, P of all followers."""
@@ -455,14 +509,13 @@ def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = T
     for r, k in words.where(F.col("c") <= DISCOUNTED + 1).groupBy("c").count().collect():  # at most 6 rows
         n[r] = k
     unigrams = Unigrams(tokens, types, n)
-    common = words.orderBy(F.desc("c"), "w").limit(top_words).toPandas()  # at most top_words rows
-    common_w = common["w"].to_numpy(np.int64).view(np.uint64)
-    cache = spark.sparkContext.broadcast(Cache(common_w, common["c"].to_numpy(np.int64), starts, tokens))
+    cache = spark.sparkContext.broadcast(Cache(*common_words(words, top_words), starts, tokens))
     rare = stage(rare_words(texts, cache).join(words, "w", "left").withColumn("c", F.coalesce("c", F.lit(0))), "rare")
     no_payload = [F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("payload")]
     resolved = rare.where("c > 0").select("p", "w", "c").distinct().select("p", *no_payload, "w", "c")
     pieces = bigram_pieces(texts, cache, unigrams).select("p", "kind", "chunk", "payload", F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("c"))
-    model = stage(bigram_table(pieces.union(resolved).repartition("p").sortWithinPartitions("p", "kind"), cache, unigrams), "bigrams")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = stage(bigram_table(pieces.union(resolved).repartition(tasks, "p").sortWithinPartitions("p", "kind"), cache, unigrams), "bigrams")
     counts = model.agg(*[F.sum(F.col("n")[r]) for r in range(DISCOUNTED + 2)]).first()
     d = discounts(np.array([int(x or 0) for x in counts]))
     cut = model.select(F.explode("split").alias("s")).groupBy("s.h").agg(*[F.sum(F.col("s.sums")[k]).alias(f"k{k}") for k in range(DISCOUNTED + 3)])
