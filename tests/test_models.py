@@ -157,3 +157,15 @@ def test_reference_cells(spark):
     assert (top.vesselcp, top.month, top.shootlon, top.effort) == ("B", 2, -80.0, 7.0)
     mid = reference.reference_cell_median(df, vessel="vesselcode2").first()
     assert (mid.vesselcode2, mid.shootlon, mid.shootlat, mid.month, mid.ELE) == ("B1", -80.0, -20.0, 3, 0.0)
+
+
+def test_selection_goes_on_with_the_first_factor_in_the_model(frame):
+    """m10: after the absorbed factor has joined, every round's fits hold it."""
+    base = D.Formula("catch", (("year",),), (), "effort")
+    others = {"lon": (("shootlon",),), "lat": (("shootlat",),)}
+    table, chosen = selection.forward_selection(frame, base, others, rounds=3, absorbed="vessel", first="vessel")
+    assert [(r, len([x for x in table if x[0] == r])) for r in (1, 2, 3)] == [(1, 3), (2, 2), (3, 1)]
+    aic = {(r, n): a for r, n, a in table}
+    for n, t in others.items():
+        assert math.isclose(aic[2, n], fit_absorbed(frame, FitSpec(n, base.plus(*t)), "vessel").aic, rel_tol=1e-9)
+    assert ("shootlon",) in chosen.terms and ("shootlat",) in chosen.terms

@@ -86,12 +86,14 @@ def forward_selection(
     rounds: int = 1,
     absorbed: str | None = None,
     family: str = "negbin",
+    first: str | None = None,
 ) -> tuple[list[tuple[int, str, float]], Formula]:
     """AIC of adding each candidate; the best one joins the model before the next round.
 
     ``absorbed`` names a factor with any number of levels among the candidates; its
     effects are kept in a table (see ``absorbed.py``), the others share their passes
     until that factor is in the model; from then on each candidate has passes of its own.
+    ``first`` names the candidate that joins after the first round whatever its AIC.
     """
     table: list[tuple[int, str, float]] = []
     left = dict(candidates)
@@ -108,7 +110,7 @@ def forward_selection(
             scores[pending] = fit_absorbed(frame, FitSpec(pending, base, family), pending).aic
         ranked = sorted((aic, n) for n, aic in scores.items())
         table += [(r, n, aic) for aic, n in ranked]
-        best = ranked[0][1]
+        best = first if r == 1 and first is not None else ranked[0][1]
         if best == pending:
             taken, pending = pending, None
         else:

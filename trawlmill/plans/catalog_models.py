@@ -149,9 +149,8 @@ def m10(spark, sf):
     base = D.Formula("catch", (("year",),), (), "effort")
     everything = base.plus(*[t for ts in selection.CANDIDATES.values() for t in ts])
     frame = model_frame(weekly(spark, sf), [everything], FACTORS, carried=["vesselcode2"])
-    table, _ = selection.forward_selection(frame, base, absorbed="vesselcode2")
-    more, _ = selection.forward_selection(frame, base, rounds=3)
-    return selection.selection_table(spark, [*table, *[(r + 1, n, a) for r, n, a in more if r > 1]])
+    table, _ = selection.forward_selection(frame, base, rounds=4, absorbed="vesselcode2", first="vesselcode2")
+    return selection.selection_table(spark, table)
 
 
 @query("m11_compare_models")
