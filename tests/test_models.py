@@ -169,3 +169,15 @@ def test_selection_goes_on_with_the_first_factor_in_the_model(frame):
     for n, t in others.items():
         assert math.isclose(aic[2, n], fit_absorbed(frame, FitSpec(n, base.plus(*t)), "vessel").aic, rel_tol=1e-9)
     assert ("shootlon",) in chosen.terms and ("shootlat",) in chosen.terms
+
+
+def test_scenarios_with_an_absorbed_vessel_equal_dense_fits(spark, data):
+    """m23, m24: the vessel effect of each scenario's fit and its reference cell."""
+    rows = spark.createDataFrame(data[data.vessel.isin(["v01", "v02", "v12"])].assign(month=1, ELE=0.0))
+    base = D.Formula("catch", (("year",),), (), "effort")
+    dense = base.plus(("vessel",))
+    frame = model_frame(rows, [dense], FACTORS, extra=["vesselcp"], carried=["vessel"])
+    run = lambda f, **how: selection.single_group_fits(spark, rows, frame, f, f, vessel="vessel", family="poisson", **how)
+    got, want = ({(r.type, r.year): r for r in x.collect()} for x in (run(base, absorbed="vessel"), run(dense)))
+    assert set(got) == set(want) and len(got) == 8
+    assert all(math.isclose(got[k][c], want[k][c], rel_tol=1e-5) for k in got for c in ("cpue", "lwr", "upr"))

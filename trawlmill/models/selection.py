@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .absorbed import fit_absorbed
+from .absorbed import fit_absorbed, predict_absorbed
 from .design import Formula, Smooth, code_name, crossed
 from .fitting import Fit, FitSpec, Frame, fit_many
 from .inference import fit_statistics, predict_index
@@ -128,11 +128,17 @@ def compare_models(spark: SparkSession, fits: Mapping[str, Fit], descriptions: M
     return fit_statistics(spark, dict(fits)).join(text, "model", "left")
 
 
-def spatial_comparison(frame: Frame, terms: Sequence[tuple[str, ...]], response: str, offset: str | None) -> dict[str, Fit]:
-    """GLM and GAM, each with one spatial surface or one per year.
+def spatial_comparison(
+    frame: Frame, terms: Sequence[tuple[str, ...]], response: str, offset: str | None, absorbed: str | None = None
+) -> dict[str, Fit]:
+    """GLM and GAM, each with one spatial surface or one per year; ``absorbed`` names a further factor of each.
 
     The smooth models use the dispersion of the matching GLM.
     """
+
+    def fits(specs: list[FitSpec]) -> dict[str, Fit]:
+        return fit_many(frame, specs) if absorbed is None else {s.name: fit_absorbed(frame, s, absorbed).fit for s in specs}
+
     plain = Formula(response, (*terms, *LONLAT), (), offset)
     by_year = Formula(
         response,
@@ -140,10 +146,9 @@ def spatial_comparison(frame: Frame, terms: Sequence[tuple[str, ...]], response:
         (),
         offset,
     )
-    glm = fit_many(frame, [FitSpec("glm", plain), FitSpec("glm by year", by_year)])
+    glm = fits([FitSpec("glm", plain), FitSpec("glm by year", by_year)])
     surface = Smooth(("shootlon", "shootlat"))
-    gam = fit_many(
-        frame,
+    gam = fits(
         [
             FitSpec("gam", Formula(response, tuple(terms), (surface,), offset), theta=glm["glm"].theta),
             FitSpec(
@@ -151,7 +156,7 @@ def spatial_comparison(frame: Frame, terms: Sequence[tuple[str, ...]], response:
                 Formula(response, tuple(terms), (replace(surface, by="year"),), offset),
                 theta=glm["glm by year"].theta,
             ),
-        ],
+        ]
     )
     return {**glm, **gam}
 
@@ -173,9 +178,12 @@ def scenario_index(
     op: str,
     vessel: str,
     family: str = "negbin",
+    absorbed: str | None = None,
 ) -> DataFrame:
     """Index of every scenario, each with its own dispersion, reference cell and years.
 
+    ``absorbed`` names a factor of both models with any number of levels, ``vessel`` then being that factor.
+
     A scenario that leaves too little to fit (a single year) is one row without index;
     ``reason`` says why.
     """
@@ -192,17 +200,22 @@ def scenario_index(
     }
     usable = [v for v in levels if len(years.get(v, [])) > 1]
     where = {v: ((key, op, v),) for v in usable}
-    base = fit_many(frame, [FitSpec(v, glm, family, where[v]) for v in usable])
-    full = fit_many(
-        frame, [FitSpec(v, gam, family, where[v], _finite(base[v].theta)) for v in usable]
-    )
+    if absorbed is None:
+        base = fit_many(frame, [FitSpec(v, glm, family, where[v]) for v in usable])
+        full = fit_many(
+            frame, [FitSpec(v, gam, family, where[v], _finite(base[v].theta)) for v in usable]
+        )
+    else:
+        base = {v: fit_absorbed(frame, FitSpec(v, glm, family, where[v]), absorbed).fit for v in usable}
+        full = {v: fit_absorbed(frame, FitSpec(v, gam, family, where[v], _finite(base[v].theta)), absorbed) for v in usable}
     schema = "year int, cpue double, lwr double, upr double, type string, reason string"
     poor = [(None, None, None, None, tag.format(v), "fewer than two years") for v in levels if v not in usable]
     out = spark.createDataFrame(poor, schema)
     for v in usable:
         cell = {k: c for k, c in cells[v].items() if k != "scenario"}
         grid = prediction_grid(spark.createDataFrame([cell], _cell_schema(weekly, vessel)), years[v])
-        part = predict_index(full[v], grid).select(
+        index = predict_index(full[v], grid) if absorbed is None else predict_absorbed(full[v], grid, cell[absorbed])
+        part = index.select(
             "year", "cpue", "lwr", "upr", F.lit(tag.format(v)).alias("type"), F.lit(None).cast("string").alias("reason")
         )
         out = out.unionByName(part)
@@ -217,9 +230,9 @@ def _cell_schema(weekly: DataFrame, vessel: str) -> str:
     return f"{vessel} string, shootlon double, shootlat double, month int, ELE double, effort double"
 
 
-def leave_one_out(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp", family="negbin") -> DataFrame:
-    return scenario_index(spark, weekly, frame, glm, gam, key, "!=", vessel, family)
+def leave_one_out(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp", family="negbin", absorbed=None) -> DataFrame:
+    return scenario_index(spark, weekly, frame, glm, gam, key, "!=", vessel, family, absorbed)
 
 
-def single_group_fits(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp", family="negbin") -> DataFrame:
-    return scenario_index(spark, weekly, frame, glm, gam, key, "==", vessel, family)
+def single_group_fits(spark, weekly, frame, glm, gam, key="vesselcp", vessel="vesselcp", family="negbin", absorbed=None) -> DataFrame:
+    return scenario_index(spark, weekly, frame, glm, gam, key, "==", vessel, family, absorbed)

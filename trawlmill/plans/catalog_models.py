@@ -155,11 +155,11 @@ def m10(spark, sf):
 
 @query("m11_compare_models")
 def m11(spark, sf):
-    terms = (("year",), ("month",), ("vesselcp",), ("ELE",))
+    terms = (("year",), ("month",), ("ELE",))
     by_year = D.Smooth(("shootlon", "shootlat"))
     shape = D.Formula("catch", (*terms, *selection.LONLAT), (by_year,), "effort")
-    frame = model_frame(weekly(spark, sf), [shape], FACTORS)
-    fits = selection.spatial_comparison(frame, terms, "catch", "effort")
+    frame = model_frame(weekly(spark, sf), [shape], FACTORS, carried=["vesselcode2"])
+    fits = selection.spatial_comparison(frame, terms, "catch", "effort", absorbed="vesselcode2")
     text = {
         "glm": "lon*lat",
         "glm by year": "lon*lat*year",
@@ -272,8 +272,10 @@ def m22(spark, sf):
 
 def _sensitivity(spark, sf, run):
     rows = weekly(spark, sf)
-    frame = model_frame(rows, [GLM, GAM], FACTORS)
-    return run(spark, rows, frame, GLM, GAM)
+    glm = D.Formula("catch", (("year",), ("month",), *selection.LONLAT, ("ELE",)), (), "effort")
+    gam = D.Formula("catch", (("year",), ("month",), ("ELE",)), (SURFACE,), "effort")
+    frame = model_frame(rows, [glm, gam], FACTORS, extra=["vesselcp"], carried=["vesselcode2"])
+    return run(spark, rows, frame, glm, gam, vessel="vesselcode2", absorbed="vesselcode2")
 
 
 @query("m23_leave_one_out")
