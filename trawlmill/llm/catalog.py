@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trawlmill.llm.op1_bpe import op1_byte_bpe
 from trawlmill.llm.op10_quality import op10_quality_cotraining
+from trawlmill.llm.op13_pieces import op13_sentencepiece
 from trawlmill.llm.op2_suffix_dedup import op2_suffix_dedup
 from trawlmill.llm.op3_near_dedup import op3_minhash_near_dedup
 from trawlmill.llm.op4_order_minhash import op4_order_minhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_cotraining": op10_quality_cotraining,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
