@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trawlmill.llm.op1_bpe import op1_byte_bpe
 from trawlmill.llm.op10_quality import op10_quality_cotraining
+from trawlmill.llm.op12_merkle import OP12_SQL, op12_merkle_manifest
 from trawlmill.llm.op13_pieces import op13_sentencepiece
 from trawlmill.llm.op2_suffix_dedup import op2_suffix_dedup
 from trawlmill.llm.op3_near_dedup import op3_minhash_near_dedup
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_cotraining": op10_quality_cotraining,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
     "op9_benchmark_decontamination": OP9_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
