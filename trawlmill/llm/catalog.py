@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trawlmill.llm.op1_bpe import op1_byte_bpe
 from trawlmill.llm.op10_quality import op10_quality_cotraining
+from trawlmill.llm.op11_repair import op11_conversation_repair
 from trawlmill.llm.op12_merkle import OP12_SQL, op12_merkle_manifest
 from trawlmill.llm.op13_pieces import op13_sentencepiece
 from trawlmill.llm.op2_suffix_dedup import op2_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_cotraining": op10_quality_cotraining,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_sentencepiece": op13_sentencepiece,
 }

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawlmill.sources.staging import stage
+
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 19
 
@@ -55,6 +57,12 @@ def texts_with_key(docs: DataFrame) -> DataFrame:
     )
 
 
+def in_order(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """The staged rows dealt by ranges of the keys and sorted; column ``at`` ascends with them, one by one within a range (at >> 33)."""
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys)
+    return stage(dealt.drop("tie").withColumn("at", F.monotonically_increasing_id()), tag)
+
+
 #: Names of the row identity beside a table's own columns.
 ROW_KEY = ("__row_id", "__row_hash")
 

@@ -18,14 +18,13 @@ Columns that are not among the fields are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import table
+from trawlmill.llm.common import in_order, table
 from trawlmill.sources.staging import discard, stage
 
 FAN_OUT = 16
@@ -64,12 +63,6 @@ class Manifest:
     root: str | None
 
 
-def _ordered(rows: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
-    """The staged rows in the order of the keys; ``at`` ascends with it, its upper bits are the range a row lies in."""
-    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "tie").sortWithinPartitions(*keys)
-    return stage(dealt.drop("tie").withColumn("at", F.monotonically_increasing_id()), tag)
-
-
 def _places(ordered: DataFrame) -> DataFrame:
     """One row for each range and source in it: how many leaves of the source come before, and its size and number."""
     pieces = ordered.groupBy(F.shiftright("at", 33).alias("range"), "source").agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -144,7 +137,7 @@ def _jumped(steps: DataFrame, depth: int) -> DataFrame:
 def build_manifest(leaves: DataFrame, fan_out: int = FAN_OUT) -> Manifest:
     """Manifest of a table (doc_id, source, digest, further columns that stay with the leaf)."""
     carried = [c for c in leaves.columns if c != "source"]
-    ordered = _ordered(leaves.select("source", F.struct(*carried).alias("item")), ["source", "item.doc_id", "item.digest"], "leaves")
+    ordered = in_order(leaves.select("source", F.struct(*carried).alias("item")), ["source", "item.doc_id", "item.digest"], "leaves")
     places = stage(_places(ordered), "places")
     sources, largest = places.where("before = 0").agg(F.count("*"), F.max("size")).first()  # two numbers
     if not sources:
