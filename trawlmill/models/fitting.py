@@ -53,6 +53,8 @@ class Frame:
 
     data: DataFrame
     space: Space
+    #: the frame dealt by the levels of a factor, by factor (``absorbed.deal_by_level``)
+    dealt: dict[str, object] = field(default_factory=dict)
 
 
 @dataclass
@@ -426,7 +428,7 @@ class _State:
             self.done = True
             return
         if family != "gaussian" and not first:
-            penalty = 0.5 * self.beta @ self._penalty(self.lambdas) @ self.beta
+            penalty = 0.5 * self.beta @ self._penalty(self.lambdas) @ self.beta + res.get("penalty", 0.0)
             objective = loglik - penalty
             settled = (
                 abs(objective - self.loglik) < tol * (abs(self.loglik) + 0.1)

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .absorbed import fit_absorbed, predict_absorbed
+from .absorbed import fit_absorbed_many, level_sums, predict_absorbed
 from .design import Formula, Smooth, code_name, crossed
 from .fitting import Fit, FitSpec, Frame, fit_many
 from .inference import fit_statistics, predict_index
@@ -91,8 +91,8 @@ def forward_selection(
     """AIC of adding each candidate; the best one joins the model before the next round.
 
     ``absorbed`` names a factor with any number of levels among the candidates; its
-    effects are kept in a table (see ``absorbed.py``), the others share their passes
-    until that factor is in the model; from then on each candidate has passes of its own.
+    effects are found level by level (see ``absorbed.py``).  The candidates of a round share
+    their passes, with that factor in the model as well as before.
     ``first`` names the candidate that joins after the first round whatever its AIC.
     """
     table: list[tuple[int, str, float]] = []
@@ -105,9 +105,9 @@ def forward_selection(
         if taken is None:
             scores = {n: f.aic for n, f in fit_many(frame, specs).items()}
         else:
-            scores = {s.name: fit_absorbed(frame, s, taken).aic for s in specs}
+            scores = {n: f.aic for n, f in fit_absorbed_many(frame, specs, taken).items()}
         if pending is not None:
-            scores[pending] = fit_absorbed(frame, FitSpec(pending, base, family), pending).aic
+            scores[pending] = fit_absorbed_many(frame, [FitSpec(pending, base, family)], pending)[pending].aic
         ranked = sorted((aic, n) for n, aic in scores.items())
         table += [(r, n, aic) for aic, n in ranked]
         best = first if r == 1 and first is not None else ranked[0][1]
@@ -137,7 +137,7 @@ def spatial_comparison(
     """
 
     def fits(specs: list[FitSpec]) -> dict[str, Fit]:
-        return fit_many(frame, specs) if absorbed is None else {s.name: fit_absorbed(frame, s, absorbed).fit for s in specs}
+        return fit_many(frame, specs) if absorbed is None else {n: f.fit for n, f in fit_absorbed_many(frame, specs, absorbed).items()}
 
     plain = Formula(response, (*terms, *LONLAT), (), offset)
     by_year = Formula(
@@ -206,17 +206,24 @@ def scenario_index(
             frame, [FitSpec(v, gam, family, where[v], _finite(base[v].theta)) for v in usable]
         )
     else:
-        base = {v: fit_absorbed(frame, FitSpec(v, glm, family, where[v]), absorbed).fit for v in usable}
-        full = {v: fit_absorbed(frame, FitSpec(v, gam, family, where[v], _finite(base[v].theta)), absorbed) for v in usable}
+        base = fit_absorbed_many(frame, [FitSpec(v, glm, family, where[v]) for v in usable], absorbed)
+        thetas = {v: _finite(f.fit.theta) for v, f in base.items()}
+        full = fit_absorbed_many(frame, [FitSpec(v, gam, family, where[v], thetas[v]) for v in usable], absorbed)
+        own = level_sums(full, {v: cells[v][absorbed] for v in usable})
     schema = "year int, cpue double, lwr double, upr double, type string, reason string"
     poor = [(None, None, None, None, tag.format(v), "fewer than two years") for v in levels if v not in usable]
     out = spark.createDataFrame(poor, schema)
     for v in usable:
         cell = {k: c for k, c in cells[v].items() if k != "scenario"}
         grid = prediction_grid(spark.createDataFrame([cell], _cell_schema(weekly, vessel)), years[v])
-        index = predict_index(full[v], grid) if absorbed is None else predict_absorbed(full[v], grid, cell[absorbed])
+        reason = None
+        if absorbed is None:
+            index = predict_index(full[v], grid)
+        else:
+            index = predict_absorbed(full[v], grid, cell[absorbed], sums=own.get(v))
+            reason = None if v in own else "no complete row of the cell's vessel"
         part = index.select(
-            "year", "cpue", "lwr", "upr", F.lit(tag.format(v)).alias("type"), F.lit(None).cast("string").alias("reason")
+            "year", "cpue", "lwr", "upr", F.lit(tag.format(v)).alias("type"), F.lit(reason).cast("string").alias("reason")
         )
         out = out.unionByName(part)
     return out
