@@ -122,3 +122,15 @@ def test_broken_workbooks_cost_one_row(spark):
     got = [tuple(r) for r in workbooks.decode_workbooks(files).orderBy("file", "row", "col").collect()]
     assert got[0][:2] == ("bad.xlsx", workbooks.ERROR_SHEET)
     assert [(r[2], r[3], r[4]) for r in got[1:]] == [(1, 1, "1"), (1, 2, "2"), (5, 3, "3"), (5, 4, "4"), (6, 1, "5")]
+
+
+def test_each_cell_is_parsed_once(spark):
+    """Stamps by columns equal stamps by the column function, with one cast to double for each cell in the plan."""
+    texts = ["NaN", "Infinity", "1e300", "2958466", "2958465.5", "43831.5", "2020-01-01 12:00:00", "2020/1/2 3:04:05", "2020-13-01 00:00:00", "x", None]
+    df = spark.createDataFrame([(t, "0.25") for t in texts], "t string, u string")
+    both = haultext.with_stamps(df.select("*", haultext.parse_mixed_datetime("t").alias("want")), {"got": "t"}, {"sum": ("t", "u")})
+    assert all(r.got == r.want for r in both.collect())
+    want = df.select(haultext.serial_date_plus_time("t", "u")).collect()
+    assert [r.sum for r in both.collect()] == [r[0] for r in want]
+    plan = haultext.with_stamps(df, {"got": "t"}, {"sum": ("t", "u")})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("% 1.7976931348623157E308") == 3  # t once for each of the two results, u once

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .semantics import hours_between, strip_blanks, to_number
@@ -22,25 +24,47 @@ def serial_to_timestamp(days: Column) -> Column:
     """
     days = F.when((days >= FIRST_SERIAL) & (days < AFTER_LAST_SERIAL), days)
     micros = F.round(days * F.lit(86400.0 * 1e6)).cast("bigint")
-    whole = F.expr(f"timestamp_ntz'{SERIAL_EPOCH} 00:00:00'")
-    seconds = (micros / F.lit(1_000_000)).cast("decimal(18,6)")
-    return whole + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return F.timestamp_add("MICROSECOND", micros, F.expr(f"timestamp_ntz'{SERIAL_EPOCH} 00:00:00'"))
+
+
+def _dated(col: Column) -> Column:
+    return F.coalesce(col.rlike(DATED_TEXT), F.lit(False))
+
+
+def _stamp_or(col: Column, days: Column) -> Column:
+    stamp = F.regexp_replace(F.trim(col), "/", "-").try_cast("timestamp_ntz")
+    return F.when(_dated(col), F.when(col.rlike(FULL_STAMP), stamp)).otherwise(serial_to_timestamp(days))
 
 
 def parse_mixed_datetime(col) -> Column:
     """Text that is either a y-m-d h:m:s stamp or a spreadsheet day number."""
     col = F.col(col) if isinstance(col, str) else col
-    stamp = F.regexp_replace(F.trim(col), "/", "-").try_cast("timestamp_ntz")
-    return F.when(
-        col.rlike(DATED_TEXT), F.when(col.rlike(FULL_STAMP), stamp)
-    ).otherwise(serial_to_timestamp(to_number(col)))
+    return _stamp_or(col, to_number(col))
 
 
-def serial_date_plus_time(date, time) -> Column:
-    """Day number plus day fraction, both text; a missing time is midnight."""
+def _day_number(date, time) -> Column:
     date = F.col(date) if isinstance(date, str) else date
     time = F.col(time) if isinstance(time, str) else time
-    return serial_to_timestamp(to_number(date) + F.coalesce(to_number(time), F.lit(0.0)))
+    return to_number(date) + F.coalesce(to_number(time), F.lit(0.0))
+
+
+def serial_date_plus_time(date, time) -> Column:
+    """Day number plus day fraction, both text; a missing time is midnight."""
+    return serial_to_timestamp(_day_number(date, time))
+
+
+def with_stamps(df: DataFrame, mixed: Mapping[str, str] | None = None, serial: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """New columns from text: ``mixed`` as parse_mixed_datetime of one column, ``serial`` as serial_date_plus_time of two.
+
+    The day numbers are parsed in a projection of their own, once for each cell, and then compared with the calendar.
+    """
+    mixed, serial = dict(mixed or {}), dict(serial or {})
+    days = {n: to_number(F.when(~_dated(F.col(c)), F.col(c))) for n, c in mixed.items()}
+    days.update({n: _day_number(*cs) for n, cs in serial.items()})
+    held = df.withColumns({f"__{n}_days": d for n, d in days.items()})
+    stamps = {n: _stamp_or(F.col(c), F.col(f"__{n}_days")) for n, c in mixed.items()}
+    stamps.update({n: serial_to_timestamp(F.col(f"__{n}_days")) for n in serial})
+    return held.withColumns(stamps).drop(*[f"__{n}_days" for n in days])
 
 
 def haul_duration(start, end, reported: Column | None = None) -> Column:

@@ -59,9 +59,7 @@ def seconds_between(start, end) -> Column:
     """Elapsed seconds of two zone-less stamps; the session time zone plays no part."""
     start = start if isinstance(start, Column) else F.col(start)
     end = end if isinstance(end, Column) else F.col(end)
-    gap = end - start
-    part = lambda unit: F.extract(F.lit(unit), gap).cast("double")
-    return part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+    return (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
 
 
 def hours_between(start, end) -> Column:
@@ -77,10 +75,16 @@ def strip_blanks(col: Column) -> Column:
     return F.regexp_replace(col, r"\s+", "")
 
 
+#: The largest double; the remainder by it leaves every smaller number as it is and makes infinity no number.
+LARGEST = 1.7976931348623157e308
+
+
 def to_number(col: Column) -> Column:
-    """Text to double; text that is not a finite number becomes NULL instead of failing."""
-    value = col.try_cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+    """Text to double; text that is not a finite number becomes NULL instead of failing.
+
+    The text is parsed once: neither the remainder nor ``nanvl`` names its argument again.
+    """
+    return F.nanvl(col.try_cast("double") % F.lit(LARGEST), F.lit(None).cast("double"))
 
 
 def null_safe_join(

@@ -13,8 +13,7 @@ from ..functions.haultext import (
     force_south_west,
     haul_duration,
     kg_to_tonnes_fallback,
-    parse_mixed_datetime,
-    serial_date_plus_time,
+    with_stamps,
 )
 from ..functions.semantics import (
     if_else,
@@ -61,8 +60,8 @@ def type_register(df: DataFrame) -> DataFrame:
     numeric = [
         c for c in ("shootlat", "shootlon", "haullat", "haullon", "catch") if c in df.columns
     ]
-    typed = df.withColumns({c: to_number(F.col(c)) for c in numeric}).withColumns(
-        {c: parse_mixed_datetime(c) for c in ("shootdatetime", "hauldatetime")}
+    typed = with_stamps(
+        df.withColumns({c: to_number(F.col(c)) for c in numeric}), {c: c for c in ("shootdatetime", "hauldatetime")}
     )
     return typed.withColumn("duration", haul_duration("shootdatetime", "hauldatetime")).select(
         "*", *calendar_parts("shootdatetime")
@@ -71,12 +70,7 @@ def type_register(df: DataFrame) -> DataFrame:
 
 def type_serial_list(df: DataFrame) -> DataFrame:
     """Old haul list: serial dates, reported duration (seconds), wide species columns."""
-    out = df.withColumns(
-        {
-            "shootdatetime": serial_date_plus_time("shootdate", "shoottime"),
-            "hauldatetime": serial_date_plus_time("hauldate", "haultime"),
-        }
-    )
+    out = with_stamps(df, serial={"shootdatetime": ("shootdate", "shoottime"), "hauldatetime": ("hauldate", "haultime")})
     reported = to_number(F.col("duration")) / 3600
     out = out.withColumn(
         "duration", haul_duration("shootdatetime", "hauldatetime", reported)
@@ -92,10 +86,8 @@ def type_serial_list(df: DataFrame) -> DataFrame:
 
 def type_stamped_list(df: DataFrame) -> DataFrame:
     """New haul list: stamps as text, catch and discards as text in kilogrammes."""
-    out = canon_vessel(df).withColumns(
+    out = with_stamps(canon_vessel(df), {c: c for c in ("shootdatetime", "hauldatetime")}).withColumns(
         {
-            "shootdatetime": parse_mixed_datetime("shootdatetime"),
-            "hauldatetime": parse_mixed_datetime("hauldatetime"),
             "catch": clean_numeric_text("catch") / 1000,
             "discarded": clean_numeric_text("discarded"),
             "species": F.lower("species"),

@@ -15,8 +15,7 @@ from ..functions.haultext import (
     calendar_parts,
     clean_numeric_text,
     haul_duration,
-    parse_mixed_datetime,
-    serial_date_plus_time,
+    with_stamps,
 )
 from ..operators import cpue, crosstab, environment, hauls as H, overview, sampling, spatial, templates
 from ..sources import snapshots, tables, workbooks
@@ -258,20 +257,13 @@ def s14(spark, sf):
 @query("h1_parse_mixed_datetime")
 def h1(spark, sf):
     reg = tables.rename_register(P.register_text(spark, sf))
-    return reg.select(
-        "vesselimo", parse_mixed_datetime("shootdatetime").alias("shoot"), parse_mixed_datetime("hauldatetime").alias("haul")
-    ).groupBy("vesselimo", "shoot", "haul").agg(F.count(F.lit(1)).alias("n"))
+    return with_stamps(reg, {"shoot": "shootdatetime", "haul": "hauldatetime"}).groupBy("vesselimo", "shoot", "haul").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h2_serial_date_plus_time")
 def h2(spark, sf):
     return (
-        P.old_list_text(spark, sf)
-        .select(
-            "vesselname",
-            serial_date_plus_time("shootdate", "shoottime").alias("shoot"),
-            serial_date_plus_time("hauldate", "haultime").alias("haul"),
-        )
+        with_stamps(P.old_list_text(spark, sf), serial={"shoot": ("shootdate", "shoottime"), "haul": ("hauldate", "haultime")})
         .groupBy("vesselname", "shoot", "haul")
         .agg(F.count(F.lit(1)).alias("n"))
     )
