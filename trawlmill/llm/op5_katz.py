@@ -36,7 +36,7 @@ from trawlmill.sources.staging import stage
 END = np.uint64(0x452821E638D01377)
 START = np.uint64(0xBE5466CF34E90C6C)
 #: Words whose counts every task holds.
-TOP_WORDS = 400_000
+TOP_WORDS = 250_000
 #: Good-Turing discounts hold up to this count.
 DISCOUNTED = 5
 #: Bigrams of a partition, about.
@@ -106,18 +106,25 @@ class Cache:
     def __init__(self, words: np.ndarray, counts: np.ndarray, starts: int, tokens: int):
         """words by falling count; the start comes last."""
         words, counts = np.r_[words, START], np.r_[counts, 0].astype(np.int64)
-        self.words, self.counts, self.size = words, counts, len(words)
-        self.order = np.argsort(words)
+        self.counts, self.size = counts, len(words)
+        self.order = np.argsort(words).astype(np.int32)
         self.sorted = words[self.order]
         limit = max(SPLIT_TOKENS, tokens // MOST_SPLITS)
-        self.parts = np.maximum(1, -(-np.r_[counts[:-1], starts] // limit))
+        self.parts = np.maximum(1, -(-np.r_[counts[:-1], starts] // limit)).astype(np.int32)
         self.partitions = int(max(1, -(-tokens * 6 // 5 // PARTITION_TOKENS)))
 
     def rank(self, words: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it isn't here."""
         at = np.searchsorted(self.sorted, words)
         at[at == self.size] = 0
-        return np.where(self.sorted[at] == words, self.order[at], -1)
+        return np.where(self.sorted[at] == words, self.order[at].astype(np.int64), -1)
+
+    @property
+    def words(self) -> np.ndarray:
+        """By falling count, the start last."""
+        out = np.empty_like(self.sorted)
+        out[self.order] = self.sorted
+        return out
 
     def partition(self, context: np.ndarray, context_rank: np.ndarray, word: np.ndarray) -> np.ndarray:
         parts = np.where(context_rank >= 0, self.parts[context_rank], 1).astype(np.uint64)
@@ -523,7 +530,10 @@ def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = T
     for h, total, *small, large, seen in cut.collect():  # at most MOST_SPLITS contexts and the start
         factor, a = backoff(np.array([total]), np.array([small]), np.array([large]), np.array([seen]), d)
         split[int(np.int64(h).view(np.uint64))] = (total, float(factor[0]), float(a[0]))
-    scored = text_scores(partial_scores(model, cache, unigrams, d, split), model)
+    partial = stage(partial_scores(model, cache, unigrams, d, split), "scores")
+    # nothing below needs the cache: the JVM and the reused workers let it go before the next run brings its own
+    cache.destroy()
+    scored = text_scores(partial, model)
     # A word of one text may be in several partitions; equal rows count once here.
     by_word = rare.groupBy("row_id", "row_hash", "w", "p").agg(F.max("times").alias("times"), F.max("c").alias("c"))
     base = F.log10((F.col("c") + 1) / F.lit(float(tokens + types + 1)))
