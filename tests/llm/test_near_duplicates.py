@@ -91,3 +91,32 @@ def test_contained_items_equal_plain_sets(spark):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want
     assert op9.contained_items(corpus(spark, []), given).collect() == []
     assert op9.contained_items(corpus(spark), given.limit(0)).collect() == []
+
+
+def test_one_large_bucket_with_mixed_components(spark, monkeypatch):
+    """Many families in the same buckets: blocks smaller than the bucket lose no link, and a task gives a forest only."""
+    monkeypatch.setattr(op3, "BLOCK_NODES", 8)
+    monkeypatch.setattr(op3, "PASSING_NODES", 16)
+    monkeypatch.setattr(op3, "MATCHES", 500)
+    rng = random.Random(4)
+    base = prose(900, 60).split()
+    texts = []
+    for _family in range(9):
+        own = [w if rng.random() > 0.02 else f"f{rng.randint(0, 99)}" for w in base]
+        for _ in range(12):
+            copy = list(own)
+            copy[rng.randrange(60)] = f"c{rng.randint(0, 9999)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    nodes = spark.createDataFrame([(str(i).zfill(16).encode(), t) for i, t in rows], "node binary, text string")
+    bags = op3.elements(nodes)
+    buckets = nodes.selectExpr("1L AS key", "node").union(nodes.where("hex(node) > '3'").selectExpr("2L", "node"))
+    got = {int(r.node): int(r.root) for r in op3.linked_components(buckets, bags, 0.8).collect()}
+    want = classes(rows)
+    assert len(set(want)) > 3
+    assert {frozenset(i for i in got if got[i] == r) for r in got.values()} == {frozenset(i for i in range(len(want)) if want[i] == r) for r in want}
+    mixed = op3._mixed(buckets, nodes.selectExpr("node", "node AS root"))
+    links = op3._across_blocks(mixed, bags, 0.8)
+    # each task gives fewer links than it has texts
+    blocks, passing = -(-len(rows) // 8) + 1, -(-len(rows) // 16)
+    assert links.count() <= 2 * blocks * passing * (8 + 2 * 16)

@@ -9,10 +9,11 @@ weighted Jaccard similarity.
 
 Candidates come from a banded join (26 bands of 5 coordinates: a pair at 0.8 is missed with probability 3e-5, at 0.9 below
 1e-10) and are verified by the exact similarity of the bags.  Texts with the same words are one node before that.
-Every member of a bucket is compared with its leader; buckets that still hold several components compare the members
-outside the largest one with the others, so no link between members of a bucket is lost and no large group of copies is
-expanded into its pairs.  Classes are the connected components of the verified links, found by alternating large-star and
-small-star steps on staged edge tables.
+Every member of a bucket is compared with its leader.  Buckets that still hold several components are dealt in blocks to tasks,
+the bags beside them: a task verifies inside, keeps a union-find of the components it sees, and gives only links that join two
+of them (a spanning forest).  In the end the members outside a bucket's largest component have met all others that are not in
+their component, so no link between members of a bucket is lost, and no group is expanded into its pairs.  Classes are the
+connected components of the links, found by alternating large-star and small-star steps on staged edge tables.
 
 Rows: one row per input row.  Null and empty texts, and texts of white space only, have no shingles and form one class of
 their own (same words: none).  A text under five words has one shingle.  `class_id` is the smallest id in the class,
@@ -22,24 +23,27 @@ null only if all ids are null.  Repeated rows share a class.  Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache, reduce
-from operator import add
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlmill.llm.common import NO_ID, ROW_KEY, chunks, mix, rows_with_key, shingles_of, table, text_bytes, texts_with_key, with_row_key, words_of
-from trawlmill.sources.staging import stage
+from trawlmill.sources.staging import discard, stage
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 26
 ROWS = 5
-#: Bits of a text's parity sketch / 64.
-PARITY_WORDS = 16
-PARITIES = [f"o{k}" for k in range(PARITY_WORDS)]
+#: Texts, and units of their bags, that a task compares with others at a time.
+BLOCK_NODES = 256
+BLOCK_UNITS = 1 << 20
+#: Texts that stream past such a block.
+PASSING_NODES = 4096
+#: Matching units that a task holds at a time.
+MATCHES = 1 << 21
 EDGES_PER_FILE = 200_000
 #: Ranks below 2**FIRST_RANK are opened first.
 FIRST_RANK = -7
@@ -139,29 +143,19 @@ def sketch(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_
     return keyed.mapInArrow(run, "doc_id long, row_id long, row_hash long, node binary, bands array<long>")
 
 
-def parities(units: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """rows x PARITY_WORDS numbers: each unit turns one of the bits.  Bits in which two rows differ are at most the units they don't share."""
-    bits = PARITY_WORDS * 64
-    place = owner * bits + (mix(units) % np.uint64(bits)).astype(np.int64)
-    odd = (np.bincount(place, minlength=rows * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(rows, bits), axis=1).view(np.int64)
-
-
 def elements(keyed: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """node, bag (array: hashes of the units of weight), n (of them), o0, o1, ... (their parities) from node, text."""
+    """node, bag (ascending hashes of the units of weight), n (of them) from node, text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             data, at = text_bytes(batch.column(1))
             shingles, owner = shingles_of(*words_of(data, at), size)
-            units = units_of_weight(shingles, owner)
+            units = units_of_weight(shingles, owner).view(np.int64)
+            units = units[np.lexsort((units, owner))]
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-            odd = parities(units, owner, batch.num_rows)
-            columns = [batch.column(0), pa.ListArray.from_arrays(ends, pa.array(units.view(np.int64))), pa.array(np.diff(ends))]
-            columns += [pa.array(np.ascontiguousarray(odd[:, k])) for k in range(PARITY_WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "bag", "n", *PARITIES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(units)), pa.array(np.diff(ends))], names=["node", "bag", "n"])
 
-    return keyed.select("node", "text").mapInArrow(run, "node binary, bag array<long>, n int, " + ", ".join(f"{o} long" for o in PARITIES))
+    return keyed.select("node", "text").mapInArrow(run, "node binary, bag array<long>, n int")
 
 
 def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -173,54 +167,175 @@ def similar(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def _compare(pairs: DataFrame, tested: DataFrame | None, bags: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links among the pairs not tested before, and all pairs tested so far."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    fresh = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    return stage(similar(fresh, bags, threshold), "links"), fresh if tested is None else tested.union(fresh)
+def _bag_values(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row begins."""
+    at = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[at[0] : at[-1]], at - at[0]
+
+
+class _Block:
+    """Texts that others are compared with: their bags as one sorted list, and the components seen so far."""
+
+    def __init__(self, batches: list[pa.RecordBatch], threshold: float):
+        self.threshold = threshold
+        self.parent: dict[bytes, bytes] = {}
+        self.roots = [r for b in batches for r in b.column("root").to_pylist()]
+        parts = [_bag_values(b.column("bag")) for b in batches]
+        values = np.concatenate([v for v, _ in parts])
+        self.sizes = np.concatenate([np.diff(at) for _, at in parts])
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def find(self, x: bytes) -> bytes:
+        top = x
+        while (up := self.parent.get(top, top)) != top:
+            top = up
+        while (up := self.parent.get(x, x)) != top:
+            self.parent[x], x = top, up
+        return top
+
+    def meet(self, batch: pa.RecordBatch) -> list[tuple[bytes, bytes]]:
+        """Links from the rows to texts of the block in other components; the components become one."""
+        links = []
+        roots = batch.column("root").to_pylist()
+        values, at = _bag_values(batch.column("bag"))
+        low, high = (np.searchsorted(self.values, values, side=s) for s in ("left", "right"))
+        matches = np.r_[0, np.cumsum(high - low)]
+        row = 0
+        while row < len(roots):
+            # as many rows as have about MATCHES units in common with the block
+            stop = max(row + 1, int(np.searchsorted(matches[at], matches[at[row]] + MATCHES, side="right")) - 1)
+            a, b = low[at[row] : at[stop]], (high - low)[at[row] : at[stop]]
+            place = np.repeat(a - np.r_[0, np.cumsum(b)[:-1]], b) + np.arange(int(b.sum())) if len(b) else np.zeros(0, np.int64)
+            own = np.repeat(np.repeat(np.arange(stop - row), np.diff(at[row : stop + 1])), b)
+            shared = np.bincount(own * len(self.sizes) + self.owner[place], minlength=(stop - row) * len(self.sizes)).reshape(stop - row, -1)
+            total = np.diff(at[row : stop + 1])[:, None] + self.sizes[None, :]
+            for i, j in zip(*np.nonzero((shared >= self.threshold * (total - shared)) & (shared > 0)), strict=True):
+                x, y = self.find(roots[row + i]), self.find(self.roots[j])
+                if x != y:
+                    self.parent[max(x, y)] = min(x, y)
+                    links.append((x, y))
+            row = stop
+        return links
+
+
+def _forest(threshold: float):
+    """Rows (task, passing, root, bag) sorted by task, those that others are compared with first -> links between components."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, held = None, None, []
+        for whole in batches:
+            task = whole.column(0).to_numpy()
+            passing = whole.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]) | (passing[1:] != passing[:-1]), True]) if len(task) else [0]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                own = whole.slice(start, stop - start)
+                if task[start] != now:
+                    now, block, held = task[start], None, []
+                if not passing[start]:
+                    held.append(own)
+                    continue
+                if block is None and held:
+                    block, held = _Block(held, threshold), []
+                links = block.meet(own) if block is not None else []
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _links(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Staged links between components from rows (task, passing, root, bag)."""
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("task", "passing", "root", "bag").repartition(tasks, "task").sortWithinPartitions("task", "passing")
+    return stage(dealt.mapInArrow(_forest(threshold), "a binary, b binary"), "links")
+
+
+def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Staged: key, node, root of the buckets that hold several components."""
+    named = buckets.join(roots, "node")
+    several = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    return stage(named.join(several, "key", "left_semi").select("key", "node", "root"), "mixed")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after the links between their roots."""
+    new = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    after = stage(roots.join(new, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    discard(roots)
+    return after
+
+
+def _blocks(nodes: str, units: str, most: int) -> Column:
+    """Number of blocks for so many texts and units."""
+    return F.ceil(F.col(nodes) / most + F.col(units) / BLOCK_UNITS)
+
+
+def _part(blocks: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), blocks)
+
+
+def _within_blocks(mixed: DataFrame, bags: DataFrame, threshold: float, salt: int) -> DataFrame:
+    """Links inside blocks, every text being in one: a block of its fullest bucket."""
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("size"))
+    home = mixed.join(sizes, "key").groupBy("node").agg(F.max(F.struct("size", "key")).alias("h"), F.min("root").alias("root"))
+    home = home.select("node", "root", F.col("h.key").alias("key")).join(bags, "node")
+    sizes = home.groupBy("key").agg(F.count("*").alias("nodes"), F.sum("n").alias("units")).where("nodes > 1")
+    task = F.xxhash64("key", _part(_blocks("nodes", "units", BLOCK_NODES), salt))
+    dealt = home.join(sizes, "key").select(task.alias("task"), "root", "bag", F.explode(F.array(F.lit(False), F.lit(True))).alias("passing"))
+    return _links(dealt, threshold)
+
+
+def _across_blocks(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links of all texts outside their bucket's largest component with all others of the bucket."""
+    mixed = mixed.join(bags, "node")
+    largest = mixed.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("u"))
+    largest = largest.groupBy("key").agg(
+        F.max(F.struct("c", "u", "root")).alias("l"), F.sum("c").alias("nodes"), F.sum("u").alias("units")
+    )
+    counts = largest.select(
+        "key", F.col("l.root").alias("main"), (F.col("nodes") - F.col("l.c")).alias("outside"), (F.col("units") - F.col("l.u")).alias("outside_units"), "nodes"
+    )
+    rows = mixed.join(counts, "key")
+    fixed = _blocks("outside", "outside_units", BLOCK_NODES)
+    passing = F.ceil(F.col("nodes") / PASSING_NODES)
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    leaders = rows.where(F.col("root") != F.col("main")).select(
+        "key", _part(fixed, 0).cast("int").alias("i"), every(passing).alias("j"), F.lit(False).alias("passing"), "root", "bag"
+    )
+    others = rows.select("key", _part(passing, 1).cast("int").alias("j"), every(fixed).alias("i"), F.lit(True).alias("passing"), "root", "bag")
+    return _links(leaders.unionByName(others).withColumn("task", F.xxhash64("key", "i", "j")), threshold)
 
-def linked_components(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """node, root from buckets (key, node): verified links, searched until every bucket is settled.
 
-    First every member is compared with its bucket's leader.  Then, in each bucket that still holds several components,
-    members outside its largest one lead in turn (16, 256, 4096, ... at a time) and are compared with the members of other
-    components, and the components are found anew.  In the end any two members of a bucket are in one component or were
-    compared, but a large group of copies costs one comparison for each member.
+def linked_components(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """node, root from buckets (key, node): the components of all verified links between members of a bucket.
 
-    These comparisons begin inside the join: two bags of n and m units that reach the similarity t differ in at most
-    (1 - t) / (1 + t) (n + m) units, and their parities in at most as many bits.  Only pairs within that bound come out of
-    the join to be verified, so texts that are merely alike make no rows.
+    First every member is compared with its bucket's leader.  What then is in buckets of several components is compared within
+    blocks, each text once, as long as that halves these buckets.  Last, every text outside the largest component of a
+    bucket meets all others of it.  A task joins components as it finds links, so a pair is left out only where its texts are
+    in one component already.
     """
     leader = buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("l")).select("key", F.col("l.node").alias("b"))
     pairs = buckets.select("key", F.col("node").alias("a")).join(leader, "key").where(F.col("a") != F.col("b"))
-    links, tested = _compare(pairs, None, bags, threshold)
-    led, turn, roots = None, 1, components(links)
+    pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    first = components(stage(similar(pairs, bags, threshold), "links"))
+    nodes = buckets.select("node").distinct()
+    roots = stage(nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    discard(pairs)
+    before, salt = None, 0
     while True:
-        turn *= 16
-        named = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-        mixed = stage(named.join(mixed, "key", "left_semi").join(bags.select("node", "n", *PARITIES), "node"), "mixed")
-        largest = mixed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("l"))
-        outside = mixed.join(largest.select("key", F.col("l.root").alias("main")), "key").where(F.col("root") != F.col("main"))
-        if led is not None:
-            outside = outside.join(led, ["key", "node"], "left_anti")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        leaders = outside.withColumn("at", F.row_number().over(order)).where(F.col("at") <= turn)
-        renamed = [F.col(c).alias(f"{c}_b") for c in ("n", *PARITIES)]
-        leaders = stage(leaders.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), *renamed), "leaders")
-        if leaders.isEmpty():
+        mixed = _mixed(buckets, roots)
+        left = mixed.count()
+        if not left:
+            return roots
+        halved, before, salt = before is None or 2 * left <= before, left, salt + 1
+        links = _within_blocks(mixed, bags, threshold, salt) if halved else _across_blocks(mixed, bags, threshold)
+        if not links.isEmpty():
+            roots = _joined(roots, links)
+        discard(mixed)
+        if not halved:
             return roots
-        now = leaders.select("key", F.col("b").alias("node"))
-        led = now if led is None else led.union(now)
-        members = mixed.select(F.col("key").alias("key_a"), F.col("node").alias("a"), "root", "n", *PARITIES)
-        differing = reduce(add, [F.bit_count(F.col(o).bitwiseXOR(F.col(f"{o}_b"))) for o in PARITIES])
-        bound = (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("n_b")) + 1e-6
-        pairs = members.join(leaders, (F.col("key_a") == F.col("key")) & (F.col("root") != F.col("root_b")) & (differing <= bound))
-        found, tested = _compare(pairs, tested, bags, threshold)
-        if not found.isEmpty():
-            # the components so far stand for their links
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
