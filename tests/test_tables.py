@@ -180,3 +180,33 @@ def test_workbook_round_trip_and_readers(spark):
     ]
     catch = {(r.variable, r.quarter, r.year, r.fleet, r.unit, r.value) for r in templates.read_catch(decoded).collect()}
     assert catch == {("retained", 1, 2018, "F1", "tonnes", 5.0), ("discards", 1, 2018, "F4", "tonnes", 7.0)}
+
+
+def test_polygons_with_holes_bays_and_straight_edges(spark):
+    """Rings with horizontal and vertical edges, self-touching and far larger than a cell; any cell size gives the same."""
+    import random
+
+    rng = random.Random(8)
+    star = [(10 + (6 if k % 2 else 2.5) * math.cos(k * math.pi / 9) * 1.7, -20 + (6 if k % 2 else 2.5) * math.sin(k * math.pi / 9)) for k in range(18)]
+    comb = [(0, 0)] + [p for k in range(5) for p in ((k + 0.2, 0), (k + 0.2, 3), (k + 0.8, 3), (k + 0.8, 0.5))] + [(5, 0.5), (5, -1), (0, -1)]
+    tiny = [(3.01, -9.99), (3.02, -9.99), (3.02, -9.98)]
+    wide = [(-60, -50), (60, -50), (60, 40), (-60, 40)]
+    rings = {"a": star, "b": comb, "c": tiny, "d": wide}
+    vertices = spark.createDataFrame(
+        [(n, i, float(x), float(y)) for n, ring in rings.items() for i, (x, y) in enumerate(ring)], "poly_id string, seq int, lon double, lat double"
+    )
+    spots = [(rng.uniform(-5, 25), rng.uniform(-30, 5)) for _ in range(1500)] + [(rng.uniform(3, 3.03), rng.uniform(-10, -9.97)) for _ in range(100)]
+    spots += [(0.1, 0.0), (3.0, 1.0), (0.5, 3.0), (2.2, 1.5), (70.0, 0.0), (-60.0, 0.0), (4.0, 0.5)]
+
+    def parity(ring, x, y):
+        inside = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > y) != (y2 > y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x:
+                inside = not inside
+        return inside
+
+    want = {p: min((n for n, ring in rings.items() if parity(ring, *p)), default=None) for p in spots}
+    df = spark.createDataFrame(spots, "shootlon double, shootlat double")
+    for cell in (1.0, 0.37, 25.0):
+        got = {(r.shootlon, r.shootlat): r.division for r in spatial.point_in_polygon(df, vertices, cell=cell).collect()}
+        assert got == want

@@ -156,8 +156,8 @@ def mean_by_area_year(
     )
 
 
-def polygon_edges(vertices: DataFrame) -> DataFrame:
-    """Directed edges of closed rings given as (poly_id, seq, lon, lat)."""
+def _ring_edges(vertices: DataFrame) -> DataFrame:
+    """Directed edges of closed rings given as (poly_id, seq, lon, lat); an edge that runs along a latitude is one as well."""
     w = Window.partitionBy("poly_id").orderBy("seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
@@ -167,7 +167,53 @@ def polygon_edges(vertices: DataFrame) -> DataFrame:
         F.col("lat").alias("y1"),
         nxt("lon").alias("x2"),
         nxt("lat").alias("y2"),
-    ).where(F.col("y1") != F.col("y2"))
+    )
+
+
+def polygon_edges(vertices: DataFrame) -> DataFrame:
+    """Directed edges of closed rings that cross a latitude."""
+    return _ring_edges(vertices).where(F.col("y1") != F.col("y2"))
+
+
+#: Where in a cell its reference point lies; off the centre, where rounded coordinates have their corners.
+CENTRE = 0.5 + 1 / 4099
+
+
+def _each(low, high):
+    return F.explode(F.sequence(low.cast("long"), high.cast("long")))
+
+
+def _edges_by_cell(edges: DataFrame, cell: float) -> DataFrame:
+    """Each edge in every cell that it passes, row by row of cells."""
+    row = _each(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
+    rows = edges.withColumn("cell_y", row)
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.lit(None)).otherwise(
+        F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    )
+    low = F.greatest(F.least("y1", "y2"), F.col("cell_y") * cell)
+    high = F.least(F.greatest("y1", "y2"), (F.col("cell_y") + 1) * cell)
+    # of an edge along a latitude the whole; a little more than the edge does no harm
+    left = F.coalesce(F.least(at(low), at(high)), F.least("x1", "x2")) / cell - 1e-9
+    right = F.coalesce(F.greatest(at(low), at(high)), F.greatest("x1", "x2")) / cell + 1e-9
+    return rows.withColumn("cell_x", _each(F.floor(left), F.floor(right)))
+
+
+def _cells_inside(edges: DataFrame, cell: float) -> DataFrame:
+    """(poly_id, cell_x, cell_y) of the cells whose reference point is inside the polygon.
+
+    The crossings of a row of cells with the latitude of their reference points part it into runs; every other run is inside.
+    """
+    row = _each(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
+    y = (F.col("cell_y") + CENTRE) * cell
+    crossing = edges.withColumn("cell_y", row).where((F.col("y1") > y) != (F.col("y2") > y))
+    meets = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    # the last cell whose reference point is west of the crossing; an even number there cancels out
+    last = (F.ceil(meets / cell - CENTRE) - 1).cast("long")
+    odd = crossing.groupBy("poly_id", "cell_y", last.alias("last")).count().where("count % 2 = 1")
+    runs = odd.groupBy("poly_id", "cell_y").agg(F.array_sort(F.collect_list("last")).alias("at"))
+    pairs = F.expr("explode(transform(sequence(0, size(at) - 1, 2), i -> struct(at[i] + 1 AS a, at[i + 1] AS b)))")
+    runs = runs.select("poly_id", "cell_y", pairs.alias("run"))
+    return runs.select("poly_id", "cell_y", _each(F.col("run.a"), F.col("run.b")).alias("cell_x"))
 
 
 def point_in_polygon(
@@ -176,37 +222,40 @@ def point_in_polygon(
     lon: str = "shootlon",
     lat: str = "shootlat",
     name: str = "division",
-    band: float = 1.0,
+    cell: float = 1.0,
 ) -> DataFrame:
-    """Polygon that holds each point, by parity of edge crossings; NULL when none.
+    """Polygon that holds each point, by parity of edge crossings; the least of several, NULL when none.
 
-    Distinct positions meet only the edges that cross their latitude band, an
-    equi-join; parity is a count per position and polygon.  The result returns to
-    the rows by position.
+    A grid of cells settles most of it.  A cell that no edge passes lies in a polygon or not as a whole, like its reference
+    point, which is found once for the cell.  In the other cells a position goes along its latitude and then along the
+    reference meridian to the reference point, and only the edges in that cell can lie between.  Distinct positions meet
+    cells and edges of their own cell only, both by equi-joins on the cell; the result returns to the rows by position.
     """
     positions = points.select(lon, lat).where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).distinct()
-    edges = polygon_edges(vertices).withColumn(
-        "__band",
-        F.explode(
-            F.sequence(
-                F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band)
-            )
-        ),
-    )
     x, y = F.col(lon), F.col(lat)
-    spans = (F.col("y1") > y) != (F.col("y2") > y)
-    meets_at = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (
-        F.col("y2") - F.col("y1")
+    grid = ["__cell_x", "__cell_y"]
+    placed = positions.withColumns({grid[0]: F.floor(x / cell), grid[1]: F.floor(y / cell)})
+    edges = _ring_edges(vertices)
+    whole = _cells_inside(polygon_edges(vertices), cell).withColumnsRenamed({"cell_x": grid[0], "cell_y": grid[1], "poly_id": "__poly"})
+    passed = _edges_by_cell(edges, cell).select(
+        F.col("cell_x").alias(grid[0]), F.col("cell_y").alias(grid[1]), F.col("poly_id").alias("__poly"), *[F.col(c).alias(f"__{c}") for c in ("x1", "y1", "x2", "y2")]
     )
+    x1, y1, x2, y2 = (F.col(f"__{c}") for c in ("x1", "y1", "x2", "y2"))
+    cx, cy = ((F.col(g) + CENTRE) * cell for g in grid)
+    meets_x = x1 + (y - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0))
+    meets_y = y1 + (cx - x1) * (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
+    along = ((y1 > y) != (y2 > y)) & ((meets_x > x) != (meets_x > cx))
+    across = ((x1 > cx) != (x2 > cx)) & ((meets_y > y) != (meets_y > cy))
+    count = F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
+    between = placed.join(passed, grid).select(lon, lat, "__poly", count.alias("__n")).where("__n > 0")
+    reference = placed.join(whole, grid).select(lon, lat, "__poly", F.lit(1).alias("__n"))
     inside = (
-        positions.withColumn("__band", F.floor(y / band))
-        .join(edges, "__band")
-        .where(spans & (meets_at > x))
-        .groupBy(lon, lat, "poly_id")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        between.unionByName(reference)
+        .groupBy(lon, lat, "__poly")
+        .agg(F.sum("__n").alias("__n"))
         .where(F.col("__n") % 2 == 1)
         .groupBy(lon, lat)
-        .agg(F.min("poly_id").alias(name))
+        .agg(F.min("__poly").alias(name))
     )
     return points.join(inside, [lon, lat], "left")
 
