@@ -181,3 +181,42 @@ def test_scenarios_with_an_absorbed_vessel_equal_dense_fits(spark, data):
     got, want = ({(r.type, r.year): r for r in x.collect()} for x in (run(base, absorbed="vessel"), run(dense)))
     assert set(got) == set(want) and len(got) == 8
     assert all(math.isclose(got[k][c], want[k][c], rel_tol=1e-5) for k in got for c in ("cpue", "lwr", "upr"))
+
+
+def test_blocks_of_levels_equal_the_dense_products(spark, frame, monkeypatch):
+    """m5: a smooth by year from one block for each year is the fit on all products, with sums that grow linearly in the years."""
+    from trawlmill.models import fitting
+
+    shape = D.Formula("catch", MAIN.terms, (D.Smooth(("shootlon", "shootlat"), by="year", k=12),), "effort")
+    spec = FitSpec("by", shape, theta=2.0, where=(("vesselcp", "!=", "B"),))
+    slim = fit_many(frame, [spec])["by"]
+    sizes = {}
+
+    def counted(data, states):
+        parts = data.mapInArrow(fitting._pass_function(states, []), fitting.PASS_SCHEMA)
+        for r in parts.select("block", F.size("part").alias("n")).distinct().collect():
+            sizes[r.block] = r.n
+        return whole(data, states)
+
+    whole = fitting.gram_pass
+    monkeypatch.setattr(fitting, "gram_pass", counted)
+    fit_many(frame, [spec], max_iter=2)
+    b, k = len(slim.design.border), len(slim.design.by[1])
+    assert sizes == {-1: b * (b + 1) // 2 + 2 * b + 7, **{i: k * (k + 1) // 2 + 2 * k + b * k for i in range(4)}}
+    monkeypatch.undo()
+    build = fitting.build_design
+    monkeypatch.setattr(fitting, "build_design", lambda *a: D.Design(*[getattr(build(*a), n) for n in ("features", "map", "names", "term_of", "blocks")]))
+    dense = fit_many(frame, [spec])["by"]
+    assert dense.design.by is None
+    assert np.allclose(slim.beta, dense.beta, atol=1e-6) and slim.edf == pytest.approx(dense.edf, abs=1e-6)
+    assert np.allclose(slim.cov, dense.cov, atol=1e-8)
+
+
+def test_given_weight(frame):
+    """A very large weight leaves the plane only; a very small one leaves everything."""
+    surface = lambda weight: FitSpec(f"w{weight}", GAM, theta=2.0, smoothing=weight)
+    plane = FitSpec("plane", D.Formula("catch", (*MAIN.terms, ("shootlon",), ("shootlat",)), (), "effort"), theta=2.0)
+    fits = fit_many(frame, [surface(1e9), surface(1e-9), plane])
+    assert fits["w1000000000.0"].edf == pytest.approx(fits["plane"].edf, abs=1e-4)
+    assert fits["w1000000000.0"].loglik == pytest.approx(fits["plane"].loglik, abs=1e-3)
+    assert fits["w1e-09"].edf > 15

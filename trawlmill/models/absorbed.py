@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from .design import build_design, code_name, feature_matrix
-from .fitting import Fit, FitSpec, Frame, _row_sums, _State, _working
+from .fitting import Fit, FitSpec, Frame, _row_sums, _State, _symmetric, _working
 from .inference import _evaluate, _number
 
 START_VARIANCE = 0.5
@@ -247,12 +247,6 @@ def _collected(data: DataFrame, states: list[dict]) -> dict[tuple[int, int], np.
     }
 
 
-def _symmetric(flat: np.ndarray, f: int) -> np.ndarray:
-    out = np.zeros((f, f))
-    out[np.tril_indices(f)] = flat
-    return out + out.T - np.diag(np.diag(out))
-
-
 class _AbsorbedState:
     """Driver side of one fit: the state of the dense part, the ridge, and the effects of hot levels."""
 

@@ -87,6 +87,17 @@ class Design:
     names: list[str]
     term_of: list[str]
     blocks: list[Block]
+    #: of a smooth by a factor: the factor, the features of one level without its indicator, where each level's begin
+    by: tuple[str, list[tuple[Atom, ...]], list[int]] | None = None
+
+    @property
+    def border(self) -> list[int]:
+        """Features that rows of several levels share."""
+        if self.by is None:
+            return list(range(len(self.features)))
+        _, base, starts = self.by
+        own = {j for s in starts for j in range(s, s + len(base))}
+        return [j for j in range(len(self.features)) if j not in own]
 
     @property
     def size(self) -> int:
@@ -164,6 +175,7 @@ def build_design(formula: Formula, space: Space) -> Design:
     parametric = len(features)
     maps = [np.eye(parametric)]
     blocks: list[Block] = []
+    by = None
     at = parametric
     for s in formula.smooths:
         if s.kind == "plate":
@@ -178,6 +190,8 @@ def build_design(formula: Formula, space: Space) -> Design:
                 ([(("level", s.by, i), *x) for x in f], m, penalties, f":{s.by}{lv}")
                 for i, lv in enumerate(space.levels[s.by])
             ]
+            if by is None:
+                by = (s.by, f, [len(features) + i * len(f) for i in range(len(pieces))])
         head = {"plate": "s", "tensor": "te"}[s.kind]
         for f, m, penalties, suffix in pieces:
             label = f"{head}({','.join(s.variables)}){suffix}"
@@ -192,7 +206,7 @@ def build_design(formula: Formula, space: Space) -> Design:
     for m in maps:
         whole[r : r + m.shape[0], c : c + m.shape[1]] = m
         r, c = r + m.shape[0], c + m.shape[1]
-    return Design(features, whole, names, term_of, blocks)
+    return Design(features, whole, names, term_of, blocks, by)
 
 
 # --- evaluation --------------------------------------------------------------------------

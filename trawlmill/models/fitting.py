@@ -45,6 +45,8 @@ class FitSpec:
     family: str = "negbin"  # "negbin", "poisson" or "gaussian"
     where: tuple[Condition, ...] = ()
     theta: float | None = None
+    #: fixed weight of every penalty, as a multiple of the size of its block; chosen from the data where None
+    smoothing: float | None = None
 
 
 @dataclass
@@ -190,12 +192,27 @@ def _row_sums(y, mu, w, z, off, family, theta, n_const):
     return out
 
 
-PASS_SCHEMA = "fit int, part array<double>"
+PASS_SCHEMA = "fit int, block int, part array<double>"
+
+
+def _sums_of(x, w, z, triangle):
+    xw = x * w[:, None]
+    return [(xw.T @ x)[triangle], xw.T @ z, x.sum(axis=0)]
 
 
 def _pass_function(states: list[dict], factors: Sequence[str]):
+    """Sums of each fit: block -1 has the features that all rows share and the scalars.
+
+    A smooth by a factor has one block of features for each level.  Rows of different levels never meet in these, so a
+    block holds its own products and those with the shared features, and products of two levels' features are not formed.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def add(key: tuple[int, int], part: np.ndarray) -> None:
+            sums[key] = sums[key] + part if key in sums else part
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -205,71 +222,89 @@ def _pass_function(states: list[dict], factors: Sequence[str]):
                 for i, name in enumerate(batch.schema.names)
             }
             cache: dict = {}
-            matrices: dict[int, np.ndarray] = {}
+            matrices: dict[int, tuple] = {}
             for st in states:
-                key = st["design"]
+                key, by = st["design"], st["by"]
                 if key not in matrices:
-                    matrices[key] = feature_matrix(st["features"], columns, n, cache)
-                x = matrices[key]
+                    shared = feature_matrix([st["features"][j] for j in st["border"]], columns, n, cache)
+                    matrices[key] = shared, feature_matrix(by[1], columns, n, cache) if by else None
+                x, own = matrices[key]
+                code = columns[code_name(by[0])].astype(np.int64) if by else None
                 keep = np.ones(n, dtype=bool)
-                for name, op, code in st["where"]:
-                    hit = columns[code_name(name)] == code
+                for name, op, level in st["where"]:
+                    hit = columns[code_name(name)] == level
                     keep &= hit if op == "==" else ~hit
                 if not keep.any():
                     continue
-                x = x if keep.all() else x[keep]
+                if not keep.all():
+                    x = x[keep]
+                    own, code = (own[keep], code[keep]) if by else (None, None)
                 y = columns[st["response"]][keep]
                 off = np.log(columns[st["offset"]][keep]) if st["offset"] else np.zeros(len(y))
-                eta = off if st["gamma"] is None else x @ st["gamma"] + off
+                eta = off
+                if st["gamma"] is not None:
+                    eta = x @ st["gamma"][st["border"]] + off
+                    if by:
+                        width = own.shape[1]
+                        eta = eta + (own * np.array([st["gamma"][s : s + width] for s in by[2]])[code]).sum(axis=1)
                 mu, w, z, _ = _working(y, off, eta, st["family"], st["theta"], st["gamma"] is None)
-                xw = x * w[:, None]
-                gram = xw.T @ x
                 scalars = _row_sums(y, mu, w, z, off, st["family"], st["theta"], None)
-                part = np.concatenate(
-                    [gram[np.tril_indices(x.shape[1])], xw.T @ z, x.sum(axis=0), scalars]
-                )
-                i = st["index"]
-                sums[i] = sums[i] + part if i in sums else part
+                add((st["index"], -1), np.concatenate([*_sums_of(x, w, z, np.tril_indices(x.shape[1])), scalars]))
+                for level in np.unique(code).tolist() if by else ():
+                    here = code == level
+                    part = _sums_of(own[here], w[here], z[here], np.tril_indices(own.shape[1]))
+                    add((st["index"], level), np.concatenate([*part, ((x[here] * w[here, None]).T @ own[here]).ravel()]))
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(sums), pa.int32()),
+                    pa.array([k[0] for k in sums], pa.int32()),
+                    pa.array([k[1] for k in sums], pa.int32()),
                     pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64())),
                 ],
-                names=["fit", "part"],
+                names=["fit", "block", "part"],
             )
 
     return run
 
 
+def _symmetric(flat: np.ndarray, f: int) -> np.ndarray:
+    out = np.zeros((f, f))
+    out[np.tril_indices(f)] = flat
+    return out + out.T - np.diag(np.diag(out))
+
+
 def gram_pass(data: DataFrame, states: list[dict]) -> dict[int, dict]:
     """Sum of the per-task parts of every fit; positions are summed in Spark."""
     parts = data.mapInArrow(_pass_function(states, []), PASS_SCHEMA)
     rows = (
-        parts.select("fit", F.posexplode("part").alias("pos", "value"))
-        .groupBy("fit", "pos")
+        parts.select("fit", "block", F.posexplode("part").alias("pos", "value"))
+        .groupBy("fit", "block", "pos")
         .agg(F.sum("value").alias("value"))
         .toArrow()
     )
-    fit, pos, value = (rows.column(i).to_numpy() for i in range(3))
+    fit, block, pos, value = (rows.column(i).to_numpy() for i in range(4))
     out = {}
     for st in states:
         mine = fit == st["index"]
-        flat = np.zeros(int(pos[mine].max()) + 1 if mine.any() else 0)
-        flat[pos[mine]] = value[mine]
-        f = len(st["features"])
-        tri = f * (f + 1) // 2
-        if not flat.size:
+        if not mine.any():
             raise ValueError(f"no rows for fit {st['name']}")
-        gram = np.zeros((f, f))
-        gram[np.tril_indices(f)] = flat[:tri]
-        gram = gram + gram.T - np.diag(np.diag(gram))
-        out[st["index"]] = {
-            "gram": gram,
-            "rhs": flat[tri : tri + f],
-            "sums": flat[tri + f : tri + 2 * f],
-            "scalars": flat[tri + 2 * f :],
-        }
+        f, border = len(st["features"]), np.array(st["border"])
+        gram, rhs, sums = np.zeros((f, f)), np.zeros(f), np.zeros(f)
+        for level in np.unique(block[mine]).tolist():
+            here = mine & (block == level)
+            flat = np.zeros(int(pos[here].max()) + 1)
+            flat[pos[here]] = value[here]
+            at = border if level < 0 else st["by"][2][level] + np.arange(len(st["by"][1]))
+            tri, k = len(at) * (len(at) + 1) // 2, len(at)
+            gram[np.ix_(at, at)] = _symmetric(flat[:tri], k)
+            rhs[at], sums[at] = flat[tri : tri + k], flat[tri + k : tri + 2 * k]
+            rest = flat[tri + 2 * k :]
+            if level < 0:
+                scalars = rest
+            else:
+                gram[np.ix_(border, at)] = rest.reshape(len(border), k)
+                gram[np.ix_(at, border)] = rest.reshape(len(border), k).T
+        out[st["index"]] = {"gram": gram, "rhs": rhs, "sums": sums, "scalars": scalars}
     return out
 
 
@@ -331,6 +366,8 @@ class _State:
             "name": s.name,
             "design": self.design_key,
             "features": self.design.features,
+            "by": self.design.by,
+            "border": self.design.border,
             "gamma": None if self.beta is None else self.design.map @ self.beta,
             "theta": self.theta,
             "family": s.family,
@@ -398,6 +435,15 @@ class _State:
         self.held = self.scaled and gap < SETTLED_STEP
         self.scaled = True
 
+    def _fix_smoothing(self, gram) -> None:
+        """The given weight for every penalty, relative to the size of its block on the first pass."""
+        if not self.scaled:
+            for i, block in enumerate(self.design.blocks):
+                size = float(np.trace(gram[block.start : block.stop, block.start : block.stop]))
+                for j, pen in enumerate(block.penalties):
+                    self.lambdas[i][j] = self.spec.smoothing * max(size / max(float(np.trace(pen)), 1e-12), 1e-12)
+        self.scaled = self.held = True
+
     def _best_of(self, i, j, grid, gram, rhs, zz, n) -> tuple[float, int]:
         """Sets one weight to the value of least criterion; ties go to the middle value."""
         scores = []
@@ -450,7 +496,9 @@ class _State:
                 self.done = True
                 self.converged = bool(settled)
                 return
-        if not self.held:
+        if self.spec.smoothing is not None:
+            self._fix_smoothing(gram)
+        elif not self.held:
             self._choose_smoothing(gram, rhs, scalars)
         beta, inv = self._solve(gram, rhs, self.lambdas)
         self.theta_settled = True

@@ -25,8 +25,6 @@ from .packing import pack_workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-FY, LY = P.FIRST_YEAR, P.LAST_YEAR
-YEARS = list(range(FY, LY + 1))
 SCENARIOS = (0.0, 0.025)
 
 
@@ -53,16 +51,21 @@ def query(key: str):
     return register
 
 
+def years_of(spark, sf) -> list[int]:
+    first, last = P.year_range(spark, sf)
+    return list(range(first, last + 1))
+
+
 def by_hour(spark, sf):
-    return cpue.cpue_by_hour(P.enriched(spark, sf), P.TARGET, FY, LY)
+    return cpue.cpue_by_hour(P.enriched(spark, sf), P.TARGET, *P.year_range(spark, sf))
 
 
 def by_day(spark, sf):
-    return cpue.cpue_by_day(P.enriched(spark, sf), P.TARGET, FY, LY)
+    return cpue.cpue_by_day(P.enriched(spark, sf), P.TARGET, *P.year_range(spark, sf))
 
 
 def by_week(spark, sf, efficiencies=SCENARIOS):
-    return cpue.cpue_by_week(P.enriched(spark, sf), P.TARGET, FY, LY, efficiencies)
+    return cpue.cpue_by_week(P.enriched(spark, sf), P.TARGET, *P.year_range(spark, sf), efficiencies)
 
 
 # --- sources and sinks -----------------------------------------------------------------
@@ -182,7 +185,8 @@ def s7(spark, sf):
 def s8(spark, sf):
     folder = fresh_path(spark, "snapshots")
     catch = sampling.consolidate_sum(P.catch_table(spark, sf))
-    for tag, years in (("early", YEARS[:3]), ("late", YEARS[3:])):
+    known = years_of(spark, sf)
+    for tag, years in (("early", known[:3]), ("late", known[3:])):
         part = catch.where(F.col("year").isin(years))
         snapshots.snapshot({"catch": part if tag == "early" else part.drop("unit")}, folder, tag)
     return snapshots.load_snapshots(spark, folder, "catch", ["early", "late"])
@@ -191,7 +195,7 @@ def s8(spark, sf):
 @query("s9_write_index_csv")
 def s9(spark, sf):
     index = by_week(spark, sf, None).groupBy("year").agg(F.round(F.avg("cpue"), 6).alias("cpue"))
-    path = snapshots.write_index_csv(index, fresh_path(spark, "index"), FY, LY)
+    path = snapshots.write_index_csv(index, fresh_path(spark, "index"), *P.year_range(spark, sf))
     return spark.read.option("header", True).schema("year int, cpue double").csv(path)
 
 
@@ -229,7 +233,7 @@ def s12(spark, sf):
 @query("s13_read_range_series")
 def s13(spark, sf):
     yearly = P.hauls(spark, sf).groupBy("year").agg(F.sum("catch").alias("catch"))
-    row = F.col("year") - FY + 41
+    row = F.col("year") - P.year_range(spark, sf)[0] + 41
     cells = yearly.select(
         F.lit("template.xlsx").alias("file"),
         F.lit("CPUE fleet 4").alias("sheet"),
@@ -466,7 +470,7 @@ def e4(spark, sf):
 
 @query("e5_local_trend")
 def e5(spark, sf):
-    series = environment.env_series(P.elnino(spark, sf), P.hci(spark, sf), FY, LY)
+    series = environment.env_series(P.elnino(spark, sf), P.hci(spark, sf), *P.year_range(spark, sf))
     return environment.local_trend(series, "date", "hci", 0.2)
 
 
@@ -504,7 +508,7 @@ def c5(spark, sf):
 
 @query("c6_weekly_catch_unit_effort")
 def c6(spark, sf):
-    return cpue.cpue_by_week(P.enriched(spark, sf), P.TARGET, FY, LY, None, unit_effort=True)
+    return cpue.cpue_by_week(P.enriched(spark, sf), P.TARGET, *P.year_range(spark, sf), None, unit_effort=True)
 
 
 @query("c7_eu_daily")
@@ -539,9 +543,10 @@ def c10(spark, sf):
 def c11(spark, sf):
     # the hauls are read once and staged for the three time steps
     rows = stage(P.enriched(spark, sf), "hauls")
-    hour = cpue.cpue_by_hour(rows, P.TARGET, FY, LY)
-    day = cpue.cpue_by_day(rows, P.TARGET, FY, LY)
-    return cpue.scaled_metrics(hour, day, cpue.cpue_by_week(rows, P.TARGET, FY, LY, None), "cpue")
+    years = P.year_range(spark, sf)
+    hour = cpue.cpue_by_hour(rows, P.TARGET, *years)
+    day = cpue.cpue_by_day(rows, P.TARGET, *years)
+    return cpue.scaled_metrics(hour, day, cpue.cpue_by_week(rows, P.TARGET, *years, None), "cpue")
 
 
 @query("c12_relative_to_mean")
@@ -612,7 +617,7 @@ def d13(spark, sf):
 def d14(spark, sf):
     # half-even rounding sends small daily catches to zero once catch is in kilotonnes
     small = P.enriched(spark, sf).withColumn("catch", F.col("catch") / 20)
-    return overview.zero_catch_share(cpue.cpue_by_day(small, P.TARGET, FY, LY))
+    return overview.zero_catch_share(cpue.cpue_by_day(small, P.TARGET, *P.year_range(spark, sf)))
 
 
 @query("d15_source_comparison")
@@ -688,7 +693,7 @@ def d26(spark, sf):
 
 @query("d27_avg_catch_wide_by_year")
 def d27(spark, sf):
-    return overview.avg_catch_wide_by_year(P.hauls(spark, sf), YEARS)
+    return overview.avg_catch_wide_by_year(P.hauls(spark, sf), years_of(spark, sf))
 
 
 @query("d28_zero_catch_counts")

@@ -13,7 +13,7 @@ from ..operators.cpue import cpue_by_day
 from ..sources import snapshots, tables
 from ..sources.staging import fresh_path, stage
 from . import proxy as P
-from .catalog import FY, LY, SCENARIOS, YEARS, by_day, by_week, query
+from .catalog import SCENARIOS, by_day, by_week, query, years_of
 
 FACTORS = ["year", "vesselcp", "month", "ELE"]
 CREEP = 0.025
@@ -121,7 +121,7 @@ def m7_year(spark, sf):
     formula = D.Formula("lcpue", (("year",),))
     frame = model_frame(by_day(spark, sf), [formula], FACTORS)
     fit = fit_many(frame, [FitSpec("gam00", formula, "gaussian")])["gam00"]
-    grid = spark.createDataFrame([(y,) for y in YEARS], "year int")
+    grid = spark.createDataFrame([(y,) for y in years_of(spark, sf)], "year int")
     return I.predict_index(fit, grid).select("year", F.round("pred", 5).alias("pred"), F.round("se", 5).alias("se"))
 
 
@@ -325,8 +325,8 @@ ONE_FACTOR = {"month": (("month",),), "vesselcp": (("vesselcp",),), "year": (("y
 KNOWN = {"size": 0.8, "mu": 40.0}
 
 
-def _effort_one(spark):
-    return spark.createDataFrame([(y, 1.0) for y in YEARS], "year int, effort double")
+def _effort_one(spark, sf):
+    return spark.createDataFrame([(y, 1.0) for y in years_of(spark, sf)], "year int, effort double")
 
 
 @query("m2_negbin_year_means")
@@ -362,7 +362,7 @@ def m9_rates(spark, sf):
     frame = model_frame(rows, [YEAR_RATE], [*FACTORS, "efficiency"], extra=keys)
     out = None
     for name, fit in selection.fit_grid(frame, YEAR_RATE, keys, family="poisson").items():
-        part = I.predict_index(fit, _effort_one(spark)).where("cpue IS NOT NULL").select(
+        part = I.predict_index(fit, _effort_one(spark, sf)).where("cpue IS NOT NULL").select(
             F.lit(name).alias("model"), "year", F.round("cpue", 4).alias("cpue"), F.round("se", 6).alias("se")
         )
         out = part if out is None else out.unionByName(part)
@@ -392,13 +392,14 @@ def m19_rates(spark, sf):
 @query("m21_new_and_last_index")
 def m21_last(spark, sf):
     """This year's index beside last year's, written and read again as the reader of earlier series expects."""
+    first, latest = P.year_range(spark, sf)
     new = _rate_by_scenario(spark, sf).select(
         "species", "efficiency", "year", *[F.round(c, 3).alias(c) for c in ("cpue", "lwr", "upr")],
-        F.lit("glm").alias("type"), F.lit(str(LY + 1)).alias("assessmentyear"),
+        F.lit("glm").alias("type"), F.lit(str(latest + 1)).alias("assessmentyear"),
     )
     new = stage(new, "index")
-    last = new.where((F.col("year") < LY) & (F.col("efficiency") == 0)).drop("species", "efficiency").withColumn("assessmentyear", F.lit(str(LY)))
-    path = snapshots.write_index_csv(last, fresh_path(spark, "index"), FY, LY - 1)
+    last = new.where((F.col("year") < latest) & (F.col("efficiency") == 0)).drop("species", "efficiency").withColumn("assessmentyear", F.lit(str(latest)))
+    path = snapshots.write_index_csv(last, fresh_path(spark, "index"), first, latest - 1)
     return I.compare_index(new=new, last=tables.read_prev_index(spark, path))
 
 
@@ -437,7 +438,7 @@ def m13_one(spark, sf):
 def _rate_index(spark, sf):
     frame = model_frame(weekly(spark, sf), [YEAR_RATE], FACTORS)
     fit = fit_many(frame, [FitSpec("rate", YEAR_RATE, "poisson")])["rate"]
-    return I.predict_index(fit, _effort_one(spark))
+    return I.predict_index(fit, _effort_one(spark, sf))
 
 
 @query("m19_poisson_rate_index")

@@ -15,7 +15,6 @@ from ..operators.environment import ele_indicator, join_environment, positions_w
 from ..operators.hauls import raising_factor
 from ..sources.staging import stage
 
-FIRST_YEAR, LAST_YEAR = 1995, 2001
 PARTIES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 SPECIES = ["CJM", "MAS", "OTH"]
 TARGET = "CJM"
@@ -39,6 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def year_range(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """First and last year of the line items: one column, two numbers."""
+    year = F.year("l_shipdate")
+    first, last = table(spark, sf_dir, "lineitem").agg(F.min(year), F.max(year)).first()
+    return (first, last) if first is not None else (0, -1)
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vessel dimension: supplier with nation (country) and region (party)."""
     return (
@@ -196,7 +202,7 @@ def register_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def current_year_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preliminary records of the last year under their own headings."""
-    lines = haul_lines(spark, sf_dir).where(F.year("l_shipdate") == LAST_YEAR)
+    lines = haul_lines(spark, sf_dir).where(F.year("l_shipdate") == year_range(spark, sf_dir)[1])
     return lines.select(
         F.upper("vesselname").alias("vesselname"),
         F.col("vesselcountry").alias("flag"),
