@@ -122,6 +122,13 @@ def s3(spark, sf):
     return workbooks.decode_workbooks(books)
 
 
+@query("s3_cells_at_length")
+def s3_lengths(spark, sf):
+    """What the reader finds on the length sheets."""
+    cells = s3(spark, sf).where(F.col("sheet").rlike("^LEN F[0-9]") & (F.col("row") >= 10) & F.col("col").between(1, 5))
+    return cells.select("file", "sheet", "row", "col", F.trim("text").alias("text"))
+
+
 def _paths(spark, sf):
     """Candidate workbook paths, one per vessel, quarter and year."""
     folder = (

@@ -487,3 +487,55 @@ def m27_year(spark, sf):
         F.count("resid").alias("n"), F.round(F.avg("link"), 6).alias("link"), F.round(F.sum(F.pow("resid", F.lit(2))), 2).alias("deviance"),
         F.round(F.sum(F.pow("pearson", F.lit(2))), 2).alias("chi_square"),
     )
+
+
+# --- smooths under a very large weight, which leaves their unpenalised part: planes by least squares ------
+
+HEAVY = 1e9
+PLANE_AT = {"shootlon": -85.0, "shootlat": -30.0}
+
+
+def _plane(spark, sf):
+    formula = D.Formula("lcpue", (), (SURFACE,))
+    frame = model_frame(by_day(spark, sf), [formula], FACTORS)
+    return fit_many(frame, [FitSpec("plane", formula, "gaussian", smoothing=HEAVY)])["plane"]
+
+
+@query("m4_plane_at_large_weight")
+def m4_plane(spark, sf):
+    stats = I.fit_statistics(spark, {"plane": _plane(spark, sf)})
+    return stats.select("model", "n", F.round("edf", 3).alias("edf"), F.round("deviance", 3).alias("deviance"))
+
+
+@query("m5_planes_by_year")
+def m5_planes(spark, sf):
+    """A smooth by year is a plane of its own for every year."""
+    formula = D.Formula("lcpue", (("year",),), (D.Smooth(("shootlon", "shootlat"), by="year"),))
+    frame = model_frame(by_day(spark, sf), [formula], FACTORS)
+    fit = fit_many(frame, [FitSpec("by year", formula, "gaussian", smoothing=HEAVY)])["by year"]
+    grid = spark.createDataFrame([(y, *PLANE_AT.values()) for y in years_of(spark, sf)], "year int, shootlon double, shootlat double")
+    return I.predict_index(fit, grid).select("year", F.round("pred", 4).alias("pred"))
+
+
+@query("m6_bilinear_at_large_weight")
+def m6_bilinear(spark, sf):
+    """What a tensor product of two cubic margins leaves: lon, lat and lon x lat."""
+    formula = D.Formula("lcpue", (), (D.Smooth(("shootlon", "shootlat"), "tensor", k=5),))
+    frame = model_frame(by_day(spark, sf), [formula], FACTORS)
+    fit = fit_many(frame, [FitSpec("bilinear", formula, "gaussian", smoothing=HEAVY)])["bilinear"]
+    grid = spark.createDataFrame([tuple(PLANE_AT.values())], "shootlon double, shootlat double")
+    pred = I.predict_index(fit, grid).select(F.round("pred", 4).alias("pred"))
+    return pred.withColumn("deviance", F.round(F.lit(float(fit.deviance)), 3)).withColumn("edf", F.round(F.lit(float(fit.edf)), 3))
+
+
+@query("m28_effect_of_a_plane")
+def m28_plane(spark, sf):
+    effect = I.spatial_effect(spark, _plane(spark, sf), "shootlon", "shootlat", 10.0)
+    return effect.select("shootlon", "shootlat", F.round("effect", 4).alias("effect"))
+
+
+@query("m25_marginal_mean")
+def m25_mean(spark, sf):
+    """The mean of the marginal model is the mean of the values, whatever its size."""
+    fit = marginal.fit_negbin_marginal(weekly(spark, sf), "catch")
+    return spark.createDataFrame([(fit["n"], round(fit["mu"], 6), fit["converged"])], "n double, mu double, converged boolean")

@@ -603,6 +603,9 @@ FILE = "member || '_' || year || '.xlsx'"
 cte("at_length", ["sized"], f"""
 SELECT {FILE} AS file, upper(member) AS member, year, fleet, cast(p_size AS DOUBLE) AS length, quarter,
   cast(sum(l_quantity) AS DOUBLE) AS v FROM sized GROUP BY ALL""")
+oracle("s3_cells_at_length", ["at_length"], """
+SELECT file, 'LEN ' || fleet AS sheet, cast(length + 9 AS INTEGER) AS row, 1 AS col, cast(cast(length AS INTEGER) AS VARCHAR) AS text FROM at_length GROUP BY ALL
+UNION ALL SELECT file, 'LEN ' || fleet, cast(length + 9 AS INTEGER), quarter + 1, cast(cast(v AS BIGINT) AS VARCHAR) FROM at_length""")
 oracle("t1_block", ["at_length"], "SELECT file, 'LEN ' || fleet AS sheet, cast(length + 9 AS INTEGER) AS row, cast(cast(length AS INTEGER) AS VARCHAR) AS length, " + ", ".join(
     f"max(CASE WHEN quarter = {q} THEN cast(cast(v AS BIGINT) AS VARCHAR) || ' ' END) AS q{q}" for q in (1, 2, 3, 4)) + " FROM at_length GROUP BY file, fleet, length")
 oracle("t2_workbook_meta", ["samples"], f"SELECT DISTINCT {FILE} AS file, upper(member) AS member, 'CJM' AS species, year FROM samples")

@@ -222,3 +222,43 @@ SELECT year, count(*) AS n, round(ln(any_value(m)), 6) AS link, round(sum(2 * (C
 FROM (SELECT year, "catch" AS y, avg("catch") OVER (PARTITION BY year) AS m FROM by_week) GROUP BY year""",
     ["link", "deviance", "chi_square"],
 )
+
+
+# --- planes by least squares, from means and covariances --------------------------------------------------
+MOMENTS = """count(*) AS n, avg(lcpue) AS my, avg(shootlon) AS mu, avg(shootlat) AS mv, var_pop(lcpue) AS yy, var_pop(shootlon) AS uu,
+  var_pop(shootlat) AS vv, covar_pop(shootlon, shootlat) AS uv, covar_pop(shootlon, lcpue) AS uy, covar_pop(shootlat, lcpue) AS vy"""
+SLOPES = "*, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS b, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS c"
+oracle("m4_plane_at_large_weight", ["by_day"], f"""
+SELECT 'plane' AS model, cast(n AS DOUBLE) AS n, 3.0::DOUBLE AS edf, round(n * (yy - b * uy - c * vy), 3) AS deviance
+FROM (SELECT {SLOPES} FROM (SELECT {MOMENTS} FROM by_day))""", ["n", "edf", "deviance"])
+oracle("m5_planes_by_year", ["by_day"], f"""
+SELECT year, round(my + b * (-85.0 - mu) + c * (-30.0 - mv), 4) AS pred FROM (SELECT {SLOPES} FROM (SELECT year, {MOMENTS} FROM by_day GROUP BY year))""", ["pred"])
+oracle("m28_effect_of_a_plane", ["by_day"], f"""
+SELECT x AS shootlon, y AS shootlat, round(b * (x - mu) + c * (y - mv), 4) AS effect FROM (SELECT {SLOPES} FROM (SELECT {MOMENTS} FROM by_day)),
+  (SELECT -120.0 + 10 * range AS x FROM range(8)), (SELECT -50.0 + 10 * range AS y FROM range(5))""", ["shootlon", "shootlat", "effect"])
+#: Three regressors by Cramer's rule on centred cross products.
+_W = "(shootlon - (SELECT avg(shootlon) FROM by_day)) * (shootlat - (SELECT avg(shootlat) FROM by_day))"
+
+
+def _det(a: str, b: str, c: str) -> str:
+    columns = {"u": ("uu", "uv", "uw"), "v": ("uv", "vv", "vw"), "w": ("uw", "vw", "ww"), "y": ("uy", "vy", "wy")}
+    (a1, a2, a3), (b1, b2, b3), (c1, c2, c3) = (columns[k] for k in (a, b, c))
+    return f"({a1} * ({b2} * {c3} - {b3} * {c2}) - {b1} * ({a2} * {c3} - {a3} * {c2}) + {c1} * ({a2} * {b3} - {a3} * {b2}))"
+
+
+oracle("m6_bilinear_at_large_weight", ["by_day"], f"""
+SELECT round(my + b * (-85.0 - mu) + c * (-30.0 - mv) + d * ((-85.0 - mu) * (-30.0 - mv) - mw), 4) AS pred,
+  round(n * (yy - b * uy - c * vy - d * wy), 3) AS deviance, 4.0::DOUBLE AS edf
+FROM (SELECT *, {_det("y", "v", "w")} / {_det("u", "v", "w")} AS b, {_det("u", "y", "w")} / {_det("u", "v", "w")} AS c, {_det("u", "v", "y")} / {_det("u", "v", "w")} AS d
+  FROM (SELECT {MOMENTS}, avg(w) AS mw, var_pop(w) AS ww, covar_pop(shootlon, w) AS uw, covar_pop(shootlat, w) AS vw, covar_pop(w, lcpue) AS wy
+    FROM (SELECT *, {_W} AS w FROM by_day)))""", ["pred", "deviance", "edf"])
+oracle("m25_marginal_mean", ["by_week"], 'SELECT cast(count("catch") AS DOUBLE) AS n, round(avg("catch"), 6) AS mu, true AS converged FROM by_week', ["n", "mu"])
+oracle("m26_density_at_size", ["by_week"], """
+SELECT round(start + (bin - 0.5) * width, 4) AS mids, round(count(*) / (n * width), 9) AS density,
+  round(exp(lgamma(start + (bin - 0.5) * width + 0.8) - lgamma(0.8) - lgamma(start + (bin - 0.5) * width + 1) + 0.8 * ln(0.8)
+    + (start + (bin - 0.5) * width) * ln(40.0) - (start + (bin - 0.5) * width + 0.8) * ln(40.8)), 9) AS fit
+FROM (SELECT *, greatest(ceil(("catch" - start) / width), 1) AS bin FROM (SELECT *, floor(lo / width) * width AS start FROM (
+  SELECT *, base * CASE WHEN raw / base > 7.0711 THEN 10 WHEN raw / base > 3.1623 THEN 5 WHEN raw / base > 1.4142 THEN 2 ELSE 1 END AS width FROM (
+    SELECT *, pow(10, floor(log10(raw))) AS base FROM (
+      SELECT "catch", lo, n, greatest(hi - lo, 1.0) / 100 AS raw FROM by_week, (SELECT min("catch") AS lo, max("catch") AS hi, count("catch") AS n FROM by_week))))))
+GROUP BY start, bin, width, n""", ["mids", "density", "fit"])
