@@ -229,10 +229,10 @@ def _pass(states: list[dict]):
     return run
 
 
-def _collected(data: DataFrame, states: list[dict]) -> dict[tuple[int, int], np.ndarray]:
+def _collected(data: DataFrame, states: list[dict], function=None) -> dict[tuple[int, int], np.ndarray]:
     """The sums of all tasks, by fit and hot level."""
     rows = (
-        data.mapInArrow(_pass(states), PASS_SCHEMA)
+        data.mapInArrow(function or _pass(states), PASS_SCHEMA)
         .select("fit", "level", F.posexplode("part").alias("pos", "value"))
         .groupBy("fit", "level", "pos")
         .agg(F.sum("value").alias("value"))

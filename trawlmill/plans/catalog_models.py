@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..models import design as D
 from ..models import inference as I
-from ..models import marginal, reference, selection
+from ..models import marginal, mixed, reference, selection
 from ..models.absorbed import fit_absorbed, predict_absorbed
 from ..models.fitting import FitSpec, fit_many, model_frame
 from ..operators.cpue import cpue_by_day
@@ -138,6 +138,14 @@ def m8(spark, sf):
     return stats.withColumn("variance", F.when(F.col("model") == "mixed", 1 / mixed.ridge))
 
 
+@query("m8_marginal_mixed")
+def m8_marginal(spark, sf):
+    """The same model by its marginal likelihood: size, coefficients and variance together."""
+    formula = D.Formula("catch", (("year",), ("month",), ("ELE",)), (), "effort")
+    frame = model_frame(weekly(spark, sf), [formula], FACTORS, carried=["vesselcode2"])
+    return mixed.marginal_terms(spark, mixed.fit_marginal(frame, FitSpec("marginal", formula), "vesselcode2"))
+
+
 @query("m9_fit_grid")
 def m9(spark, sf):
     frame = model_frame(weekly(spark, sf, SCENARIOS), [GLM, GAM], [*FACTORS, "efficiency"], extra=["efficiency"])
