@@ -75,6 +75,8 @@ class Fit:
     block_edf: dict[str, float] = field(default_factory=dict)
     aliased: list[str] = field(default_factory=list)
     feature_sums: np.ndarray | None = None
+    #: weighted cross products of the coefficients' columns
+    gram: np.ndarray | None = None
     iterations: int = 0
     converged: bool = True
 
@@ -545,7 +547,7 @@ class _State:
             self.spec, self.design, self.space, self.beta, cov,
             math.inf if self.theta is None else float(self.theta),
             float(loglik), edf, float(n), float(deviance), float(scale), edfs, dropped,
-            self.last["res"]["sums"], self.iterations, self.converged,
+            self.last["res"]["sums"], gram, self.iterations, self.converged,
         )
 
     converged = True

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.special import chi2_upper, f_upper, normal_two_sided
+from ..functions import special
+from ..functions.special import chi2_upper, f_upper, normal_two_sided, weighted_chi2_upper
 from .design import Formula, code_name, feature_matrix, level_code
 from .fitting import Fit, FitSpec, Frame, fit_many
 
 
 # probabilities of the quantile-quantile points
 QQ_PROBS = (0.01, *(i / 20 for i in range(1, 20)), 0.99)
+#: Responses that a row stands for in the theoretical quantiles.
+QQ_DRAWS = 4
 
 
 def tidy(spark: SparkSession, fit: Fit) -> DataFrame:
@@ -110,17 +114,9 @@ def augment(fit: Fit, df: DataFrame) -> DataFrame:
     def residuals(x, columns):
         y = _number(columns, response)
         eta = x @ beta + (np.log(_number(columns, offset)) if offset else 0.0)
-        if family == "gaussian":
-            return eta, eta, y - eta, y - eta
-        mu = np.exp(eta)
-        ylog = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
-        if math.isinf(theta):
-            variance, unit = mu, 2 * (ylog - (y - mu))
-        else:
-            variance = mu + mu * mu / theta
-            unit = 2 * (ylog - (y + theta) * np.log((y + theta) / (mu + theta)))
-        deviance = np.sign(y - mu) * np.sqrt(np.maximum(unit, 0.0))
-        return eta, mu, (y - mu) / np.sqrt(variance), deviance
+        mu = eta if family == "gaussian" else np.exp(eta)
+        variance = 1.0 if family == "gaussian" else mu if math.isinf(theta) else mu + mu * mu / theta
+        return eta, mu, (y - mu) / np.sqrt(variance), _deviance_residual(y, mu, family, theta)
 
     return _evaluate(df, fit, residuals, ("link", "fitted", "pearson", "resid"))
 
@@ -180,13 +176,60 @@ def _wald(fit: Fit, columns: list[int], df: float) -> tuple[float, float]:
     return statistic, chi2_upper(statistic, df)
 
 
+def smooth_test(fit: Fit, start: int, stop: int) -> tuple[float, float, float]:
+    """Reference degrees of freedom, statistic and p-value of a smooth being zero.
+
+    The fitted values' covariance is inverted on as many directions as the smooth has degrees of freedom, the last of them in
+    part: with r = k + v, the k-th and the next direction enter through a 2 x 2 matrix of trace 1 + v.  Under the hypothesis
+    the form is chi-square on k - 1 degrees plus two weighted ones.  The sign of the mixed term is arbitrary, so the p-value
+    is the mean over both.  Where the scale is estimated, its own chi-square enters with a negative weight.
+    """
+    at = slice(start, stop)
+    cov, gram = fit.cov[at, at], fit.gram[at, at]
+    live = np.diag(cov) > 0
+    if not live.any():
+        return 0.0, 0.0, 1.0
+    cov, gram, beta = cov[np.ix_(live, live)], gram[np.ix_(live, live)], fit.beta[at][live]
+    influence = fit.cov[at] @ fit.gram / fit.scale
+    mine = np.flatnonzero(live)
+    single = float(np.trace(influence[:, at][np.ix_(mine, mine)]))
+    double = float(np.einsum("ij,ji->", influence[mine], (fit.cov @ fit.gram / fit.scale)[:, at][:, mine]))
+    # fitted values as coordinates in which their squared length is that over the rows
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    root = np.sqrt(np.maximum(value, 0.0))[:, None] * vector.T
+    spread, direction = np.linalg.eigh(root @ cov @ root.T)
+    spread, direction = spread[::-1], direction[:, ::-1]
+    rank = int((spread > spread[0] * 1e-10).sum())
+    r = min(max(2 * single - double, 1.0), float(rank))
+    z = (direction.T @ (root @ beta))[:rank] / np.sqrt(spread[:rank])
+    k, part = int(r), r - int(r)
+    if part < 1e-6 or k >= rank:
+        k, part = min(int(round(r)), rank), 0.0
+    if part == 0.0:
+        forms, weights = [float((z[:k] ** 2).sum())], {1.0: float(k)}
+    else:
+        mixed = math.sqrt(part * (1 - part) / 2)
+        plain = float((z[: k - 1] ** 2).sum() + z[k - 1] ** 2 + part * z[k] ** 2)
+        forms = [plain + s * 2 * mixed * float(z[k - 1] * z[k]) for s in (1, -1)]
+        first = (part + 1 + math.sqrt(1 - part * part)) / 2
+        weights = {first: 1.0, part + 1 - first: 1.0}
+        if k > 1:
+            weights[1.0] = weights.get(1.0, 0.0) + k - 1
+    if fit.spec.family != "gaussian":
+        return r, float(np.mean(forms)), float(np.mean([weighted_chi2_upper(t, weights) for t in forms]))
+    left = max(fit.n - fit.edf, 1.0)
+    p = [weighted_chi2_upper(0.0, {**weights, -t / left: left}) for t in forms]
+    return r, float(np.mean(forms)) / r, float(np.mean(p))
+
+
 def anova_terms(spark: SparkSession, frame: Frame, fit: Fit) -> DataFrame:
     """Tests of the terms.
 
     A model without smooths gets the sequential deviance table: nested models with the
     dispersion of the full fit, fitted together; differences are divided by the scale of
     the full fit, and where that is estimated the test is F.  A model with smooths gets
-    Wald tests of each term with everything else in, from the covariance of the fit.
+    Wald tests of each term with everything else in, from the covariance of the fit; those of
+    the smooths are ``smooth_test``, and ``df`` is its reference degrees of freedom.
     """
     rows = []
     if fit.design.blocks:
@@ -196,8 +239,8 @@ def anova_terms(spark: SparkSession, frame: Frame, fit: Fit) -> DataFrame:
             if columns:
                 rows.append((label, float(len(columns)), *_wald_row(fit, columns, float(len(columns)))))
         for block in fit.design.blocks:
-            edf = fit.block_edf[block.label]
-            rows.append((block.label, edf, *_wald_row(fit, list(range(block.start, block.stop)), edf)))
+            df, statistic, p = smooth_test(fit, block.start, block.stop)
+            rows.append((block.label, df, statistic, None, p))
     else:
         terms, base, family = fit.spec.formula.terms, fit.spec.formula, fit.spec.family
         theta = None if math.isinf(fit.theta) else fit.theta
@@ -226,13 +269,53 @@ def _wald_row(fit: Fit, columns: list[int], df: float) -> tuple[float, None, flo
     return statistic, None, p
 
 
+def _deviance_residual(y: np.ndarray, mu: np.ndarray, family: str, theta: float) -> np.ndarray:
+    if family == "gaussian":
+        return y - mu
+    ylog = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
+    if math.isinf(theta):
+        unit = 2 * (ylog - (y - mu))
+    else:
+        unit = 2 * (ylog - (y + theta) * np.log((y + theta) / (mu + theta)))
+    return np.sign(y - mu) * np.sqrt(np.maximum(unit, 0.0))
+
+
+def drawn_residuals(fit: Fit, df: DataFrame, draws: int = QQ_DRAWS) -> DataFrame:
+    """One column ``drawn``: the residuals that the rows would have if their responses came from the fitted family.
+
+    Every row gets responses by the family's own quantile function at ``draws`` even steps from a start that the row's number
+    gives, so the steps of all rows together fill the interval evenly.
+    """
+    beta, theta, family, scale = fit.beta, fit.theta, fit.spec.family, fit.scale
+    offset = fit.spec.formula.offset
+    normal = NormalDist()
+    golden = (math.sqrt(5) - 1) / 2
+
+    def draw(x, columns):
+        eta = x @ beta + (np.log(_number(columns, offset)) if offset else 0.0)
+        start = (np.asarray(columns["__row"], dtype=np.float64) % 2**33 * golden) % 1.0
+        out = []
+        for k in range(draws):
+            u = (start + k) / draws % 1.0
+            if family == "gaussian":
+                out.append(math.sqrt(scale) * np.array([normal.inv_cdf(min(max(v, 1e-12), 1 - 1e-12)) for v in u.tolist()]))
+            else:
+                mu = np.exp(eta)
+                out.append(_deviance_residual(special.negbin_quantile(u, theta, mu), mu, family, theta))
+        return out
+
+    names = [f"__d{k}" for k in range(draws)]
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = _evaluate(numbered, fit, draw, names)
+    return rows.select(F.explode(F.array(*names)).alias("drawn")).where(F.col("drawn").isNotNull())
+
+
 def residual_checks(fit: Fit, df: DataFrame, probs: Sequence[float] = QQ_PROBS, width: float = 0.25) -> DataFrame:
-    """Data behind the residual plots, long: QQ points, histogram, mean residual by predictor."""
+    """Data behind the residual plots, long: QQ points against the fitted family, histogram, mean residual by predictor."""
     rows = augment(fit, df).select("link", "resid").where(F.col("resid").isNotNull())
-    normal = NormalDist()
-    theory = F.create_map(*[x for p in probs for x in (F.lit(float(p)), F.lit(normal.inv_cdf(p)))])
-    qq = exact_quantiles(rows, [], "resid", probs).select(
-        F.lit("qq").alias("panel"), theory[F.col("prob")].alias("x"), F.col("quantile").alias("y")
+    theory = exact_quantiles(drawn_residuals(fit, df), [], "drawn", probs).select("prob", F.col("quantile").alias("x"))
+    qq = exact_quantiles(rows, [], "resid", probs).join(theory, "prob").select(
+        F.lit("qq").alias("panel"), "x", F.col("quantile").alias("y")
     )
     cell = lambda c: (F.floor(F.col(c) / width) + 0.5) * width
     hist = rows.groupBy(cell("resid").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("y"))
@@ -242,6 +325,78 @@ def residual_checks(fit: Fit, df: DataFrame, probs: Sequence[float] = QQ_PROBS,
     )
 
 
+def _morton(columns: Sequence[str], ends: Sequence[tuple[float, float]]) -> Column:
+    """Place of a position along a space-filling curve: the bits of its scaled coordinates in turn."""
+    bits = 16
+    steps = [
+        F.floor((F.col(c) - low) / max(high - low, 1e-300) * ((1 << bits) - 1)).cast("long") for c, (low, high) in zip(columns, ends, strict=True)
+    ]
+    parts = []
+    for i in range(bits):
+        for d, s in enumerate(steps):
+            bit = F.shiftright(s, i).bitwiseAND(F.lit(1))
+            parts.append(F.shiftleft(bit, i * len(columns) + d))
+    return reduce(lambda a, b: a + b, parts)
+
+
+def basis_checks(spark: SparkSession, fit: Fit, df: DataFrame, permutations: int = 400) -> DataFrame:
+    """smooth, basis (its columns), edf, k_index, p_value: whether a smooth's basis is too small for its data.
+
+    The rows are put in the order of a space-filling curve through the smooth's coordinates.  Where the smooth leaves no
+    pattern, residuals that follow each other differ as much as any two; ``k_index`` is the mean squared difference of
+    neighbours over that of rows in random order, and the p-value is the share of permutations whose mean is as small.  A
+    task permutes the rows of its own stretch, so nothing is moved for them; sums over the tasks make the test.
+    """
+    rows = []
+    every = augment(fit, df)
+    done: dict[tuple[str, ...], tuple[float, float]] = {}
+    for s in fit.spec.formula.smooths:
+        head = {"plate": "s", "tensor": "te"}[s.kind] + f"({','.join(s.variables)})"
+        if s.variables not in done:
+            done[s.variables] = _neighbours(every, s.variables, permutations)
+        for block in fit.design.blocks:
+            if block.label == head or block.label.startswith(f"{head}:"):
+                rows.append((block.label, block.stop - block.start, float(fit.block_edf[block.label]), *done[s.variables]))
+    return spark.createDataFrame(rows, "smooth string, basis int, edf double, k_index double, p_value double")
+
+
+def _neighbours(residuals: DataFrame, columns: Sequence[str], permutations: int) -> tuple[float | None, float | None]:
+    known = residuals.where(F.col("resid").isNotNull()).dropna(subset=list(columns))
+    ends = known.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+    if ends[0] is None:
+        return None, None
+    place = _morton(columns, [(ends[2 * i], ends[2 * i + 1]) for i in range(len(columns))])
+    dealt = known.select(place.alias("place"), F.xxhash64("resid", *columns).alias("tie"), "resid").repartitionByRange("place", "tie").sortWithinPartitions("place", "tie")
+    stretch = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        sums = np.zeros(permutations + 2)
+        rng = np.random.default_rng(1)
+
+        def count(values: np.ndarray) -> None:
+            if len(values) > 1:
+                sums[0] += len(values) - 1
+                sums[1] += float((np.diff(values) ** 2).sum())
+                for k in range(permutations):
+                    sums[2 + k] += float((np.diff(rng.permutation(values)) ** 2).sum())
+
+        for batch in batches:
+            held.append(batch.column(2).to_numpy())
+            if sum(map(len, held)) >= stretch:
+                count(np.concatenate(held))
+                held = []
+        if held:
+            count(np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int64()), pa.array(sums)], names=["pos", "value"])
+
+    found = dealt.mapInArrow(run, "pos long, value double").groupBy("pos").agg(F.sum("value").alias("value")).orderBy("pos").collect()
+    sums = np.array([r["value"] for r in found])
+    if not len(sums) or sums[0] == 0:
+        return None, None
+    return float(sums[1] / sums[2:].mean()), float((1 + (sums[2:] <= sums[1]).sum()) / (permutations + 1))
+
+
 def spatial_effect(spark: SparkSession, fit: Fit, lon: str, lat: str, step: float = 2.0,
                    box: tuple[float, float, float, float] = (-120.0, -50.0, -50.0, -10.0)) -> DataFrame:
     """Smooth evaluated on a regular grid, centred on the fitted rows, with its error."""

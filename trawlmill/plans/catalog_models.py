@@ -189,6 +189,13 @@ def m13(spark, sf):
     return I.anova_terms(spark, frame, fit)
 
 
+@query("m13_negbin_sequential")
+def m13_sequential(spark, sf):
+    """Deviance that each term of the GLM takes away, in order, at the size of the whole model."""
+    _, frame, fit = fitted_glm(spark, sf)
+    return I.anova_terms(spark, frame, fit)
+
+
 @query("m14_tidy")
 def m14(spark, sf):
     """Gaussian model of one factor: the terms are differences of group means."""
@@ -314,6 +321,12 @@ def m27(spark, sf):
     return I.residual_checks(fit, rows)
 
 
+@query("m27_basis_checks")
+def m27_basis(spark, sf):
+    rows, _, fit = fitted_gam(spark, sf)
+    return I.basis_checks(spark, fit, rows)
+
+
 @query("m28_spatial_effect")
 def m28(spark, sf):
     _, _, fit = fitted_gam(spark, sf)
