@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..models import design as D
 from ..models import inference as I
-from ..models import marginal, mixed, reference, selection
+from ..models import ladder, marginal, mixed, reference, selection
 from ..models.absorbed import fit_absorbed, predict_absorbed
 from ..models.fitting import FitSpec, fit_many, model_frame
+from ..operators import cpue, environment, spatial
 from ..operators.cpue import cpue_by_day
 from ..sources import snapshots, tables
 from ..sources.staging import fresh_path, stage
@@ -116,6 +117,47 @@ def m7(spark, sf):
     return selection.compare_models(spark, fits, {n: d for n, (_, _, d) in LADDER.items()})
 
 
+def _eu_daily(spark, sf):
+    """Daily table of the lists with climate class, tonnage and latitude band."""
+    daily = cpue.eu_daily(P.eu_list(spark, sf))
+    daily = environment.join_environment(daily, P.elnino(spark, sf), P.hci(spark, sf))
+    daily = environment.join_vessel_attributes(daily, P.vessel_attributes(spark, sf), 2015, ["gt"])
+    daily = spatial.coarse_area(daily).withColumns({"ELE": F.col("ELE").cast("double"), "shootlat2": F.col("shootlat2").cast("double")})
+    return stage(daily, "eu-daily")
+
+
+def _catch_ladder(spark, sf, rungs=ladder.DAILY_CATCH):
+    rows = _eu_daily(spark, sf)
+    cell = ladder.first_cell(
+        rows, ["vesselname", "gt", "month", "ELE", "shootlon", "shootlat", "shootlat2"], ["year", "day", "vesselname", "shootlon", "shootlat"]
+    )
+    series = ladder.ladder_series(spark, rows, rungs, ["year", "month", "ELE"], cell)
+    return ladder.with_nominal(series, rows.where("catch2 > 0"), "cpue2")
+
+
+def _rate_ladder(spark, sf, rungs=ladder.DAILY_RATE):
+    rows = stage(by_day(spark, sf), "by-day")
+    # the month and the vessel whose means are nearest to the mean of all
+    near = {k: cpue.nearest_to_mean(rows, k).first()[k] for k in ("month", "vesselcode2")}
+    cell = {**ladder.first_cell(rows, ["ELE", "shootlon", "shootlat"], ["year", "day", "vesselcode2"]), **near}
+    series = ladder.ladder_series(spark, rows, rungs, ["year", "month", "ELE"], cell)
+    return ladder.with_nominal(series, rows, "cpue")
+
+
+@query("m7_ladder_series")
+def m7_ladders(spark, sf):
+    """Both ladders, every model at its own cell, with the nominal series."""
+    catch, rate = _catch_ladder(spark, sf), _rate_ladder(spark, sf)
+    return catch.withColumn("ladder", F.lit("catch")).unionByName(rate.withColumn("ladder", F.lit("rate")))
+
+
+@query("m7_ladder_null_models")
+def m7_null(spark, sf):
+    """The models of the year alone: exponentials of yearly means."""
+    series = _catch_ladder(spark, sf, ladder.DAILY_CATCH[:2])
+    return series.select("model", "description", "year", F.round("cpue", 5).alias("cpue"))
+
+
 @query("m7_gaussian_year_model")
 def m7_year(spark, sf):
     formula = D.Formula("lcpue", (("year",),))

@@ -262,3 +262,10 @@ FROM (SELECT *, greatest(ceil(("catch" - start) / width), 1) AS bin FROM (SELECT
     SELECT *, pow(10, floor(log10(raw))) AS base FROM (
       SELECT "catch", lo, n, greatest(hi - lo, 1.0) / 100 AS raw FROM by_week, (SELECT min("catch") AS lo, max("catch") AS hi, count("catch") AS n FROM by_week))))))
 GROUP BY start, bin, width, n""", ["mids", "density", "fit"])
+GOT = """
+SELECT 'gam00' AS model, 'null' AS description, year, round(exp(avg(lcatch2)), 5) AS cpue FROM daily WHERE lcatch2 IS NOT NULL GROUP BY year
+UNION ALL SELECT 'gam00a', 'null unraised', year, round(exp(avg(lcatch)), 5) FROM daily WHERE lcatch IS NOT NULL GROUP BY year
+UNION ALL SELECT 'nominal', 'nominal', year, round(avg(cpue2), 5) FROM daily WHERE catch2 > 0 GROUP BY year"""
+oracle("m7_ladder_null_models", ["daily"], f"""
+SELECT m.model, m.description, cast(y.year AS INTEGER) AS year, g.cpue FROM (SELECT DISTINCT model, description FROM ({GOT})) m
+CROSS JOIN (SELECT unnest(range(min(year), max(year) + 1)) AS year FROM ({GOT})) y LEFT JOIN ({GOT}) g ON g.model = m.model AND g.year = y.year""", ["cpue"])

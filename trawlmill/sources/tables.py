@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,20 +123,29 @@ def file_inventory(paths: DataFrame, part: int, col: str = "path") -> DataFrame:
 def read_csv_skip(spark: SparkSession, path: str, skip: int, schema: str) -> DataFrame:
     """CSV after ``skip`` preamble lines and a heading line.
 
-    Line positions are only needed in the first block of each file, so large files
-    stay split over tasks.
+    The text is read once.  A task sees the lines of a file's first block in order and leaves out the preamble as they
+    come; large files stay split over tasks.
     """
     struct = T.StructType.fromDDL(schema)
-    preamble = (
-        spark.read.text(path)
-        .withColumn("file", F.col("_metadata.file_path"))
-        .withColumn("start", F.col("_metadata.file_block_start"))
-        .withColumn("id", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first")
     )
-    first_block = preamble.where(F.col("start") == 0)
-    first_id = first_block.groupBy("file").agg(F.min("id").alias("id0"))
-    head = first_block.join(first_id, "file").where(F.col("id") - F.col("id0") > skip).select("value")
-    body = preamble.where(F.col("start") > 0).select("value").union(head)
+
+    def without_preamble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[str, int] = {}
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            first = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
+            files = batch.column(1).dictionary_encode()
+            codes = files.indices.to_numpy()[first]
+            for code in np.unique(codes).tolist():
+                name = files.dictionary[code].as_py()
+                at = first[codes == code][: left.setdefault(name, skip + 1)]
+                keep[at] = False
+                left[name] -= len(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["value"])
+
+    body = lines.mapInArrow(without_preamble, "value string")
     parsed = F.from_csv("value", schema, {"header": "false"})
     return body.where(F.trim("value") != "").select(parsed.alias("r")).select(
         *[F.col("r")[f.name].alias(f.name) for f in struct.fields]
