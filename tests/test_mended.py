@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from trawlmill.functions import haultext, semantics
 from trawlmill.models import inference
-from trawlmill.models.design import Formula
+from trawlmill.models.design import Formula, spatial_knots
 from trawlmill.models.fitting import FitSpec, fit_many, model_frame
 from trawlmill.operators import crosstab, hauls, overview
 from trawlmill.sources import tables
@@ -134,3 +135,22 @@ def test_each_cell_is_parsed_once(spark):
     assert [r.sum for r in both.collect()] == [r[0] for r in want]
     plan = haultext.with_stamps(df, {"got": "t"}, {"sum": ("t", "u")})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("% 1.7976931348623157E308") == 3  # t once for each of the two results, u once
+
+
+def test_wide_tables_have_a_bound(spark):
+    df = spark.range(40).select((F.col("id") % 2).alias("r"), F.col("id").alias("c"), F.lit(1.0).alias("v"))
+    spark.conf.set("spark.sql.pivotMaxValues", "30")
+    try:
+        with pytest.raises(ValueError):
+            crosstab.crosstab(df, ["r"], "c", "v")
+        assert len(crosstab.crosstab(df.where("id < 30"), ["r"], "c", "v").columns) == 31
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+def test_positions_in_metres_are_refused(spark):
+    df = spark.createDataFrame([(-8e6, -3e6)], "lon double, lat double")
+    with pytest.raises(ValueError):
+        spatial_knots(df, "lon", "lat")
+    knots = spatial_knots(df.union(spark.createDataFrame([(-80.0, -30.0), (-70.0, -30.0)], df.schema)), "lon", "lat")
+    assert len(knots) == 2

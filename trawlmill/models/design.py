@@ -303,11 +303,14 @@ def factor_levels(df: DataFrame, factors: Sequence[str]) -> dict[str, list]:
 def spatial_knots(df: DataFrame, lon: str, lat: str, k: int = SMOOTH_KNOTS) -> np.ndarray:
     """``k`` occupied grid cells spread by farthest-point choice.
 
-    The candidates are half-degree cells, at most 720 x 360 of them, so the distinct
-    cells have a fixed bound.
+    The candidates are half-degree cells.  Positions beyond 180 and 90 degrees are no candidates, so there are at most
+    720 x 360 of them.
     """
     cell = lambda c: (F.floor(F.col(c) * 2) / 2 + 0.25).alias(c)
-    rows = df.select(cell(lon), cell(lat)).distinct().dropna().collect()
+    known = df.where(F.col(lon).between(-180, 180) & F.col(lat).between(-90, 90))
+    rows = known.select(cell(lon), cell(lat)).distinct().dropna().collect()
+    if not rows:
+        raise ValueError(f"{lon} and {lat} hold no position in degrees")
     pts = np.array(sorted((r[0], r[1]) for r in rows), dtype=float)
     chosen = [int(((pts - pts.mean(axis=0)) ** 2).sum(1).argmin())]
     gap = ((pts - pts[chosen[0]]) ** 2).sum(1)

@@ -53,6 +53,16 @@ def margin_cells(
     )
 
 
+def column_labels(cells: DataFrame, col: str, named: Sequence[str]) -> list[str]:
+    """The named labels and the others that occur, in order; refused beyond Spark's own bound of pivoted columns."""
+    most = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = cells.select(F.col(col).cast("string").alias("l")).distinct().limit(most + len(named) + 1).collect()
+    names = [*named, *sorted({r["l"] for r in found} - set(named))]
+    if len(names) > most:
+        raise ValueError(f"{col} has more than {most} values; use the long form")
+    return names
+
+
 def crosstab(
     df: DataFrame,
     rows: Sequence[str],
@@ -70,7 +80,6 @@ def crosstab(
     """
     cells = stage(margin_cells(df, rows, [col], value, fn, margins), "cells")
     named = [str(v) for v in levels]
-    found = {r[0] for r in cells.select(col).distinct().collect()} - {*named, ALL}
-    names = [*named, *sorted(found), *([ALL] if col in margins else [])]
+    names = [n for n in column_labels(cells, col, named) if n != ALL] + ([ALL] if col in margins else [])
     wide = cells.groupBy(*rows).pivot(col, names).agg(F.first(value))
     return wide.na.fill(0.0, names) if fn == "sum" else wide

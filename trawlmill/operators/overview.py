@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..functions.semantics import if_else, n_distinct, na_text, null_safe_join, sum0, union_by_name, week_of_year
 from ..sources.staging import stage
-from .crosstab import ALL, crosstab, margin_cells
+from .crosstab import ALL, column_labels, crosstab, margin_cells
 from .hauls import HAUL_KEY, dedupe_hauls
 
 BOTH = ("year", "vesselcp")
@@ -374,9 +374,7 @@ def avg_catch_wide_by_year(hauls: DataFrame, years: Sequence[int] = ()) -> DataF
     keys = ["vesselname", "vesselcountry"]
     cells = hauls.groupBy(*keys, na_text(F.col("year")).alias("year")).agg(F.avg("catch").alias("catch"))
     cells = stage(cells, "cells")
-    named = [str(y) for y in years]
-    found = {r[0] for r in cells.select("year").distinct().collect()} - set(named)
-    return cells.groupBy(*keys).pivot("year", [*named, *sorted(found)]).agg(F.first("catch"))
+    return cells.groupBy(*keys).pivot("year", column_labels(cells, "year", [str(y) for y in years])).agg(F.first("catch"))
 
 
 def zero_catch_counts(hauls: DataFrame, party: str | None = None, by_vessel: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.crosstab import column_labels
 from ..functions.semantics import na_text, not_matching, to_number, union_by_name
 from .staging import stage
 
@@ -189,10 +190,9 @@ def read_reference_index(
     if fy is not None:
         rows = rows.where(F.col("year") >= fy)
     cells = stage(rows.groupBy("year", na_text(F.col("variable")).alias("variable")).agg(F.min("value").alias("value")), "cells")
-    found = {r[0] for r in cells.select("variable").distinct().collect()} - set(variables)
     return (
         cells.groupBy("year")
-        .pivot("variable", [*variables, *sorted(found)])
+        .pivot("variable", column_labels(cells, "variable", variables))
         .agg(F.first("value"))
         .withColumns({"model": F.lit("old cpue"), "desc": F.lit(f"old index, {party}")})
     )
