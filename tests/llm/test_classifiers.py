@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.cases import awkward, corpus
-from trawlmill.llm import linear, op6_language, op10_quality
+from trawlmill.llm import common, linear, op2_suffix_dedup, op3_near_dedup, op6_language, op10_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -61,3 +61,39 @@ def test_quality_awkward_rows(spark):
     assert op10_quality.train(docs, labels.limit(0)) is None
     assert all(r["__keep"] for r in op10_quality.score(docs, None).collect())
     assert op10_quality.score(corpus(spark, []), model).collect() == []
+
+
+def mistakes(spark, rounds):
+    """Wrongly kept or rejected among labelled documents that training does not get."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = op10_quality.classes_of(labels)
+    unseen = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = op10_quality.train(docs, labels.where(~unseen), rounds=rounds)
+    got = op10_quality.score(docs, model).join(known.where(unseen), "doc_id")
+    return got.where("__keep <> (label = 0)").count(), model
+
+
+def test_pseudo_labels_teach_the_other_view(spark):
+    """Rounds over all other documents lower the errors of the labels alone, or leave them."""
+    alone, plain = mistakes(spark, 1)
+    taught, model = mistakes(spark, 3)
+    assert plain["evidence"] == [None, None] and all(w is not None for w in model["evidence"])
+    # places of tokens that no labelled document has
+    places = set(op10_quality.buckets_of(plain["vocabulary"]).tolist())
+    told = set(np.flatnonzero(np.ptp(model["evidence"][0], axis=1) > 1).tolist())
+    assert len(told - places) > 100
+    assert taught <= alone
+
+
+def test_names_that_clash(spark):
+    names = ["__score", "__label", "__keep", "__text", "__row_id", "__row_hash", "__ranges", "__SCORE_"]
+    docs = corpus(spark).withColumns({n: F.lit(f"keep {n}") for n in names[:-1]})
+    kept = op10_quality.accepted(docs, None)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() == docs.count()
+    cut = op2_suffix_dedup.strip_repeats(docs, 100, 25, words=3)
+    assert cut.columns == docs.columns and cut.where("__row_id <> 'keep __row_id' OR __ranges <> 'keep __ranges'").count() == 0
+    some = common.rows_with_key(docs, docs.selectExpr("coalesce(doc_id, 0) AS row_id", "xxhash64(coalesce(text, '')) AS row_hash"), "left_semi")
+    assert some.columns == docs.columns and some.where("__row_id <> 'keep __row_id'").count() == 0
+    one = op3_near_dedup.one_of_each(docs)
+    assert one.columns == docs.columns and one.exceptAll(docs).count() == 0
+    assert common.fresh_names(names, "score", "label") == ["__score__", "__label_"]

@@ -8,6 +8,7 @@ import numpy as np
 from tests.llm.cases import awkward, corpus, prose, shingles
 from trawlmill.llm import op3_near_dedup as op3
 from trawlmill.llm import op9_decontaminate as op9
+from trawlmill.llm.common import shingles_of
 
 
 def classes(rows, threshold=0.8):
@@ -120,3 +121,40 @@ def test_one_large_bucket_with_mixed_components(spark, monkeypatch):
     # each task gives fewer links than it has texts
     blocks, passing = -(-len(rows) // 8) + 1, -(-len(rows) // 16)
     assert links.count() <= 2 * blocks * passing * (8 + 2 * 16)
+
+
+def test_a_common_opening_makes_no_rows(spark, monkeypatch):
+    """Items and documents that share only their first words meet nowhere; an item that is in a document still does."""
+    opening = "answer the following question with care "
+    items = [(i, opening + prose(3000 + i, 40)) for i in range(60)]
+    rows = [(i, opening + prose(4000 + i, 120)) for i in range(80)]
+    rows.append((900, prose(5000, 300) + " " + items[7][1] + " " + prose(5001, 50)))
+    # items that are nearly one text: their common shingles have to do
+    twins = [(100 + i, prose(6000, 12) + f" last{i}") for i in range(30)]
+    rows.append((901, prose(5002, 60) + " " + twins[4][1]))
+    given = spark.createDataFrame([*items, *twins], "item_id long, text string")
+    counted = []
+    search = op9.sketch_hits
+
+    def watched(*how):
+        counted.append(search(*how))
+        return counted[-1]
+
+    monkeypatch.setattr(op9, "sketch_hits", watched)
+    got = {(r.doc_id, r.item_id) for r in op9.contained_items(corpus(spark, rows), given).collect()}
+    want = set()
+    for i, t in rows:
+        have = set(shingles(t))
+        want |= {(i, j) for j, u in [*items, *twins] if len(set(shingles(u)) & have) / len(set(shingles(u))) >= 0.8}
+    assert got == want and (900, 7) in got and (901, 104) in got
+    # by item and document it would be 80 x 60 for each of the two shared shingles
+    # a few share the word after it as well
+    assert counted[0].where("row_id < 900").count() < 60
+    assert counted[0].count() < 600
+
+
+def test_chunks_of_few_words():
+    for n in range(8):
+        words = np.arange(1, n + 1, dtype=np.uint64)
+        got, row = shingles_of(words, np.zeros(n, np.int64), np.array([n]))
+        assert len(got) == (1 if 0 < n < 5 else max(n - 4, 0)) and not row.any()

@@ -76,3 +76,14 @@ def test_stripped_rows_keep_their_columns(spark):
     assert got.where("text IS NULL").count() == 2
     assert got.where("doc_id = 1 AND text = ''").count() == 1
     assert got.where("coalesce(char_length(text), 0) <> n_chars").count() == 0
+
+
+def test_runs_of_few_words_stay(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    long, short = " ".join(word(1 + i % 3) for i in range(60)), " ".join(word(9) for _ in range(30))
+    own = [" ".join(word(12) for _ in range(20)) for _ in range(4)]
+    rows = [(1, own[0] + " " + long + " " + own[1]), (2, own[2] + " " + long), (3, own[1] + " " + short), (4, short + " " + own[3])]
+    got = {r.doc_id: r.text for r in op2.strip_repeats(corpus(spark, rows), 101, 25, words=50).collect()}
+    assert long not in got[1] and long not in got[2]
+    assert got[3] == rows[2][1] and got[4] == rows[3][1]  # thirty words, though of more bytes

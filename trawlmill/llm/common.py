@@ -6,7 +6,7 @@ apart where their texts differ and are interchangeable where they don't.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,19 +63,34 @@ def in_order(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
     return stage(dealt.drop("tie").withColumn("at", F.monotonically_increasing_id()), tag)
 
 
-#: Names of the row identity beside a table's own columns.
-ROW_KEY = ("__row_id", "__row_hash")
+def fresh_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that a table doesn't have (names differ by more than case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key_names(docs: DataFrame) -> list[str]:
+    """Names of the row identity beside a table's own columns."""
+    return fresh_names(docs.columns, "row_id", "row_hash")
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """All columns and the row identity."""
-    return docs.withColumns({ROW_KEY[0]: F.coalesce("doc_id", F.lit(NO_ID)), ROW_KEY[1]: F.xxhash64(whole_text())})
+    """All columns and the row identity, under row_key_names."""
+    names = row_key_names(docs)
+    return docs.withColumns({names[0]: F.coalesce("doc_id", F.lit(NO_ID)), names[1]: F.xxhash64(whole_text())})
 
 
 def rows_with_key(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of docs whose identity is (left_semi) or is not (left_anti) among the keys (row_id, row_hash)."""
-    keys = keys.select(F.col("row_id").alias(ROW_KEY[0]), F.col("row_hash").alias(ROW_KEY[1]))
-    return with_row_key(docs).join(keys, [*ROW_KEY], how).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = row_key_names(docs)
+    keys = keys.select(F.col("row_id").alias(names[0]), F.col("row_hash").alias(names[1]))
+    return with_row_key(docs).join(keys, names, how).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -187,6 +202,6 @@ def shingles_of(words: np.ndarray, row: np.ndarray, count: np.ndarray, size: int
     out = np.zeros(n, np.uint64)
     for k in range(size):
         word = np.zeros(n, np.uint64)
-        word[: n - k] = words[k:]
+        word[: max(n - k, 0)] = words[k:]
         out = mix(out * np.uint64(0xD1342543DE82EF95) + np.where(place + k < count[row], word, np.uint64(k + 1)))
     return out[keep], row[keep]

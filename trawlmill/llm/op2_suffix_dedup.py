@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, ROW_KEY, chunks, mix, powers, table, text_bytes, texts_with_key, with_row_key
-from trawlmill.sources.staging import stage
+from trawlmill.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, chunks, fresh_names, mix, powers, row_key_names, table, text_bytes, texts_with_key, with_row_key
+from trawlmill.sources.staging import discard, stage
 
 MIN_BYTES = 400
 GRAM = 100
@@ -328,6 +328,7 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM,
     often = runs.groupBy("key").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("often")).where("often > 1").select("key")
     wanted = runs.join(often, "key").groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("at", "n", "key", "again")).alias("runs"))
     cut = stage(_segments(texts.join(wanted, ["row_id", "row_hash"]), length), "segments")
+    discard(runs)
     spots = cut.drop("segment")
     kinds = spots.groupBy("key", "digest").agg(F.count("*").alias("copies"), F.max("n").alias("n"), F.max("again").alias("again"))
     kinds = stage(kinds, "kinds")
@@ -384,31 +385,44 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, b
     return both.mapInArrow(run, "doc_id long, row_id long, row_hash long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def strip_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _long_runs(text: bytes, gone: np.ndarray, words: int) -> np.ndarray:
+    """The mask without the runs that have no more than so many words."""
+    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
+    for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if len(text[start:stop].split()) <= words:
+            gone[start:stop] = False
+    return gone
+
+
+def strip_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, words: int = 0) -> DataFrame:
     """The rows of docs with the repeats taken out of `text`; a character that a cut leaves incomplete goes too.
 
-    n_chars, where there, is the length of the new text.  A null text stays null.
+    Runs of no more than ``words`` words stay.  n_chars, where there, is the length of the new text.  A null text stays null.
     """
     columns = docs.columns
+    key = row_key_names(docs)
+    (mark,) = fresh_names([*columns, *key], "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             kept = []
             for text, ranges in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if ranges:
-                    text = np.frombuffer(text, np.uint8)[~removed_mask(len(text), ranges, length)].tobytes()
+                    gone = _long_runs(text, removed_mask(len(text), ranges, length), words)
+                    text = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 kept.append(text.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
 
     ranges = repeated_ranges(docs, length, gram, block_bytes)
-    keyed = with_row_key(docs).join(ranges.select(F.col("row_id").alias(ROW_KEY[0]), F.col("row_hash").alias(ROW_KEY[1]), F.col("ranges").alias("__ranges")), [*ROW_KEY], "left")
-    whole = keyed.where("__ranges IS NULL").select(*columns)
-    cut = keyed.where("__ranges IS NOT NULL").select("text", "__ranges", *[F.col(f"`{c}`") for c in columns if c != "text"])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.drop("__ranges").schema)
-    out = cut.mapInArrow(run, fields)
+    ranges = ranges.select(F.col("row_id").alias(key[0]), F.col("row_hash").alias(key[1]), F.col("ranges").alias(mark))
+    keyed = with_row_key(docs).join(ranges, key, "left")
+    same = [F.col(f"`{c}`") for c in columns]
+    whole = keyed.where(F.col(mark).isNull()).select(*same)
+    cut = keyed.where(F.col(mark).isNotNull()).select("text", mark, *[F.col(f"`{c}`") for c in columns if c != "text"])
+    out = cut.mapInArrow(run, cut.drop(mark).schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(out.select(*columns))
+    return whole.unionByName(out.select(*same))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import NO_ID, ROW_KEY, chunks, mix, rows_with_key, shingles_of, table, text_bytes, texts_with_key, with_row_key, words_of
+from trawlmill.llm.common import NO_ID, chunks, mix, row_key_names, rows_with_key, shingles_of, table, text_bytes, texts_with_key, with_row_key, words_of
 from trawlmill.sources.staging import discard, stage
 
 SHINGLE_WORDS = 5
@@ -399,7 +399,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if often.isEmpty():
         return rows_with_key(docs, kept)
     single = kept.join(often, ["row_id", "row_hash"], "left_anti")
-    repeated = with_row_key(rows_with_key(docs, often)).dropDuplicates([*ROW_KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = with_row_key(rows_with_key(docs, often)).dropDuplicates(row_key_names(docs)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return rows_with_key(docs, single).unionByName(repeated)
 
 

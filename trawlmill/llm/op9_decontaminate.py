@@ -8,8 +8,12 @@ candidate is verified by the exact share of the item's different shingles that t
 class of up to 32 shingles is found always, and a larger item that a document holds at 0.8 or more is missed with a
 probability below 1e-6.
 
+The search joins sketches only.  A shingle that more than COMMON_ITEMS items hold (a usual opening, say) makes no candidate by
+itself, unless the item's sketch is mostly such shingles: of a sketch that is the whole item more must be left than may be
+missing, of a larger item's at least half.  Shared shingles are then counted for the candidate pairs alone.
+
 The items' shingles go to the tasks as a bitmap of fixed size (2**22 bits), which only saves rows: whatever passes it is
-joined with the items by the full hash.  Words are runs without ASCII white space, A-Z in lower case.
+compared by the full hash.  Words are runs without ASCII white space, A-Z in lower case.
 
 Rows: texts without words (null, empty) and items without words match nothing; a text under five words has one
 shingle of all its words.  Repeated rows (same id, same text) give one result; items likewise.  An id may be null.
@@ -21,15 +25,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import chunks, shingles_of, table, text_bytes, texts_with_key, words_of
+from trawlmill.llm.common import NO_ID, chunks, shingles_of, table, text_bytes, texts_with_key, words_of
 from trawlmill.sources.staging import stage
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 SKETCH = 32
+#: A shingle in more items than this is common.
+COMMON_ITEMS = 16
 PREFIX_BITS = 22
 
 
@@ -43,6 +49,8 @@ def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def _rank_in_group(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     """Rank of each different value within its group, from 0."""
+    if not len(group):
+        return np.zeros(0, np.int64)
     order = np.lexsort((value, group))
     g, v = group[order], value[order]
     new_group = np.r_[True, g[1:] != g[:-1]]
@@ -119,22 +127,39 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     prefixes = wanted.select(F.shiftrightunsigned("s", 64 - PREFIX_BITS).alias("p")).distinct().toPandas()["p"]  # at most 2**22
     bitmap = np.zeros(1 << PREFIX_BITS, bool)
     bitmap[prefixes.to_numpy(dtype=np.int64)] = True
-    found = document_shingles(docs, bitmap, classes, size)
-    pairs = _pairs(found, wanted)
+    found = stage(document_shingles(docs, bitmap, classes, size), "shingles")
     share = F.col("n_shared") / F.col("n_shingles")
-    return pairs.where(F.col("candidate") & (share >= threshold)).select(
+    pairs = shared_shingles(sketch_hits(found, wanted, threshold), found, wanted)
+    return pairs.where(share >= threshold).select(
         "doc_id", "row_id", "row_hash", "item_id", "item_hash", "n_shared", "n_shingles", share.alias("containment")
     )
 
 
-def _pairs(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Sums by document and item; a row stands for one shingle of a text, so repeated rows are put together by shingle first."""
-    both = found.join(wanted, "s")
-    hit = F.col("in_sketch") & (F.col("classes").bitwiseAND(F.expr("shiftleft(1L, class)")) != 0)
-    keys = ["row_id", "row_hash", "item_id", "item_hash"]
-    once = both.groupBy(*keys, "s").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max(hit).alias("hit"))
-    return once.groupBy(*keys).agg(
-        F.max("doc_id").alias("doc_id"), F.max("n").alias("n_shingles"), F.max("hit").alias("candidate"), F.count("*").alias("n_shared")
+def _item_key() -> list[Column]:
+    return [F.coalesce("item_id", F.lit(NO_ID)).alias("item_key"), F.col("item_hash")]
+
+
+def sketch_hits(found: DataFrame, wanted: DataFrame, threshold: float) -> DataFrame:
+    """row_id, row_hash, item_key, item_hash for every shingle that an item's sketch and a tile's sketch of its class share."""
+    held_by = wanted.groupBy("s").agg((F.count("*") > COMMON_ITEMS).alias("common"))
+    sketch = wanted.where("in_sketch").join(held_by, "s").select(*_item_key(), "s", "class", "n", "common")
+    rare = F.count_if(~F.col("common"))
+    enough = F.when(F.max("n") <= SKETCH, rare > F.floor(F.max("n") * (1 - threshold) + 1e-9)).otherwise(rare >= SKETCH // 2)
+    told = sketch.groupBy("item_key", "item_hash").agg(enough.alias("enough"))
+    used = sketch.join(told, ["item_key", "item_hash"]).where(~F.col("common") | ~F.col("enough"))
+    sketches = found.where("classes <> 0").select("row_id", "row_hash", "s", "classes")
+    hit = F.col("classes").bitwiseAND(F.expr("shiftleft(1L, class)")) != 0
+    return sketches.join(used, "s").where(hit).select("row_id", "row_hash", "item_key", "item_hash")
+
+
+def shared_shingles(hits: DataFrame, found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pairs with the number of different shingles that both hold, for those with a hit."""
+    items = wanted.select(*_item_key(), "item_id", "s", "n")
+    # a row stands for one shingle of a text, so repeated rows are put together by shingle first
+    texts = found.groupBy("row_id", "row_hash", "s").agg(F.max("doc_id").alias("doc_id"))
+    both = hits.distinct().join(items, ["item_key", "item_hash"]).join(texts, ["row_id", "row_hash", "s"])
+    return both.groupBy("row_id", "row_hash", "item_key", "item_hash").agg(
+        F.max("doc_id").alias("doc_id"), F.max("item_id").alias("item_id"), F.max("n").alias("n_shingles"), F.count("*").alias("n_shared")
     )
 
 
