@@ -8,22 +8,21 @@ copies of each other; further columns are carried through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trawlmill.llm import op1_bpe, op2_suffix_dedup, op3_near_dedup, op9_decontaminate, op10_quality
 from trawlmill.llm.common import rows_with_key, small_batches, table
 from trawlmill.sources.staging import stage
 
-#: A passage of over fifty words is longer than this.
-PASSAGE_BYTES = 240
-PASSAGE_GRAM = 60
+#: Passages of more than so many words go; 51 words have 101 bytes at least.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 101
+PASSAGE_GRAM = 25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Low-quality and toxic documents go, by the co-trained classifier."""
     model = op10_quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = op10_quality.score(docs, model, carry=docs.columns)
-    return scored.where("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return op10_quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that are also elsewhere go from the texts; every document stays."""
     small_batches(spark)
-    return op2_suffix_dedup.strip_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM)
+    return op2_suffix_dedup.strip_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM, words=PASSAGE_WORDS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
