@@ -6,7 +6,9 @@ apart where their texts differ and are interchangeable where they don't.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_kept: list[Callable[[], None]] = []
+
+
+def kept_by_worker(clear: Callable[[], None]) -> None:
+    """Register what empties a cache that an operator keeps in a Python worker from task to task."""
+    _kept.append(clear)
+
+
+def release_memory() -> None:
+    """Give back what other operators have left in a reused worker; called where a task of another kind begins."""
+    for clear in _kept:
+        clear()
+    gc.collect()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table for a registered query."""
     small_batches(spark)

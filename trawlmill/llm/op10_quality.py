@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawlmill.llm.common import chunks, fresh_names, mix, table, text_bytes, tokens_of, whole_text
+from trawlmill.llm.common import chunks, fresh_names, mix, release_memory, table, text_bytes, tokens_of, whole_text
 from trawlmill.llm.linear import Rows, fit_ftrl, softmax, temperature
 from trawlmill.sources.staging import discard, stage
 
@@ -278,6 +278,7 @@ def taught(others: DataFrame, model: dict, sure: float = SURE) -> list[np.ndarra
     blocks = -(-places // BLOCK)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         counts = np.zeros((blocks * BLOCK, len(CLASSES)), np.int64)
         documents = np.zeros((2, len(CLASSES)), np.int64)
         for batch in chunks(batches):
@@ -332,6 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rounds
     shares /= shares.sum()
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches):
             hashes, row, meta = _views(batch)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -358,6 +360,7 @@ def score(docs: DataFrame, model: dict | None, carry: list[str] | None = None, n
     inputs += [(F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(n) for c, n in (("lang", own[1]), ("source", own[2]))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches, column=own[0]):
             out = [batch.column(i) for i in range(len(kept))]
             if model is None:

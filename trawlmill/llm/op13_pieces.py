@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlmill.llm.common import chunks, table, whole_text
+from trawlmill.llm.common import chunks, kept_by_worker, table, whole_text
 
 #: Parts kept at most, and the longest part that is kept; beyond the first the memo starts anew.
 MEMO_PARTS = 500_000
@@ -411,6 +411,9 @@ def piece_model(model_file: str) -> PieceModel:
         return PieceModel(content.read())
 
 
+kept_by_worker(piece_model.cache_clear)
+
+
 def default_model() -> str:
     import public_tokenizers
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlmill.llm.common import chunks, table, whole_text
+from trawlmill.llm.common import chunks, kept_by_worker, table, whole_text
 
 #: Pieces kept at most; beyond it the memo starts anew.
 MEMO_PIECES = 400_000
@@ -170,6 +170,9 @@ def tokenizer(ranks_file: str, pattern: str) -> Tokenizer:
     return Tokenizer(ranks_file, pattern)
 
 
+kept_by_worker(tokenizer.cache_clear)
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, chunks, fresh_names, mix, powers, row_key_names, table, text_bytes, texts_with_key, with_row_key
+from trawlmill.llm.common import BASE, BASE_INVERSE, BYTE_VALUES, chunks, fresh_names, mix, powers, release_memory, row_key_names, table, text_bytes, texts_with_key, with_row_key
 from trawlmill.sources.staging import discard, stage
 
 MIN_BYTES = 400
@@ -245,6 +245,7 @@ def _meetings(marks: DataFrame) -> DataFrame:
     """Late runs from the rows (part, windows), sorted by part within partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         now, blobs = None, []
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -261,6 +262,7 @@ def _meetings(marks: DataFrame) -> DataFrame:
 
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches, limit=1 << 18):
             data, at = text_bytes(batch.column(2))
             row, begin, windows, key, again = window_runs(data, at, length, gram)
@@ -278,6 +280,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     """The runs of each text cut out: row_id, row_hash, at, n, key, again, digest, segment (null where the task has sent it before)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         sent: set[bytes] = set()
         for batch in chunks(batches, limit=1 << 18):
             out: dict[str, list] = {c: [] for c in ("row", "at", "n", "key", "again", "digest", "segment")}
@@ -304,6 +307,7 @@ def _match(blocks: DataFrame, length: int, block_bytes: int, parts: int) -> Data
     """Marks from rows (key, salt, split, digest, segment) that are sorted by key and salt within partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         digests: dict[bytes, bytes] = {}
         group, size, split = None, 0, False
         for batch in batches:
@@ -362,6 +366,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, b
     """doc_id, row_id, row_hash, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) for every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches):
             sizes, removed, spans, kept = [], [], [], []
             for text, ranges in zip(batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist(), strict=True):
@@ -404,6 +409,7 @@ def strip_repeats(docs: DataFrame, length: int = MIN_BYTES, gram: int = GRAM, bl
     (mark,) = fresh_names([*columns, *key], "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches):
             kept = []
             for text, ranges in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):

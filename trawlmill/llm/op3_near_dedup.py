@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import NO_ID, chunks, mix, row_key_names, rows_with_key, shingles_of, table, text_bytes, texts_with_key, with_row_key, words_of
+from trawlmill.llm.common import NO_ID, chunks, mix, release_memory, row_key_names, rows_with_key, shingles_of, table, text_bytes, texts_with_key, with_row_key, words_of
 from trawlmill.sources.staging import discard, stage
 
 SHINGLE_WORDS = 5
@@ -43,7 +43,7 @@ BLOCK_UNITS = 1 << 20
 #: Texts that stream past such a block.
 PASSING_NODES = 4096
 #: Matching units that a task holds at a time.
-MATCHES = 1 << 21
+MATCHES = 1 << 18
 EDGES_PER_FILE = 200_000
 #: Ranks below 2**FIRST_RANK are opened first.
 FIRST_RANK = -7
@@ -118,6 +118,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE_WORDS, bands: int = BANDS, band_
     """doc_id, row_id, row_hash, node (16 bytes: digest of the word sequence), bands (array of keys, empty without words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in chunks(batches):
             data, at = text_bytes(batch.column(3))
             words, row, count = words_of(data, at)
@@ -224,6 +225,7 @@ def _forest(threshold: float):
     """Rows (task, passing, root, bag) sorted by task, those that others are compared with first -> links between components."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         now, block, held = None, None, []
         for whole in batches:
             task = whole.column(0).to_numpy()
