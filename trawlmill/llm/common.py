@@ -20,7 +20,7 @@ from trawlmill.sources.staging import stage
 #: Bytes of text that a task turns into arrays at a time.
 CHUNK_BYTES = 1 << 19
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 #: Stands for a null id in row_id.
 NO_ID = -(1 << 62)

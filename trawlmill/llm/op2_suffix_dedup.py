@@ -263,7 +263,7 @@ def _meetings(marks: DataFrame) -> DataFrame:
 def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        for batch in chunks(batches, limit=1 << 18):
+        for batch in chunks(batches, limit=1 << 17):
             data, at = text_bytes(batch.column(2))
             row, begin, windows, key, again = window_runs(data, at, length, gram)
             if len(row):
@@ -282,7 +282,7 @@ def _segments(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         sent: set[bytes] = set()
-        for batch in chunks(batches, limit=1 << 18):
+        for batch in chunks(batches, limit=1 << 17):
             out: dict[str, list] = {c: [] for c in ("row", "at", "n", "key", "again", "digest", "segment")}
             for i, (text, runs) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 for r in runs:
