@@ -60,20 +60,27 @@ _SIGNS[:128] = [1 if chr(c).isalnum() else 2 for c in range(128)]
 _SIGNS[[9, 10, 11, 12, 13, 32]] = 0
 
 
-def content(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def content(hashes: np.ndarray, row: np.ndarray, heads: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Different tokens and token beginnings of each row: hashes and rows, sorted by row and hash."""
-    hashes, row, _, heads = tokens_of(data, at, _SIGNS, PREFIXES)
     again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])) if len(hashes) else np.zeros(0, np.int64)
     hashes = np.concatenate([hashes, np.full(len(again), REPEAT), *(h for h, _ in heads)])
     row = np.concatenate([row, row[again], *(r for _, r in heads)])
-    order = np.lexsort((hashes, row))
+    order = np.argsort(hashes)
+    by_row = row[order]
+    # Numbers of 16 bits are sorted by their digits.
+    order = order[np.argsort(by_row.astype(np.uint16) if len(row) and row.max() < 1 << 16 else by_row, kind="stable")]
     hashes, row = hashes[order], row[order]
     keep = np.r_[True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])] if len(hashes) else np.zeros(0, bool)
     return hashes[keep], row[keep]
 
 
-def layout(data: np.ndarray, at: np.ndarray, lang: list[str | None], source: list[str | None], kinds: np.ndarray) -> np.ndarray:
-    """rows x features: indicator numbers, each feature in its own range of BINS (lang and source: 64)."""
+def layout(
+    data: np.ndarray, at: np.ndarray, lang: list[str | None], source: list[str | None], kinds: np.ndarray, hashes: np.ndarray, row: np.ndarray, words: np.ndarray
+) -> np.ndarray:
+    """rows x features: indicator numbers, each feature in its own range of BINS (lang and source: 64).
+
+    kinds are the rows of the different tokens; hashes, row and words those of all tokens.
+    """
     rows = len(at) - 1
     size = np.diff(at)
     owner = np.repeat(np.arange(rows), size)
@@ -84,7 +91,6 @@ def layout(data: np.ndarray, at: np.ndarray, lang: list[str | None], source: lis
     def binned(x: np.ndarray) -> np.ndarray:
         return np.clip(np.log2(x * 4096 + 1), 0, BINS - 1).astype(np.int64)
 
-    hashes, row, words = tokens_of(data, at, _SIGNS)
     once = np.bincount(kinds, minlength=rows) / np.maximum(words, 1)
     signs = (_SIGNS[data] == 2) if len(data) else np.zeros(0, bool)
     repeats = np.bincount(row[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])], minlength=rows) / np.maximum(words, 1)
@@ -98,7 +104,8 @@ def layout(data: np.ndarray, at: np.ndarray, lang: list[str | None], source: lis
     out = [m + k * BINS for k, m in enumerate(measures)]
     base = len(measures) * BINS
     for k, names in enumerate((lang, source)):
-        out.append(np.array([hash_name(x) for x in names], np.int64).reshape(rows) + base + 64 * k)
+        known = {x: hash_name(x) for x in set(names)}
+        out.append(np.array([known[x] for x in names], np.int64).reshape(rows) + base + 64 * k)
     return np.stack(out, axis=1)
 
 
@@ -118,8 +125,9 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the columns text, lang, source: token hashes, their rows, metadata features."""
     find = batch.schema.get_field_index
     data, at = text_bytes(batch.column(find("text")))
-    hashes, row = content(data, at)
-    return hashes, row, layout(data, at, batch.column(find("lang")).to_pylist(), batch.column(find("source")).to_pylist(), row)
+    tokens, owner, words, heads = tokens_of(data, at, _SIGNS, PREFIXES)
+    hashes, row = content(tokens, owner, heads)
+    return hashes, row, layout(data, at, batch.column(find("lang")).to_pylist(), batch.column(find("source")).to_pylist(), row, tokens, owner, words)
 
 
 #: Indicators of the evidence: two margins against the first class.
