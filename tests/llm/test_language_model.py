@@ -2,9 +2,11 @@
 
 import collections
 import math
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import awkward, corpus, prose, words
@@ -82,3 +84,36 @@ def test_nothing_to_learn_from(spark):
     assert op5.score_texts(corpus(spark, [])).collect() == []
     row = op5.score_texts(corpus(spark, [(1, "a b")]), train=F.lit(False)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+class Here:
+    """One text as a table whose map runs in this process."""
+
+    def __init__(self, text):
+        self.text = text
+
+    def select(self, *columns):
+        self.batch = pa.RecordBatch.from_arrays([pa.array([self.text if c == "text" else 1]) for c in columns], names=list(columns))
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return list(run([self.batch]))
+
+
+def test_rare_words_do_not_hold_their_text():
+    text = " ".join(f"{k:012d}" for k in range(5000))
+    none = op5.Cache(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0)
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        out = op5.rare_words(Here(text), types.SimpleNamespace(value=none))
+    finally:
+        pa.set_memory_pool(usual)
+    assert sum(b.num_rows for b in out) == 5001
+    assert pool.max_memory() < 20 * len(text)
+
+
+def test_a_long_text_of_rare_words(spark):
+    rows = [(1, " ".join(f"{k:012d}" for k in range(20_000))), (2, "a b"), (3, "a 000000000007")]
+    check(op5.score_texts(corpus(spark, rows), top_words=2).collect(), plain(rows))

@@ -11,7 +11,7 @@ the discount leaves with less than 1 / (c(h) + 1) is scaled to leave that much,
 How it runs: word counts are a table by word hash.  Its largest rows, TOP_WORDS at most, go to all tasks as a cache;
 the other words of each text are joined with the table.  The different bigrams of each piece of text go, as compressed
 columns, to the partition of their context, which is one row of a stored table.  So a partition holds all texts' bigrams of
-its contexts: it counts the training ones, then gives each text its share of the score, summed by text at the end.
+its contexts: it counts the training ones, then gives each text its share of both scores, summed by text at the end.
 A context with very many followers (the start, a common word) is split over several partitions by the word, and only
 its sums are put together.  Counts, contexts and texts are complete; nothing is pruned.
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlmill.llm.common import chunks, mix, table, text_bytes, texts_with_key, words_of
+from trawlmill.llm.common import chunks, mix, release_memory, table, text_bytes, whole_text, words_of
 from trawlmill.sources.staging import stage
 
 END = np.uint64(0x452821E638D01377)
@@ -193,6 +193,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """w, c over the training texts (columns text, train)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         held = 0
 
@@ -219,26 +220,22 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def rare_words(texts: DataFrame, cache) -> DataFrame:
-    """row_id, row_hash, w, p (partition of the bigrams it ends), times: words that the cache doesn't hold."""
+    """w, p (partition of the bigrams it ends): words that the cache doesn't hold, each once for a piece of text and partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         top = cache.value
         for batch in chunks(batches):
-            token, before, row, _ = sequences(batch, 2)
+            token, before, _, _ = sequences(batch, 0)
             at = np.flatnonzero(top.rank(token) < 0)
-            w, h, row = token[at], before[at], row[at]
+            w, h = token[at], before[at]
             p = top.partition(h, top.rank(h), w)
-            order = np.lexsort((p, w, row))
-            w, p, row = w[order], p[order], row[order]
-            new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(w) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[new, len(w)])
-            own = batch.take(pa.array(row[new]))
-            yield pa.RecordBatch.from_arrays(
-                [own.column(0), own.column(1), pa.array(w[new].view(np.int64)), pa.array(p[new].astype(np.int32)), pa.array(times.astype(np.int32) if len(new) else np.zeros(0, np.int32))],
-                names=["row_id", "row_hash", "w", "p", "times"],
-            )
+            order = np.lexsort((p, w))
+            w, p = w[order], p[order]
+            new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])])[: len(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(p[new].astype(np.int32))], names=["w", "p"])
 
-    return texts.select("row_id", "row_hash", "text").mapInArrow(run, "row_id long, row_hash long, w long, p int, times int")
+    return texts.select("text").mapInArrow(run, "w long, p int")
 
 
 def common_words(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +256,7 @@ def common_words(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return w[order], c[order]
 
 
-INFO = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("row_id", "<i8"), ("row_hash", "<i8"), ("train", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
+INFO = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("train", "<i8"), ("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 PIECES = "p int, kind int, chunk long, payload binary"
 
 
@@ -267,20 +264,20 @@ def bigram_pieces(texts: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
     """Rows of two kinds: 1: the bigrams of a piece of text for one partition; 2: its texts, with the cached words' part of the base score."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         top = cache.value
         for number, batch in enumerate(chunks(batches)):
             chunk = TaskContext.get().partitionId() << 32 | number
-            token, before, row, size = sequences(batch, 4)
+            token, before, row, size = sequences(batch, 2)
             w = top.rank(token)
             stop = np.cumsum(size)
             h = np.r_[-1, w[:-1]]
             h[stop - size] = top.size - 1  # the start
-            train = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             info = np.zeros(batch.num_rows, INFO)
             doc = batch.column(0)
             info["null"] = doc.is_null().to_numpy(zero_copy_only=False)
             info["doc_id"] = doc.fill_null(0).to_numpy()
-            info["row_id"], info["row_hash"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             info["train"], info["tokens"] = train, size
             common = w >= 0
             count = np.where(common, top.counts[w], 0)
@@ -308,7 +305,7 @@ def bigram_pieces(texts: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
                 names=["p", "kind", "chunk", "payload"],
             )
 
-    return texts.select("doc_id", "row_id", "row_hash", F.col("train"), "text").mapInArrow(run, PIECES)
+    return texts.select("doc_id", "train", "text").mapInArrow(run, PIECES)
 
 
 class Bigrams:
@@ -355,6 +352,7 @@ class Bigrams:
             rare_w, rare_c = rare_w[by], rare_c[by]
             found = np.minimum(np.searchsorted(rare_w, word), len(rare_w) - 1)
             self.word_count = np.where(~common & (rare_w[found] == word), rare_c[found], self.word_count)
+        self.strange = ~common
 
     def sums(self, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each context: c(h), followers with small counts, sum of the larger ones, P of all followers."""
@@ -393,6 +391,7 @@ def bigram_table(pieces: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
             ("p", pa.int32()), ("pieces", part), ("texts", part), ("rare_w", pa.list_(pa.int64())), ("rare_c", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())),
             ("split", pa.list_(pa.struct([("h", pa.int64()), ("sums", pa.list_(pa.float64()))]))),
         ])
+        release_memory()
         now, rare, held, info = None, [], [], []
         for batch in batches:
             p = batch.column(0).to_numpy()
@@ -415,11 +414,12 @@ def bigram_table(pieces: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
 
 
 def partial_scores(model: DataFrame, cache, unigrams: Unigrams, d: np.ndarray, split: dict[int, tuple[float, float, float]]) -> DataFrame:
-    """chunk, scores (binary: a double for each text of the piece, from the partitions of one task)."""
+    """chunk, scores (binary, from the partitions of one task: for each text of the piece three doubles, its score and the base score and number of known words among those that aren't cached)."""
     split_h = np.array(sorted(split), np.uint64)
     split_values = np.array([split[int(h)] for h in split_h]).reshape(-1, 3)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         top = cache.value
         sums: dict[int, np.ndarray] = {}
         held = 0
@@ -443,12 +443,14 @@ def partial_scores(model: DataFrame, cache, unigrams: Unigrams, d: np.ndarray, s
                 h = bigrams.context_of
                 seen_p = factor[h] * discounted(bigrams.count, d) / np.maximum(total[h], 1)
                 p = np.where(bigrams.count > 0, seen_p, a[h] * unigrams.p(bigrams.word_count))
-                each = np.log10(p)[bigrams.type_of] * bigrams.times
+                base = np.where(bigrams.strange, unigrams.base(bigrams.word_count), 0.0)
+                known = (bigrams.strange & (bigrams.word_count > 0)).astype(float)
+                each = [v[bigrams.type_of] * bigrams.times for v in (np.log10(p), base, known)]
                 order = np.argsort(bigrams.piece, kind="stable")
                 edges = np.searchsorted(bigrams.piece[order], np.arange(len(pieces) + 1))
                 for k, chunk in enumerate(bigrams.chunks):
                     own = order[edges[k] : edges[k + 1]]
-                    part = np.bincount(bigrams.row[own], each[own])
+                    part = np.stack([np.bincount(bigrams.row[own], v[own]) for v in each], axis=1)
                     before = sums.get(chunk)
                     if before is None:
                         sums[chunk] = part
@@ -474,41 +476,39 @@ def text_scores(partial: DataFrame, model: DataFrame) -> DataFrame:
     rows = info.union(partial.select("chunk", F.lit(None).cast("binary"), "scores"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, info, total = None, None, np.zeros(0)
+        release_memory()
+        now, info, total = None, None, np.zeros((0, 3))
 
         def out() -> pa.RecordBatch:
-            score = np.zeros(len(info))
-            score[: len(total)] = total[: len(info)]
+            score, base, known = np.r_[total, np.zeros((len(info) - len(total), 3))].T
             doc = pa.array(info["doc_id"], mask=info["null"] != 0)
-            return pa.RecordBatch.from_arrays(
-                [doc, *(pa.array(np.ascontiguousarray(info[c])) for c in ("row_id", "row_hash", "train", "tokens", "known", "base")), pa.array(score)],
-                names=["doc_id", "row_id", "row_hash", "train", "tokens", "known", "base", "score"],
-            )
+            columns = (info["train"], info["tokens"], info["known"] + known.astype(np.int64), info["base"] + base, score)
+            return pa.RecordBatch.from_arrays([doc, *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "train", "tokens", "known", "base", "score"])
 
         for batch in batches:
             for chunk, texts, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != now:
                     if info is not None:
                         yield out()
-                    now, info, total = chunk, None, np.zeros(0)
+                    now, info, total = chunk, None, np.zeros((0, 3))
                 if texts is not None:
                     info = np.frombuffer(texts, INFO)
                 if scores is not None:
-                    part = np.frombuffer(scores, np.float64)
+                    part = np.frombuffer(scores, np.float64).reshape(-1, 3)
                     if len(part) > len(total):
-                        total = np.r_[total, np.zeros(len(part) - len(total))]
+                        total = np.r_[total, np.zeros((len(part) - len(total), 3))]
                     total[: len(part)] += part
         if info is not None:
             yield out()
 
-    schema = "doc_id long, row_id long, row_hash long, train long, tokens long, known long, base double, score double"
+    schema = "doc_id long, train long, tokens long, known long, base double, score double"
     return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
 
 
 def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; `train` marks the training rows."""
     spark = docs.sparkSession
-    texts = texts_with_key(docs.select("doc_id", "text")).withColumn("train", train if train is not None else training())
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("train", train if train is not None else training())
     words = stage(word_counts(texts), "words")
     end = F.max(F.when(F.col("w") == int(END.view(np.int64)), F.col("c")))
     tokens, types, starts = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*"), end).first())
@@ -517,9 +517,8 @@ def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = T
         n[r] = k
     unigrams = Unigrams(tokens, types, n)
     cache = spark.sparkContext.broadcast(Cache(*common_words(words, top_words), starts, tokens))
-    rare = stage(rare_words(texts, cache).join(words, "w", "left").withColumn("c", F.coalesce("c", F.lit(0))), "rare")
     no_payload = [F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("payload")]
-    resolved = rare.where("c > 0").select("p", "w", "c").distinct().select("p", *no_payload, "w", "c")
+    resolved = rare_words(texts, cache).join(words, "w").select("p", "w", "c").distinct().select("p", *no_payload, "w", "c")
     pieces = bigram_pieces(texts, cache, unigrams).select("p", "kind", "chunk", "payload", F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("c"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = stage(bigram_table(pieces.union(resolved).repartition(tasks, "p").sortWithinPartitions("p", "kind"), cache, unigrams), "bigrams")
@@ -533,14 +532,9 @@ def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = T
     partial = stage(partial_scores(model, cache, unigrams, d, split), "scores")
     # nothing below needs the cache: the JVM and the reused workers let it go before the next run brings its own
     cache.destroy()
-    scored = text_scores(partial, model)
-    # A word of one text may be in several partitions; equal rows count once here.
-    by_word = rare.groupBy("row_id", "row_hash", "w", "p").agg(F.max("times").alias("times"), F.max("c").alias("c"))
-    base = F.log10((F.col("c") + 1) / F.lit(float(tokens + types + 1)))
-    by_text = by_word.groupBy("row_id", "row_hash").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(base * F.col("times")).alias("more_base"))
-    return scored.join(by_text, ["row_id", "row_hash"], "left").select(
-        "doc_id", (F.col("train") == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+    return text_scores(partial, model).select(
+        "doc_id", (F.col("train") == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
 
 
