@@ -98,6 +98,25 @@ def test_decoding_of_any_ids():
             assert own.decode(ids) == library.decode(ids), ids
 
 
+def test_new_parts_are_merged_together(monkeypatch):
+    # no short part is merged by itself, with or without characters outside the vocabulary, and full memos lose nothing
+    content = open(default_model(), "rb").read()
+    library = sentencepiece.SentencePieceProcessor(model_proto=content)
+    some = [*texts()[:300], prose(3, 400), "漢字\n\n가각 end.\nNext &&& x", ""]
+    for kinds in (None, {library.id_to_piece(library.get_piece_size() - 1): op13_pieces.CONTROL}):
+        model = changed(kinds=kinds) if kinds else content
+        expected = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for most in (op13_pieces.MEMO_PARTS, 7):
+            monkeypatch.setattr(op13_pieces, "MEMO_PARTS", most)
+            got = [ids.tolist() for ids, _, _ in PieceModel(model).encode_all(some)]
+            assert got == [expected.encode(t) for t in some]
+    monkeypatch.undo()
+    own = PieceModel(content)
+    monkeypatch.setattr(own, "_by_search", None)
+    for text in (prose(5, 300), "new words\nover two lines, 漢字"):
+        assert own.encode(text)[0].tolist() == library.encode(text)
+
+
 def test_query_columns(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=default_model())
     want = collections.Counter()

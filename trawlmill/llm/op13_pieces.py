@@ -6,7 +6,7 @@ The pieces are then merged by score, best first and leftmost among equals, and e
 to its span of source bytes.  A character outside the vocabulary becomes byte pieces, of which the last one has its span.
 
 Merges never cross a border between two characters that no piece holds side by side, so the normalised text is cut there
-first and each different part is encoded once and kept in a bounded memo.
+first and each different part is encoded once and kept in a bounded memo.  The new parts of a batch are merged side by side as arrays.
 
 Rows: a null or empty text has no pieces; a text of blanks, control characters or one endless word is encoded whole; repeated
 rows and ids give repeated results.  Extra columns are not read.
@@ -18,10 +18,12 @@ import codecs
 import hashlib
 import heapq
 import math
+import re
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trawlmill.llm.common import chunks, kept_by_worker, table, whole_text
 
-#: Parts kept at most, and the longest part that is kept; beyond the first the memo starts anew.
-MEMO_PARTS = 500_000
+#: Parts of a generation of the memo, and the longest part that is kept.  A full generation becomes the older one, whose
+#: parts are taken over as they come again, so common parts stay; two generations are held at most.
+MEMO_PARTS = 750_000
 MEMO_LENGTH = 64
 #: Parts of up to so many characters are merged by plain search, longer ones with a heap.
 SHORT_PART = 24
@@ -158,8 +161,11 @@ class PieceModel:
         self.neighbours = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
         # Parts begin with the symbols of spaces that no other character precedes within a piece.
         crossed = any(b == SPACE and a != SPACE for a, b in self.neighbours)
-        self.parts = None if crossed or own else regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.parts = None if crossed or own else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self._pairs()
         outside = (UNKNOWN, BYTE) if self.byte_fallback else (UNKNOWN,)
         self.size_of = np.array([-1 if k in outside else len(p.encode("utf-8")) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int64)
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
@@ -238,8 +244,8 @@ class PieceModel:
         align = np.repeat(np.arange(len(source)), np.where(source == 32, 3, 1))
         normalised = text.replace(" ", SPACE)
         if self.dummy_prefix and not self.suffix:
-            normalised, align = SPACE + normalised, np.r_[0, 0, 0, align]
-        elif self.dummy_prefix:
+            return SPACE + normalised, np.concatenate(([0, 0, 0], align, [len(source)]))
+        if self.dummy_prefix:
             normalised, align = normalised + SPACE, np.r_[align, [len(source)] * 3]
         return normalised, np.r_[align, len(source)]
 
@@ -247,8 +253,22 @@ class PieceModel:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces, and the begin and end of their source bytes."""
-        normalised, align = self.normalise(text)
-        parts = self.parts(normalised) if self.parts else [normalised] if normalised else []
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for each text; what is new in any of them is merged together."""
+        normal = [self.normalise(x) for x in texts]
+        if not self.parts:
+            for normalised, align in normal:
+                yield self._put_together(normalised, align, [normalised] if normalised else [])
+            return
+        parts = [self.parts(normalised) for normalised, _ in normal]
+        memo, older = self.memo, self.older
+        self._learn([x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in memo and x not in older and len(x) <= MEMO_LENGTH])
+        for (normalised, align), own in zip(normal, parts, strict=True):
+            yield self._put_together(normalised, align, own)
+
+    def _put_together(self, normalised: str, align: np.ndarray, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(b"".join([self.memo.get(p) or self._part(p) for p in parts]), np.int32)
         sizes = self.size_of[ids]
         if len(sizes) and sizes.min() < 0:
@@ -281,6 +301,103 @@ class PieceModel:
 
     def _part(self, part: str) -> bytes:
         """Ids of the pieces of one part; kept for later texts."""
+        return self._keep(part, self.older.get(part) or self._encoded(part))
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(part) <= MEMO_LENGTH:
+            if len(self.memo) >= MEMO_PARTS:
+                self.older, self.memo = self.memo, {}
+            self.memo[part] = ids
+        return ids
+
+    def _pairs(self) -> None:
+        """Numbers of the symbols that may meet (pieces by their ids, then other characters), and the pairs that make a piece."""
+        symbols = dict(self.known)
+        for c in sorted({c for piece in self.known for c in piece} - set(symbols)):
+            symbols[c] = len(self.pieces) + len(symbols)
+        self.number_of = symbols
+        self.stranger = max([len(self.pieces) - 1, *symbols.values()]) + 1
+        found = [
+            (symbols[piece[:i]] * (self.stranger + 1) + symbols[piece[i:]], self.scores[number], number)
+            for piece, number in self.known.items()
+            for i in range(1, len(piece))
+            if piece[:i] in symbols and piece[i:] in symbols
+        ]
+        found.sort()
+        keys, scores, numbers = zip(*found, strict=True) if found else ((), (), ())
+        # the last entry stands for a pair that makes none
+        self.pair_keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.pair_scores = np.array([*scores, -math.inf])
+        self.pair_pieces = np.array([*numbers, -1], np.int64)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs of symbols stand among the known pairs."""
+        key = left * (self.stranger + 1) + right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, at, len(self.pair_keys) - 1)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Merge many short parts side by side, in each the best pair at a time (the leftmost among equals), and keep their ids."""
+        if self.symbols is not None or self.unused or not parts:
+            return
+        number = self.number_of.get
+        symbol = np.array([number(c, self.stranger) for c in "".join(parts)], np.int64)
+        owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        none = len(self.pair_keys) - 1
+        pair = np.full(len(symbol), none)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pair[inner] = self._joined(symbol[inner], symbol[inner + 1])
+        owners, symbols = [], []
+        while len(symbol):
+            score = self.pair_scores[pair]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            size = np.diff(np.r_[first, len(owner)])
+            best = np.repeat(np.maximum.reduceat(score, first), size)
+            open_ = best > -math.inf
+            if not open_.all():
+                owners.append(owner[~open_])
+                symbols.append(symbol[~open_])
+                symbol, owner, pair, score, best = symbol[open_], owner[open_], pair[open_], score[open_], best[open_]
+            at = np.flatnonzero(score == best)
+            at = at[np.r_[True, owner[at][1:] != owner[at][:-1]][: len(at)]]
+            symbol[at] = self.pair_pieces[pair[at]]
+            stays = np.ones(len(symbol), bool)
+            stays[at + 1] = False
+            symbol, owner, pair = symbol[stays], owner[stays], pair[stays]
+            at -= np.arange(len(at))
+            # the merged symbol's pairs with its neighbours
+            changed = np.r_[at, at[at > 0] - 1]
+            pair[changed] = none
+            changed = changed[changed + 1 < len(symbol)]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            pair[changed] = self._joined(symbol[changed], symbol[changed + 1])
+        owner, symbol = np.concatenate(owners), np.concatenate(symbols)
+        order = np.argsort(owner, kind="stable")
+        owner, symbol = owner[order], symbol[order]
+        ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
+        strange = np.bincount(owner[symbol >= len(self.pieces)], minlength=len(parts)) > 0
+        ids = symbol.astype(np.int32).tobytes()
+        begin = 0
+        for part, end, outside in zip(parts, ends.tolist(), strange.tolist(), strict=True):
+            if outside:
+                self._keep(part, self._with_strangers(part, symbol[begin:end].tolist()))
+            else:
+                self._keep(part, ids[4 * begin : 4 * end])
+            begin = end
+
+    def _with_strangers(self, part: str, symbols: list[int]) -> bytes:
+        """Ids of the symbols of a part where a character outside the vocabulary becomes its bytes, or unknown."""
+        out, at = [], 0
+        for x in symbols:
+            if x < len(self.pieces):
+                out.append(x)
+                at += len(self.pieces[x])
+            else:
+                out += map(self.byte_ids.__getitem__, part[at].encode("utf-8")) if self.byte_fallback else (self.unknown,)
+                at += 1
+        return array("i", out).tobytes()
+
+    def _encoded(self, part: str) -> bytes:
         if self.symbols is None:
             pieces = self._merged(part)
         else:
@@ -295,12 +412,7 @@ class PieceModel:
         ids = [known.get(p, unknown) for p in pieces]
         if self.byte_fallback and unknown in ids:
             ids = [n for p, i in zip(pieces, ids, strict=True) for n in (map(self.byte_ids.__getitem__, p.encode("utf-8")) if i == unknown else (i,))]
-        out = array("i", ids).tobytes()
-        if len(part) <= MEMO_LENGTH:
-            if len(self.memo) >= MEMO_PARTS:
-                self.memo.clear()
-            self.memo[part] = out
-        return out
+        return array("i", ids).tobytes()
 
     def _merged(self, text: str) -> list[str]:
         """The characters after all merges, best score first, the leftmost among equal ones."""
@@ -426,7 +538,7 @@ def encode_pieces(docs: DataFrame, model_file: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
         for batch in chunks(batches):
-            columns = list(zip(*[model.encode(x) for x in batch.column(1).to_pylist()], strict=True))
+            columns = list(zip(*model.encode_all(batch.column(1).to_pylist()), strict=True))
             kinds = (pa.int32(), pa.int64(), pa.int64())
             lists = [pa.array([v.tolist() for v in column], pa.list_(kind)) for column, kind in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "ids", "begins", "ends"])
@@ -455,13 +567,14 @@ def piece_digests(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_file)
+        decimals = model.decimals
         for batch in chunks(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids, begins, ends = model.encode(text)
+            texts = batch.column(1).to_pylist()
+            for text, (ids, begins, ends) in zip(texts, model.encode_all(texts), strict=True):
                 numbers = ids.tolist()
                 decoded = model.decode(numbers).encode("utf-8")
-                digest = hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest()
+                digest = hashlib.sha256(",".join([decimals[i] for i in numbers]).encode()).hexdigest()
                 spanned = int((ends - begins).sum())
                 rows.append((len(numbers), digest, hashlib.sha256(decoded).hexdigest(), len(text.encode("utf-8")), spanned))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
