@@ -117,3 +117,33 @@ def test_rare_words_do_not_hold_their_text():
 def test_a_long_text_of_rare_words(spark):
     rows = [(1, " ".join(f"{k:012d}" for k in range(20_000))), (2, "a b"), (3, "a 000000000007")]
     check(op5.score_texts(corpus(spark, rows), top_words=2).collect(), plain(rows))
+
+
+def sent(spark, rows, words, tokens):
+    """The rows of one task's pieces."""
+    from pyspark.sql import functions as F
+
+    cache = spark.sparkContext.broadcast(op5.Cache(words, np.arange(len(words), 0, -1), len(rows), tokens))
+    texts = corpus(spark, rows).coalesce(1).select("doc_id", "text", F.lit(True).alias("train"))
+    return op5.bigram_pieces(texts, cache, op5.Unigrams(tokens, len(words), np.zeros(7, np.int64))).collect()
+
+
+def test_rows_of_pieces_do_not_follow_the_number_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(op5, "PARTITION_TOKENS", 2400)
+    rows = [(i, " ".join(f"{k:012d}" for k in range(i, 90_000, 3))) for i in range(3)]
+    # 500 partitions in 63 buckets, and the piece's own row; each half megabyte of text had a row for each partition.
+    assert len(sent(spark, rows, np.zeros(0, np.uint64), 1_000_000)) == 64
+    monkeypatch.setattr(op5, "PIECE_TOKENS", 50_000)
+    assert len({r.chunk for r in sent(spark, rows, np.zeros(0, np.uint64), 1_000_000)}) == 3
+
+
+def test_a_pair_of_every_text_is_sent_once_for_a_piece(spark):
+    found = sent(spark, [(i, "a b") for i in range(500)], np.zeros(0, np.uint64), 1000)
+    assert sum(len(op5._unpack(r.payload)[3]) for r in found if r.kind == 1) == 3  # a after the start, b after a, the end after b
+
+
+def test_buckets_of_partitions_and_scores_in_parts(spark, monkeypatch):
+    rows = [*awkward(), *((100 + k, prose(k % 7, 60 + k)) for k in range(60))]
+    for name, value in (("SPLIT_TOKENS", 50), ("PARTITION_TOKENS", 300), ("LEAST_BUCKETS", 3), ("HELD_SCORES", 500)):
+        monkeypatch.setattr(op5, name, value)
+    check(op5.score_texts(corpus(spark, rows).repartition(3), top_words=40).collect(), plain(rows))

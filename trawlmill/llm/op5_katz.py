@@ -9,9 +9,11 @@ in h to the mass of the words not seen after h, so every P(. | h) sums to 1 (the
 the discount leaves with less than 1 / (c(h) + 1) is scaled to leave that much, so that no text has probability 0.
 
 How it runs: word counts are a table by word hash.  Its largest rows, TOP_WORDS at most, go to all tasks as a cache;
-the other words of each text are joined with the table.  The different bigrams of each piece of text go, as compressed
-columns, to the partition of their context, which is one row of a stored table.  So a partition holds all texts' bigrams of
-its contexts: it counts the training ones, then gives each text its share of both scores, summed by text at the end.
+the other words of each text are joined with the table.  A task gathers its texts into pieces of PIECE_TOKENS.  The different
+bigrams of a piece go, as compressed columns, to the partition of their context; a row of a piece holds a bucket of several
+partitions, so that rows stay large while partitions grow in number with the texts.  A partition has all pieces' bigrams of
+its contexts: it counts the training ones and is one row of a stored table.  From that each piece gets the scores of its
+bigrams back, in their order, and adds them up by text; so a bigram is sent once for a piece, in however many texts it is.
 A context with very many followers (the start, a common word) is split over several partitions by the word, and only
 its sums are put together.  Counts, contexts and texts are complete; nothing is pruned.
 
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlmill.llm.common import chunks, mix, release_memory, table, text_bytes, whole_text, words_of
-from trawlmill.sources.staging import stage
+from trawlmill.sources.staging import discard, release_shuffles, stage
 
 END = np.uint64(0x452821E638D01377)
 START = np.uint64(0xBE5466CF34E90C6C)
@@ -43,6 +45,13 @@ DISCOUNTED = 5
 PARTITION_TOKENS = 500_000
 SPLIT_TOKENS = 500_000
 MOST_SPLITS = 4096
+#: Tokens of a piece of texts, about; a longer text is a piece by itself.
+PIECE_TOKENS = 1 << 20
+#: Partitions that share a row of a piece, at most, and the number of buckets from which on they do.
+BUCKET_PARTITIONS = 8
+LEAST_BUCKETS = 48
+#: Scores that a task holds before they go back to their pieces.
+HELD_SCORES = 2_000_000
 
 
 def training(modulus: int = 7, remainder: int = 2) -> Column:
@@ -112,6 +121,8 @@ class Cache:
         limit = max(SPLIT_TOKENS, tokens // MOST_SPLITS)
         self.parts = np.maximum(1, -(-np.r_[counts[:-1], starts] // limit)).astype(np.int32)
         self.partitions = int(max(1, -(-tokens * 6 // 5 // PARTITION_TOKENS)))
+        self.together = min(BUCKET_PARTITIONS, max(1, self.partitions // LEAST_BUCKETS))
+        self.buckets = -(-self.partitions // self.together)
 
     def rank(self, words: np.ndarray) -> np.ndarray:
         """Rank of each word, -1 if it isn't here."""
@@ -160,11 +171,16 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
     at, out = 8 + 16 * n, []
     for length, width in sizes.reshape(n, 2).tolist():
         flat = np.frombuffer(raw, np.uint8, length * width, at).reshape(width, length).T
-        out.append(np.ascontiguousarray(flat).view(np.uint32 if width == 4 else np.uint64).reshape(-1))
+        out.append(np.array(flat, order="C").view(np.uint32 if width == 4 else np.uint64).reshape(-1))
         at += length * width
     return out
 
 
+def _by_number(numbers: np.ndarray, below: int) -> np.ndarray:
+    """Places of the numbers (all under `below`) in their order, equal ones as they stand."""
+    return np.argsort(numbers.astype(np.uint16) if below <= 1 << 16 else numbers, kind="stable")
+
+
 def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Different rows of the columns (none negative) in order, and how often each is there."""
     bits = [int(c.max(initial=0)).bit_length() for c in columns]
@@ -220,7 +236,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def rare_words(texts: DataFrame, cache) -> DataFrame:
-    """w, p (partition of the bigrams it ends): words that the cache doesn't hold, each once for a piece of text and partition."""
+    """w, p (bucket of the bigrams it ends): words that the cache doesn't hold, each once for a batch of texts and bucket."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
@@ -229,7 +245,7 @@ def rare_words(texts: DataFrame, cache) -> DataFrame:
             token, before, _, _ = sequences(batch, 0)
             at = np.flatnonzero(top.rank(token) < 0)
             w, h = token[at], before[at]
-            p = top.partition(h, top.rank(h), w)
+            p = top.partition(h, top.rank(h), w) // top.together
             order = np.lexsort((p, w))
             w, p = w[order], p[order]
             new = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] != p[:-1])])[: len(w)]
@@ -260,246 +276,302 @@ INFO = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("train", "<i8"), ("tokens"
 PIECES = "p int, kind int, chunk long, payload binary"
 
 
+class Piece:
+    """Texts of one task: their tokens and contexts as ranks in the cache, or numbers from its size on of words it doesn't hold."""
+
+    def __init__(self, top: Cache):
+        self.top, self.tokens, self.texts, self.odd_words = top, 0, 0, 0
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.odd: list[np.ndarray] = []
+        self.info: list[np.ndarray] = []
+
+    def add(self, token: np.ndarray, row: np.ndarray, size: np.ndarray, info: np.ndarray, unigrams: Unigrams) -> None:
+        top = self.top
+        w = top.rank(token)
+        common = w >= 0
+        count = top.counts[w[common]]
+        info["known"] = np.bincount(row[common], count > 0, minlength=len(size))
+        info["base"] = np.bincount(row[common], unigrams.base(count), minlength=len(size))
+        odd, number = np.unique(token[~common], return_inverse=True)
+        w[~common] = top.size + self.odd_words + number
+        h = np.r_[0, w[:-1]]
+        h[np.cumsum(size) - size] = top.size - 1  # the start
+        self.columns.append((h.astype(np.uint32), w.astype(np.uint32), (row + self.texts).astype(np.uint32)))
+        self.odd.append(odd)
+        self.info.append(info)
+        self.tokens, self.texts, self.odd_words = self.tokens + len(token), self.texts + len(size), self.odd_words + len(odd)
+
+    def rows(self, chunk: int) -> pa.RecordBatch:
+        top = self.top
+        h, w, row = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        odd, number = np.unique(np.concatenate(self.odd), return_inverse=True)
+        for ids in (h, w):
+            out = ids >= top.size
+            ids[out] = top.size + number[ids[out] - top.size]
+        self.columns, self.odd = [], []
+        h, w, row, times = _grouped(h, w, row)
+        info = np.concatenate(self.info)
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+        trained = np.add.reduceat(times * info["train"][row], new)
+        each = np.diff(np.r_[new, len(row)])
+        h, w = h[new], w[new]
+        hashes = np.r_[top.words, odd]
+        q = top.partition(hashes[h], np.where(h < top.size, h, -1), hashes[w])
+        order = _by_number(q, top.partitions)
+        q, h, w, trained, each, new = (x[order] for x in (q, h, w, trained, each, new))
+        at = np.repeat(new - (np.cumsum(each) - each), each) + np.arange(len(row))
+        row, times = row[at].astype(np.uint32), times[at].astype(np.uint32)
+        p = q // top.together
+        begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        payloads = []
+        for a, b in zip(begin, np.r_[begin[1:], len(p)], strict=True):
+            hp, wp, qp = h[a:b].copy(), w[a:b].copy(), q[a:b]
+            own = np.unique(np.r_[hp[hp >= top.size], wp[wp >= top.size]])
+            for ids in (hp, wp):
+                out = ids >= top.size
+                ids[out] = top.size + np.searchsorted(own, ids[out])
+            edge = np.flatnonzero(np.r_[True, qp[1:] != qp[:-1]])
+            columns = (qp[edge], np.diff(np.r_[edge, len(qp)]), np.diff(hp, prepend=0), wp, trained[a:b])
+            payloads.append(_pack(*(c.astype(np.uint32) for c in columns), odd[own - top.size]))
+        strange = np.diff(np.flatnonzero(w >= top.size), prepend=0)
+        payloads.append(_pack(info.view(np.uint64), each.astype(np.uint32), row, times, strange.astype(np.uint32)))
+        kinds = np.r_[np.ones(len(begin), np.int32), 2].astype(np.int32)
+        home = mix(np.array([chunk], np.uint64)) % np.uint64(top.buckets)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[p[begin], home.astype(np.int64)].astype(np.int32)), pa.array(kinds), pa.array(np.full(len(kinds), chunk, np.int64)), pa.array(payloads, pa.binary())],
+            names=["p", "kind", "chunk", "payload"],
+        )
+
+
 def bigram_pieces(texts: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
-    """Rows of two kinds: 1: the bigrams of a piece of text for one partition; 2: its texts, with the cached words' part of the base score."""
+    """Rows of two kinds: 1: the bigrams of a piece for one bucket; 2: its texts, with the cached words' part of the base score, and which of them have each bigram."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         top = cache.value
-        for number, batch in enumerate(chunks(batches)):
-            chunk = TaskContext.get().partitionId() << 32 | number
-            token, before, row, size = sequences(batch, 2)
-            w = top.rank(token)
-            stop = np.cumsum(size)
-            h = np.r_[-1, w[:-1]]
-            h[stop - size] = top.size - 1  # the start
-            train = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        chunk, piece = TaskContext.get().partitionId() << 32, Piece(top)
+        for batch in chunks(batches):
+            token, _, row, size = sequences(batch, 2)
             info = np.zeros(batch.num_rows, INFO)
             doc = batch.column(0)
             info["null"] = doc.is_null().to_numpy(zero_copy_only=False)
             info["doc_id"] = doc.fill_null(0).to_numpy()
-            info["train"], info["tokens"] = train, size
-            common = w >= 0
-            count = np.where(common, top.counts[w], 0)
-            info["known"] = np.bincount(row[common & (count > 0)], minlength=len(size))
-            info["base"] = np.bincount(row[common], unigrams.base(count[common]), minlength=len(size))
-            p = top.partition(before, h, token)
-            # Words that aren't cached: numbers after the cached ones, each piece with its own list.
-            strange, number_of = np.unique(np.r_[token[~common], before[h < 0]], return_inverse=True)
-            w[~common] = top.size + number_of[: (~common).sum()]
-            h[h < 0] = top.size + number_of[(~common).sum() :]
-            p, h, w, row, times = _grouped(p, h, w, row)
-            begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-            payloads = []
-            for a, b in zip(begin, np.r_[begin[1:], len(p)], strict=True):
-                hp, wp = h[a:b].copy(), w[a:b].copy()
-                odd = np.unique(np.r_[hp[hp >= top.size], wp[wp >= top.size]])
-                for ids in (hp, wp):
-                    out = ids >= top.size
-                    ids[out] = top.size + np.searchsorted(odd, ids[out])
-                step = np.diff(hp, prepend=0)
-                payloads.append(_pack(step.astype(np.uint32), wp.astype(np.uint32), (row[a:b] * 2 + train[row[a:b]]).astype(np.uint32), times[a:b].astype(np.uint32), strange[odd - top.size]))
-            kinds = np.r_[np.ones(len(begin), np.int32), 2].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[p[begin], chunk % top.partitions].astype(np.int32)), pa.array(kinds), pa.array(np.full(len(kinds), chunk, np.int64)), pa.array([*payloads, info.tobytes()], pa.binary())],
-                names=["p", "kind", "chunk", "payload"],
-            )
+            info["train"], info["tokens"] = batch.column(1).to_numpy(zero_copy_only=False), size
+            if piece.tokens and piece.tokens + len(token) > PIECE_TOKENS:
+                yield piece.rows(chunk)
+                chunk, piece = chunk + 1, Piece(top)
+            piece.add(token, row, size, info, unigrams)
+        if piece.tokens:
+            yield piece.rows(chunk)
 
     return texts.select("doc_id", "train", "text").mapInArrow(run, PIECES)
 
 
 class Bigrams:
-    """All bigrams of one partition, from its pieces."""
-
-    def __init__(self, top: Cache, pieces: list[tuple[int, bytes]], rare_w: np.ndarray, rare_c: np.ndarray):
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
-        self.chunks, lists = [], []
-        shift = top.size
-        for i, (chunk, payload) in enumerate(pieces):
-            step, w, row, times, odd = _unpack(payload)
-            h = np.cumsum(step.astype(np.int32).astype(np.int64))
-            w = w.astype(np.int64)
-            for ids in (h, w):
-                ids[ids >= top.size] += shift - top.size
-            for c, x in zip(columns, (h, w, row, times, np.full(len(w), i, np.int32)), strict=True):
-                c.append(x)
-            self.chunks.append(chunk)
-            lists.append(odd)
-            shift += len(odd)
-        h, w, row, times, piece = (np.concatenate(c) for c in columns)
-        # Words that aren't cached get one number each for the whole partition.
-        strange, number = np.unique(np.concatenate(lists), return_inverse=True)
-        for ids in (h, w):
-            out = ids >= top.size
-            ids[out] = top.size + number[ids[out] - top.size]
-        key = (h << 32) | w
-        order = np.argsort(key)
-        key = key[order]
-        h, w, self.row, self.times, self.piece = key >> 32, key & 0xFFFFFFFF, row[order].astype(np.int64) >> 1, times[order].astype(np.int64), piece[order]
-        new_h = np.r_[True, h[1:] != h[:-1]]
-        new = np.r_[True, key[1:] != key[:-1]]
-        at = np.flatnonzero(new)
-        hashes = np.r_[top.words, strange]
-        self.type_of = np.cumsum(new) - 1
-        self.count = np.add.reduceat(self.times * (row[order].astype(np.int64) & 1), at)
-        self.context_of = np.cumsum(new_h)[at] - 1
-        self.context = hashes[h[new_h]]
-        word = hashes[w[at]]
-        common = w[at] < top.size
-        self.word_count = np.where(common, top.counts[np.where(common, w[at], 0)], 0)
-        if len(rare_w):
-            by = np.argsort(rare_w)
-            rare_w, rare_c = rare_w[by], rare_c[by]
-            found = np.minimum(np.searchsorted(rare_w, word), len(rare_w) - 1)
-            self.word_count = np.where(~common & (rare_w[found] == word), rare_c[found], self.word_count)
-        self.strange = ~common
+    """All bigrams of one partition, by context: their counts and their words' (0 in training: held out only), and the pieces that have them."""
+
+    def __init__(self, each: np.ndarray, piece: np.ndarray, count: np.ndarray, word_count: np.ndarray, strange: np.ndarray, followers: np.ndarray):
+        self.each, self.piece, self.count, self.word_count, self.strange = each, piece, count, word_count, strange
+        self.context_of = np.repeat(np.arange(len(followers)), followers)
+        self.contexts, self.followers = len(followers), followers
 
     def sums(self, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each context: c(h), followers with small counts, sum of the larger ones, P of all followers."""
-        n = len(self.context)
+        n = self.contexts
         total = np.bincount(self.context_of, self.count, minlength=n)
         small = np.stack([np.bincount(self.context_of[self.count == r], minlength=n) for r in range(1, DISCOUNTED + 1)], axis=1)
         large = np.bincount(self.context_of, np.where(self.count > DISCOUNTED, self.count, 0), minlength=n)
         seen = np.bincount(self.context_of, np.where(self.count > 0, unigrams.p(self.word_count), 0), minlength=n)
         return total, small, large, seen
 
+    def packed(self, chunk: np.ndarray, cut: np.ndarray, cut_h: np.ndarray) -> bytes:
+        """With the pieces' own numbers, and the places and hashes of the contexts that are split."""
+        words = self.word_count.astype(np.uint64) << np.uint64(1) | self.strange.astype(np.uint64)
+        each, piece, followers, cut = (x.astype(np.uint32) for x in (self.each, self.piece, self.followers, cut))
+        return _pack(each, piece, self.count.astype(np.uint64), words, followers, chunk.view(np.uint64), cut, cut_h)
+
+    @classmethod
+    def unpacked(cls, packed: bytes) -> tuple[Bigrams, np.ndarray, np.ndarray, np.ndarray]:
+        each, piece, count, words, followers, chunk, cut, cut_h = _unpack(packed)
+        strange = (words & np.uint64(1)).astype(bool)
+        return cls(each, piece, count.astype(np.int64), (words >> np.uint64(1)).astype(np.int64), strange, followers), chunk.view(np.int64), cut, cut_h
+
+
+def partitions_of(top: Cache, pieces: list[bytes], rare_w: np.ndarray, rare_c: np.ndarray) -> Iterator[tuple[int, Bigrams, np.ndarray, np.ndarray]]:
+    """For each partition of a bucket: its number, its bigrams, and hash and rank (-1 if it isn't cached) of each context."""
+    parts: dict[int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+    lists, shift = [], 0
+    for i, payload in enumerate(pieces):
+        number, n, step, w, c, odd = _unpack(payload)
+        h = np.cumsum(step, dtype=np.uint32)
+        for ids in (h, w):
+            ids[ids >= top.size] += np.uint32(shift)
+        lists.append(odd)
+        shift += len(odd)
+        stop = np.cumsum(n).tolist()
+        for q, a, b in zip(number.tolist(), [0, *stop], stop, strict=False):
+            parts.setdefault(q, []).append((i, h[a:b], w[a:b], c[a:b]))
+    # Words that aren't cached get one number each for the whole bucket, in the order that each piece has them in.
+    strange, number = np.unique(np.concatenate(lists), return_inverse=True)
+    hashes = np.r_[top.words, strange]
+    counts = np.zeros(len(strange), np.int64)
+    if len(rare_w) and len(strange):
+        by = np.argsort(rare_w)
+        rare_w, rare_c = rare_w[by], rare_c[by]
+        found = np.minimum(np.searchsorted(rare_w, strange), len(rare_w) - 1)
+        counts = np.where(rare_w[found] == strange, rare_c[found], 0)
+    counts = np.r_[top.counts, counts]
+    for q in sorted(parts):
+        own = parts.pop(q)
+        h, w, c = (np.concatenate([x[k] for x in own]).astype(np.int64) for k in (1, 2, 3))
+        piece = np.repeat(np.array([x[0] for x in own], np.uint32), [len(x[1]) for x in own])
+        for ids in (h, w):
+            out = ids >= top.size
+            ids[out] = top.size + number[ids[out] - top.size]
+        key = h << 32 | w
+        order = np.argsort(key)
+        key, piece, c = key[order], piece[order], c[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        h, w = key[new] >> 32, key[new] & 0xFFFFFFFF
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        bigrams = Bigrams(np.diff(np.r_[new, len(key)]), piece, np.add.reduceat(c, new), counts[w], w >= top.size, np.diff(np.r_[first, len(h)]))
+        yield q, bigrams, hashes[h[first]], np.where(h[first] < top.size, h[first], -1)
+
 
-TABLE = "p int, pieces array<struct<chunk:long,payload:binary>>, texts array<struct<chunk:long,payload:binary>>, rare_w array<long>, rare_c array<long>, n array<long>, split array<struct<h:long,sums:array<double>>>"
+TABLE = "p int, q int, bigrams binary, chunk long, texts binary, n array<long>, split array<struct<h:long,sums:array<double>>>"
 
 
 def bigram_table(pieces: DataFrame, cache, unigrams: Unigrams) -> DataFrame:
-    """One row for each partition from rows (p, kind, chunk, payload, w, c): its pieces, counts of counts, and sums of split contexts."""
+    """From rows (p, kind, chunk, payload, w, c): one for each partition q with its bigrams, counts of counts, and sums of split contexts; and one for each piece with its texts."""
+    schema = pa.schema([
+        ("p", pa.int32()), ("q", pa.int32()), ("bigrams", pa.binary()), ("chunk", pa.int64()), ("texts", pa.binary()), ("n", pa.list_(pa.int64())),
+        ("split", pa.list_(pa.struct([("h", pa.int64()), ("sums", pa.list_(pa.float64()))]))),
+    ])
 
-    def row_of(p: int, rare: list[pa.RecordBatch], held: list[tuple[int, bytes]], info: list[tuple[int, bytes]]) -> dict:
+    def rows_of(p: int, rare: list[pa.RecordBatch], held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         top = cache.value
-        rare_w = np.concatenate([b.column("w").to_numpy() for b in rare] or [np.zeros(0, np.int64)])
-        rare_c = np.concatenate([b.column("c").to_numpy() for b in rare] or [np.zeros(0, np.int64)])
-        n, split = np.zeros(DISCOUNTED + 2, np.int64), []
-        if held:
-            bigrams = Bigrams(top, held, rare_w.view(np.uint64), rare_c)
-            n += np.bincount(bigrams.count[bigrams.count <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)
-            rank = top.rank(bigrams.context)
+        rare_w = np.concatenate([b.column("w").to_numpy() for b in rare]).view(np.uint64)
+        rare_c = np.concatenate([b.column("c").to_numpy() for b in rare])
+        chunk = np.array([c for c, _ in held], np.int64)
+        for q, bigrams, h, rank in partitions_of(top, [x for _, x in held], rare_w, rare_c):
+            n, split = np.bincount(bigrams.count[bigrams.count <= DISCOUNTED + 1], minlength=DISCOUNTED + 2), []
             cut = np.flatnonzero((rank >= 0) & (top.parts[rank] > 1))
             if len(cut):
                 total, small, large, seen = bigrams.sums(unigrams)
-                split = [{"h": int(bigrams.context[i].view(np.int64)), "sums": [float(total[i]), *map(float, small[i]), float(large[i]), float(seen[i])]} for i in cut]
-        return {"p": p, "pieces": [{"chunk": c, "payload": x} for c, x in held], "texts": [{"chunk": c, "payload": x} for c, x in info], "rare_w": rare_w, "rare_c": rare_c, "n": n, "split": split}
+                split = [{"h": int(h[i].view(np.int64)), "sums": [float(total[i]), *map(float, small[i]), float(large[i]), float(seen[i])]} for i in cut]
+            row = {"p": p, "q": q, "bigrams": bigrams.packed(chunk, cut, h[cut]), "chunk": None, "texts": None, "n": n.tolist(), "split": split}
+            yield pa.RecordBatch.from_pylist([row], schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.list_(pa.struct([("chunk", pa.int64()), ("payload", pa.binary())]))
-        schema = pa.schema([
-            ("p", pa.int32()), ("pieces", part), ("texts", part), ("rare_w", pa.list_(pa.int64())), ("rare_c", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())),
-            ("split", pa.list_(pa.struct([("h", pa.int64()), ("sums", pa.list_(pa.float64()))]))),
-        ])
         release_memory()
-        now, rare, held, info = None, [], [], []
+        now, rare, held = None, [], []
         for batch in batches:
             p = batch.column(0).to_numpy()
             edges = np.r_[0, np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)] if len(p) else [0]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if now is not None and p[a] != now:
-                    yield pa.RecordBatch.from_pylist([row_of(now, rare, held, info)], schema)
-                    rare, held, info = [], [], []
-                now = int(p[a])
+                if p[a] != now:
+                    if held:
+                        yield from rows_of(now, rare, held)
+                    now, rare, held = int(p[a]), [], []
                 own = batch.slice(a, b - a)
                 kinds = own.column(1).to_numpy()
                 rare.append(own.filter(pa.array(kinds == 0)).select(["w", "c"]))
-                for kind, to in ((1, held), (2, info)):
-                    some = own.filter(pa.array(kinds == kind))
-                    to.extend(zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True))
-        if now is not None:
-            yield pa.RecordBatch.from_pylist([row_of(now, rare, held, info)], schema)
+                some = own.filter(pa.array(kinds == 1))
+                held.extend(zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True))
+                some = own.filter(pa.array(kinds == 2))
+                for chunk, texts in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    row = {"p": now, "q": None, "bigrams": None, "chunk": chunk, "texts": texts, "n": None, "split": None}
+                    yield pa.RecordBatch.from_pylist([row], schema)
+        if held:
+            yield from rows_of(now, rare, held)
 
     return pieces.select("p", "kind", "chunk", "payload", "w", "c").mapInArrow(run, TABLE)
 
 
-def partial_scores(model: DataFrame, cache, unigrams: Unigrams, d: np.ndarray, split: dict[int, tuple[float, float, float]]) -> DataFrame:
-    """chunk, scores (binary, from the partitions of one task: for each text of the piece three doubles, its score and the base score and number of known words among those that aren't cached)."""
+def bigram_scores(model: DataFrame, unigrams: Unigrams, d: np.ndarray, split: dict[int, tuple[float, float, float]]) -> DataFrame:
+    """chunk, q, scores (binary): for a piece and partitions from q on, the score of each of its bigrams and the count of each last word that isn't cached, in the piece's order."""
     split_h = np.array(sorted(split), np.uint64)
     split_values = np.array([split[int(h)] for h in split_h]).reshape(-1, 3)
 
+    def logs(bigrams: Bigrams, cut: np.ndarray, cut_h: np.ndarray) -> np.ndarray:
+        total, small, large, seen = bigrams.sums(unigrams)
+        factor, a = backoff(total, small, large, seen, d)
+        for k, x in enumerate((total, factor, a)):
+            x[cut] = split_values[np.searchsorted(split_h, cut_h), k]
+        h = bigrams.context_of
+        seen_p = factor[h] * discounted(bigrams.count, d) / np.maximum(total[h], 1)
+        return np.log10(np.where(bigrams.count > 0, seen_p, a[h] * unigrams.p(bigrams.word_count)))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        top = cache.value
-        sums: dict[int, np.ndarray] = {}
-        held = 0
+        held, size, now, first, last = [], 0, None, 0, 0
+        numbers: dict[int, int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "scores"])
+            number, score, odd_number, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            places = np.arange(len(numbers) + 1)
+            order = _by_number(number, len(numbers))
+            score, edges = score[order], np.searchsorted(number[order], places)
+            order = _by_number(odd_number, len(numbers))
+            count, at = count[order], np.searchsorted(odd_number[order], places)
+            scores = [_pack(score[a:b].view(np.uint64), count[i:j].view(np.uint64)) for a, b, i, j in zip(edges[:-1], edges[1:], at[:-1], at[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([*numbers], pa.int64()), pa.array(np.full(len(scores), first, np.int32)), pa.array(scores, pa.binary())], names=["chunk", "q", "scores"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                pieces = [(x["chunk"], x["payload"]) for x in batch.column(0)[i].as_py()]
-                if not pieces:
-                    continue
-                rare_w = batch.column(1)[i].values.to_numpy().view(np.uint64)
-                bigrams = Bigrams(top, pieces, rare_w, batch.column(2)[i].values.to_numpy())
-                total, small, large, seen = bigrams.sums(unigrams)
-                factor, a = backoff(total, small, large, seen, d)
-                if len(split_h):
-                    at = np.minimum(np.searchsorted(split_h, bigrams.context), len(split_h) - 1)
-                    cut = split_h[at] == bigrams.context
-                    total, factor, a = (np.where(cut, split_values[at, k], x) for k, x in enumerate((total, factor, a)))
-                h = bigrams.context_of
-                seen_p = factor[h] * discounted(bigrams.count, d) / np.maximum(total[h], 1)
-                p = np.where(bigrams.count > 0, seen_p, a[h] * unigrams.p(bigrams.word_count))
-                base = np.where(bigrams.strange, unigrams.base(bigrams.word_count), 0.0)
-                known = (bigrams.strange & (bigrams.word_count > 0)).astype(float)
-                each = [v[bigrams.type_of] * bigrams.times for v in (np.log10(p), base, known)]
-                order = np.argsort(bigrams.piece, kind="stable")
-                edges = np.searchsorted(bigrams.piece[order], np.arange(len(pieces) + 1))
-                for k, chunk in enumerate(bigrams.chunks):
-                    own = order[edges[k] : edges[k + 1]]
-                    part = np.stack([np.bincount(bigrams.row[own], v[own]) for v in each], axis=1)
-                    before = sums.get(chunk)
-                    if before is None:
-                        sums[chunk] = part
-                        held += len(part)
-                    elif len(before) >= len(part):
-                        before[: len(part)] += part
-                    else:
-                        part[: len(before)] += before
-                        held += len(part) - len(before)
-                        sums[chunk] = part
-                if held > 1_000_000:
+                p, q = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if held and (p != now or q <= last or size > HELD_SCORES):
                     yield out()
-                    sums, held = {}, 0
-        if sums:
+                    size, numbers = 0, {}
+                if not held:
+                    now, first = p, q
+                last = q
+                bigrams, chunk, cut, cut_h = Bigrams.unpacked(batch.column(2)[i].as_py())
+                number = np.array([numbers.setdefault(c, len(numbers)) for c in chunk.tolist()], np.uint32)[bigrams.piece]
+                odd = np.flatnonzero(np.repeat(bigrams.strange, bigrams.each))
+                count = np.repeat(bigrams.word_count[bigrams.strange], bigrams.each[bigrams.strange])
+                held.append((number, np.repeat(logs(bigrams, cut, cut_h), bigrams.each), number[odd], count))
+                size += len(number)
+        if held:
             yield out()
 
-    return model.select("pieces", "rare_w", "rare_c").mapInArrow(run, "chunk long, scores binary")
+    return model.where("bigrams is not null").select("p", "q", "bigrams").mapInArrow(run, "chunk long, q int, scores binary")
 
 
-def text_scores(partial: DataFrame, model: DataFrame) -> DataFrame:
+def text_scores(scores: DataFrame, model: DataFrame, unigrams: Unigrams) -> DataFrame:
     """A row for each text: its columns of INFO and the whole score."""
-    info = model.select(F.explode("texts").alias("t")).select("t.chunk", F.col("t.payload").alias("info"), F.lit(None).cast("binary").alias("scores"))
-    rows = info.union(partial.select("chunk", F.lit(None).cast("binary"), "scores"))
+    texts = model.where("texts is not null").select("chunk", F.lit(-1).alias("q"), F.col("texts").alias("payload"))
+    rows = texts.union(scores.select("chunk", "q", "scores"))
+
+    def scored(texts: bytes, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        info, each, row, times, strange = _unpack(texts)
+        info, row, strange = info.view(INFO), row.astype(np.int64), np.cumsum(strange, dtype=np.int64)
+        score, count = (np.concatenate(c) for c in zip(*(_unpack(x) for _, x in sorted(parts)), strict=True))
+        count = count.view(np.int64)
+        base, known = np.zeros((2, len(each)))
+        base[strange], known[strange] = unigrams.base(count), count > 0
+        score, base, known = (np.bincount(row, np.repeat(x, each) * times, minlength=len(info)) for x in (score.view(np.float64), base, known))
+        doc = pa.array(info["doc_id"], mask=info["null"] != 0)
+        columns = (info["train"], info["tokens"], info["known"] + known.astype(np.int64), info["base"] + base, score)
+        return pa.RecordBatch.from_arrays([doc, *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "train", "tokens", "known", "base", "score"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        now, info, total = None, None, np.zeros((0, 3))
-
-        def out() -> pa.RecordBatch:
-            score, base, known = np.r_[total, np.zeros((len(info) - len(total), 3))].T
-            doc = pa.array(info["doc_id"], mask=info["null"] != 0)
-            columns = (info["train"], info["tokens"], info["known"] + known.astype(np.int64), info["base"] + base, score)
-            return pa.RecordBatch.from_arrays([doc, *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=["doc_id", "train", "tokens", "known", "base", "score"])
-
+        now, texts, parts = None, None, []
         for batch in batches:
-            for chunk, texts, scores in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                chunk, q, payload = (c[i].as_py() for c in batch.columns)
                 if chunk != now:
-                    if info is not None:
-                        yield out()
-                    now, info, total = chunk, None, np.zeros((0, 3))
-                if texts is not None:
-                    info = np.frombuffer(texts, INFO)
-                if scores is not None:
-                    part = np.frombuffer(scores, np.float64).reshape(-1, 3)
-                    if len(part) > len(total):
-                        total = np.r_[total, np.zeros((len(part) - len(total), 3))]
-                    total[: len(part)] += part
-        if info is not None:
-            yield out()
+                    if texts is not None:
+                        yield scored(texts, parts)
+                    now, texts, parts = chunk, None, []
+                if q < 0:
+                    texts = payload
+                else:
+                    parts.append((q, payload))
+        if texts is not None:
+            yield scored(texts, parts)
 
     schema = "doc_id long, train long, tokens long, known long, base double, score double"
     return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema)
@@ -522,6 +594,11 @@ def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = T
     pieces = bigram_pieces(texts, cache, unigrams).select("p", "kind", "chunk", "payload", F.lit(None).cast("long").alias("w"), F.lit(None).cast("long").alias("c"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = stage(bigram_table(pieces.union(resolved).repartition(tasks, "p").sortWithinPartitions("p", "kind"), cache, unigrams), "bigrams")
+    # nothing below needs the cache, the word counts or what was dealt out for the table
+    cache.destroy()
+    discard(words)
+    del words, resolved, pieces
+    release_shuffles(spark)
     counts = model.agg(*[F.sum(F.col("n")[r]) for r in range(DISCOUNTED + 2)]).first()
     d = discounts(np.array([int(x or 0) for x in counts]))
     cut = model.select(F.explode("split").alias("s")).groupBy("s.h").agg(*[F.sum(F.col("s.sums")[k]).alias(f"k{k}") for k in range(DISCOUNTED + 3)])
@@ -529,10 +606,7 @@ def score_texts(docs: DataFrame, train: Column | None = None, top_words: int = T
     for h, total, *small, large, seen in cut.collect():  # at most MOST_SPLITS contexts and the start
         factor, a = backoff(np.array([total]), np.array([small]), np.array([large]), np.array([seen]), d)
         split[int(np.int64(h).view(np.uint64))] = (total, float(factor[0]), float(a[0]))
-    partial = stage(partial_scores(model, cache, unigrams, d, split), "scores")
-    # nothing below needs the cache: the JVM and the reused workers let it go before the next run brings its own
-    cache.destroy()
-    return text_scores(partial, model).select(
+    return text_scores(bigram_scores(model, unigrams, d, split), model, unigrams).select(
         "doc_id", (F.col("train") == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
